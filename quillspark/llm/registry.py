@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.llm import mixing
+from quillspark.llm import mixing, tokens
 
-_MODULES = (mixing,)
+_MODULES = (mixing, tokens)
 
 
 def queries() -> dict:
