@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.llm import mixing, tokens
+from quillspark.llm import mixing, simhash, tokens
 
-_MODULES = (mixing, tokens)
+_MODULES = (mixing, simhash, tokens)
 
 
 def queries() -> dict:
