@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.llm import mixing, simhash, tokens
+from quillspark.llm import decontaminate, mixing, simhash, tokens
 
-_MODULES = (mixing, simhash, tokens)
+_MODULES = (decontaminate, mixing, simhash, tokens)
 
 
 def queries() -> dict:
