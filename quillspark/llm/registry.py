@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from quillspark.llm import decontaminate, mixing, simhash, tokens
+from quillspark.llm import decontaminate, language, mixing, quality, simhash, tokens
 
-_MODULES = (decontaminate, mixing, simhash, tokens)
+_MODULES = (
+    tokens,
+    simhash,
+    decontaminate,
+    quality,
+    mixing,
+    language,
+)
 
 
 def queries() -> dict:
