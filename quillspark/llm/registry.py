@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import decontaminate, language, mixing, quality, simhash, tokens
+from quillspark.llm import decontaminate, language, licenses, mixing, quality, simhash, tokens
 
 _MODULES = (
     tokens,
@@ -11,6 +11,7 @@ _MODULES = (
     quality,
     mixing,
     language,
+    licenses,
 )
 
 
