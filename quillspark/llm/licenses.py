@@ -106,7 +106,7 @@ class Automaton:
                     after = state(read[at] + (not opened))
                     steps[at][word] = after
                     at = after
-        if opened or not mandatory or not steps[0]:
+        if opened or not mandatory or not words_of(template.split()[0]) or template.split()[0].startswith("{{"):
             raise ValueError("a template starts with a mandatory word and closes what it opens")
         longest = max(range(len(mandatory) - 1), key=lambda k: len(mandatory[k]) + len(mandatory[k + 1]), default=0)
         anchor = b" ".join(mandatory[longest : longest + 2]) if "{{" not in template and "[[" not in template else max(mandatory, key=len)
