@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillspark.llm import decontaminate, language, licenses, mixing, quality, simhash, tokens
+from quillspark.llm import decontaminate, language, licenses, mixing, quality, secrets, simhash, tokens
 
 _MODULES = (
     tokens,
     simhash,
+    secrets,
     decontaminate,
     quality,
     mixing,
