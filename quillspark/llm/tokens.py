@@ -19,8 +19,11 @@ from quillspark.sources.tables import table
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
-#: Encoded chunks that a Python worker keeps; beyond that it starts anew.
-CACHED_CHUNKS = 300_000
+#: Encoded pieces that a Python worker keeps in each of two generations.
+CACHED_CHUNKS = 150_000
+STOPS = ".,!?;:"
+#: Letters that are one character in any normal form and have one lower-case letter.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Writer settings: ids get a dictionary (they repeat), positions get delta encoding (they ascend), page indexes are
 #: always written, and groups and pages are small enough to read a few documents without their neighbours.
 WRITER = {
@@ -39,43 +42,72 @@ class ChunkEncoder:
     """Encodes texts through a tokenizers file, each distinct piece between blanks once.
 
     The vocabularies' pre-tokenizers drop white space and neither they nor the normalizers look across it, so the ids
-    of a text are those of its pieces between spaces and line feeds in a row.
+    of a text are those of its pieces between spaces and line feeds in a row. Stops right after a letter begin
+    another pre-token in any case and are taken apart; pieces of plain letters alone are looked up in lower case.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.last[[k for token, k in vocabulary.items() if token.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Encodes pieces. Those of letters alone go many to a call, and the ids that end a word tell them apart; were
+        one of them more than one pre-token, the ends would be too many, and each goes alone."""
+        encode = self.tokenizer.encode_batch_fast
+        alone = [c for c in chunks if not c.isalpha()]
+        words = [c for c in chunks if c.isalpha()]
+        groups = [words[at : at + 256] for at in range(0, len(words), 256)]
+        for group, found in zip(groups, encode([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.int32)
+            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+            if len(ends) != len(group):
+                alone += group
+                continue
+            data, at = ids.tobytes(), 0
+            for word, end in zip(group, ends.tolist(), strict=True):
+                self.known[word] = data[at:end]
+                at = end
+        for at in range(0, len(alone), 20_000):
+            some = alone[at : at + 20_000]
+            for chunk, found in zip(some, encode(some, add_special_tokens=False), strict=True):
+                self.known[chunk] = array("i", found.ids).tobytes()
 
     def _encoded(self, chunks: list[str]) -> list[bytes]:
-        if len(self.known) + len(chunks) > CACHED_CHUNKS:
-            self.known = {}
-        known = self.known
+        if len(self.known) > CACHED_CHUNKS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         missing = [c for c in chunks if c not in known]
-        for at in range(0, len(missing), 20_000):
-            some = missing[at : at + 20_000]
-            for chunk, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[chunk] = array("i", found.ids).tobytes()
-        return [known[c] for c in chunks]
+        if older:
+            known.update((c, older[c]) for c in missing if c in older)
+            missing = [c for c in missing if c not in known]
+        self._learn(missing)
+        return [self.known[c] for c in chunks]
 
-    def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, column: pa.Array, end_id: int) -> tuple[pa.Array, np.ndarray]:
         """The ids of all texts in a row, each text's followed by the end id; and how many each text has."""
-        pieces = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
-        starts = np.asarray(pieces.offsets, dtype=np.int64)
+        apart = pc.replace_substring_regex(pc.replace_substring(column, "\n", " "), f"([{LETTERS}])([{STOPS}])", r"\1 \2")
+        pieces = pc.split_pattern(apart, " ")
+        ends = np.asarray(pieces.offsets, dtype=np.int64)[1:] - pieces.offsets[0].as_py()
         coded = pieces.flatten().dictionary_encode()
-        ids = self._encoded(coded.dictionary.to_pylist())
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        values = np.frombuffer(b"".join(ids), np.int32)
-        places = np.cumsum(lengths) - lengths
-        codes = np.asarray(coded.indices)
-        each = lengths[codes]
-        upto = np.concatenate([[0], np.cumsum(each)])
-        counts = upto[starts[1:] - starts[0]] - upto[starts[:-1] - starts[0]]
-        source = np.repeat(places[codes] - upto[:-1], each) + np.arange(upto[-1])
-        out = np.full(upto[-1] + len(counts), end_id, np.int32)
-        out[np.arange(upto[-1]) + np.repeat(np.arange(len(counts)), counts)] = values[source]
-        return out, counts + 1
+        cased = coded.dictionary
+        simple = pc.match_substring_regex(cased, f"^[{LETTERS}]+$")
+        plain = pc.if_else(simple, pc.utf8_lower(cased), cased).dictionary_encode()
+        ids = self._encoded(plain.dictionary.to_pylist())
+        ids.append(array("i", [end_id]).tobytes())
+        lengths = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), np.int32)))
+        codes = np.insert(np.asarray(plain.indices)[np.asarray(coded.indices)], ends, len(ids) - 1)
+        upto = np.concatenate([[0], np.cumsum(lengths[codes], dtype=np.int64)])
+        return lists.take(pa.array(codes)).flatten(), np.diff(upto[ends + np.arange(1, len(ends) + 1)], prepend=0)
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -102,7 +134,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, part, at = _encoder(vocabulary), TaskContext.get().partitionId(), 0
-        for batch in sliced(batches):
+        for batch in sliced(batches, limit=4 << 20):
             ids, counts = encoder.encode(texts(batch), end_id)
             ends = np.cumsum(counts)
             columns = [
@@ -110,7 +142,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
                 pa.array(np.full(len(counts), part, np.int32)),
                 pa.array(at + ends - counts),
                 pa.array(counts),
-                pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(ids)),
+                pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), ids),
             ]
             at += int(ends[-1])
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "part_start", "n_tokens", "tokens"])

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 from quillspark.llm.shared import new_path
 from quillspark.llm.tokens import checksums, op1_token_output, public_vocabulary, read_index, read_tokens, write_tokens
 
-ODD = ["", None, "  ", "a\nb\tc\x0bd e f", "It's <|endoftext|> I'LL 'd", "é ́x Å ΣΣ ẛ̣", "x" * 5000, "word " * 30000, "中文 日本\r\n\x1c\x85z", "same", "same"]
+ODD = ["", None, "  ", "a\nb\tc\x0bd e f", "It's <|endoftext|> I'LL 'd", "é ́x Å ΣΣ ẛ̣", "x" * 5000, "word " * 30000, "中文 日本\r\n\x1c\x85z", "ÉTÉ. Çà, Ñandú; Straße: ÿÿ. İI. e\u0301. \u0301. a.\u0338 h\u0331. H\u0331! ŸŒ,", "don't. [x]. (y), \"z.\" a.b,c;d...e", "same", "same"]
 
 
 def brute(rows):
