@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.batches import sliced
 from quillspark.llm.shared import partitions
 from quillspark.sources.tables import table
 
@@ -19,7 +20,7 @@ SLOTS = 64
 #: Rounds of coin tossing: labels of 64-bit names shrink to under 128, 14, 8.
 ROUNDS = 3
 #: Code points that are parsed at once; a longer text alone.
-FLAT_CHARS = 1 << 20
+FLAT_CHARS = 1 << 18
 _FIRST = -(1 << 63)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -199,7 +200,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
             ]
             return pa.RecordBatch.from_arrays(columns, names)
 
-        for batch in batches:
+        for batch in sliced(batches, limit=1 << 20):
             for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "guest", "key", "unnamed", "text")), strict=True):
                 held.append(row)
                 chars += len(row[4])
