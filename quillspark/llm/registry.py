@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillspark.llm import decontaminate, language, licenses, mixing, parsing, quality, secrets, simhash, tokens
+from quillspark.llm import decontaminate, language, licenses, mixing, parsing, quality, scoring, secrets, simhash, tokens
 
 _MODULES = (
     tokens,
+    scoring,
     parsing,
     simhash,
     secrets,
