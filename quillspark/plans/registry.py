@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.plans import critical
+from quillspark.plans import critical, relational, rules
 
-_MODULES = (critical,)
+_MODULES = (critical, relational, rules)
 
 
 def queries() -> dict:
