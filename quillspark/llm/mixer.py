@@ -85,8 +85,8 @@ class Code:
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """How many leading bits the codes of two symbols share; all for the same symbol."""
-        exponent = np.frexp((self.codes[a] ^ self.codes[b]).astype(np.float64))[1]
-        return np.minimum(WIDTH - exponent, self.lengths[a])
+        exponent = np.frexp((self.codes.take(a) ^ self.codes.take(b)).astype(np.float64))[1]
+        return np.minimum(WIDTH - exponent, self.lengths.take(a))
 
 
 @dataclass
@@ -147,14 +147,16 @@ def gathered(words: np.ndarray, symbols: np.ndarray, starts: np.ndarray) -> list
 def tabulated(numbers: np.ndarray) -> Table:
     """The table of a set of tokens, from their numbers."""
     table = Table.empty(1 << SLOT_BITS)
-    found, counts = np.unique(numbers, return_counts=True)
-    order = np.lexsort((found & 0xFFFFFF, counts, found >> 24))
-    found, counts = found[order], counts[order]
+    numbers = np.sort(numbers)
+    firsts = np.flatnonzero(np.diff(numbers, prepend=-1))
+    found, counts = numbers[firsts], np.minimum(np.diff(firsts, append=len(numbers)), 65535)
     slots = found >> 24
-    last = np.flatnonzero(np.diff(slots, append=-1))
-    table.symbol[slots[last]] = found[last] & 0xFFFF
-    table.check[slots[last]] = (found[last] >> 16) & 0xFF
-    table.count[slots[last]] = np.minimum(counts[last], 65535)
+    begins = np.flatnonzero(np.diff(slots, prepend=-1))
+    if len(begins):
+        best = np.maximum.reduceat((counts << 24) | (found & 0xFFFFFF), begins)
+        table.symbol[slots[begins]] = best & 0xFFFF
+        table.check[slots[begins]] = (best >> 16) & 0xFF
+        table.count[slots[begins]] = best >> 24
     return table
 
 
@@ -177,15 +179,16 @@ class Mixer:
         found = []
         for table, hashed in zip(self.tables, contexts(words, starts), strict=True):
             slot, check = slot_and_check(hashed)
-            level = np.where(table.check[slot] == check, _level(table.count[slot]), 0)
-            found.append((self.code.common(symbols, table.symbol[slot].astype(np.int64)), level))
+            level = np.where(table.check.take(slot) == check, _level(table.count.take(slot)), 0)
+            found.append((self.code.common(symbols, table.symbol.take(slot).astype(np.int64)), level))
         before = np.empty_like(words)
         before[1:] = words[:-1]
         before[starts] = _START
         key = mixed(before) + documents.astype(np.uint64)
         order = np.argsort(key, kind="stable")
         again = np.zeros(len(key), bool)
-        again[1:] = key[order][1:] == key[order][:-1]
+        sorted_key = key.take(order)
+        again[1:] = sorted_key[1:] == sorted_key[:-1]
         last = np.full(len(key), -1)
         last[order[1:]] = np.where(again[1:], order[:-1], -1)
         seen = last >= 0
@@ -202,23 +205,27 @@ class Mixer:
         blocks = (np.arange(len(words)) - starts[documents]) // BLOCK
         order = np.argsort(blocks, kind="stable")
         symbols_, documents_ = symbols[order], documents[order].astype(np.int32)
-        lengths = self.code.lengths[symbols_]
+        lengths = self.code.lengths.take(symbols_)
         ends = np.cumsum(lengths)
         total = int(ends[-1])
         token = np.repeat(np.arange(len(order), dtype=np.int32), lengths)
-        place = np.arange(total, dtype=np.int32) - (ends - lengths).astype(np.int32)[token]
+        place = np.arange(total, dtype=np.int32) - (ends - lengths).astype(np.int32).take(token)
         x = np.empty((INPUTS, total), np.float32)
-        x[0] = self.code.stretched[self.code.offsets[symbols_].astype(np.int32)[token] + place]
-        gate = np.zeros(total, np.int8)
+        x[0] = self.code.stretched.take(self.code.offsets.take(symbols_).astype(np.int32).take(token) + place)
+        gate, short = np.zeros(total, np.int8), place.astype(np.int16)
         for k, (common, level) in enumerate(found):
-            level = level[order]
-            ahead = np.where(level > 0, common[order], -1).astype(np.int16)[token] - place.astype(np.int16)
-            worth = self.strengths[k][level].astype(np.float32)[token]
-            x[k + 1] = worth * np.where(ahead > 0, np.float32(1), np.where(ahead == 0, np.float32(-1), np.float32(0)))
+            # By level and by whether the prediction has failed before this bit, fails here, or holds.
+            level = level[order].astype(np.int8)
+            worth = (self.strengths[k][:, None] * np.array([0, -1, 1], np.float32)).ravel()
+            worth[:3] = 0
+            held = np.repeat(np.arange(4, dtype=np.int8), 3) * np.tile(np.array([0, 1, 1], np.int8), 4)
+            ahead = common[order].astype(np.int16).take(token) - short
+            state = (level * np.int8(3)).take(token) + np.minimum(np.maximum(ahead, -1), 1).astype(np.int8) + np.int8(1)
+            x[k + 1] = worth.take(state)
             if k:
-                gate += (1, 4)[k - 1] * np.where(ahead >= 0, level.astype(np.int8)[token], np.int8(0))
+                gate += ((1, 4)[k - 1] * held).astype(np.int8).take(state)
         sizes = np.bincount(blocks[order], weights=lengths).astype(np.int64)
-        return x, gate, documents_[token], np.cumsum(sizes), same_symbol, same_word
+        return x, gate, documents_.take(token), np.cumsum(sizes), same_symbol, same_word
 
     def bits(self, words, symbols, counts, weights=None):
         """The bits that the symbols of each document cost, in order, and the weights that each has in the end."""
@@ -233,7 +240,7 @@ class Mixer:
                 continue
             own = x[:, at:end]
             cell = document[at:end] * np.int32(GATES) + gate[at:end]
-            w = flat[cell]
+            w = flat.take(cell, axis=0)
             z = (w.T * own).sum(axis=0)
             np.clip(z, -30, 30, out=z)
             e = np.exp(-z)
@@ -295,12 +302,12 @@ class Spelling:
         if not words:
             return empty
         learning, tuning = words[: max(1, len(words) * 4 // 5)], words[len(words) * 4 // 5 :]
-        for at in range(0, len(learning), 50_000):
-            cells, true, _, _ = empty._cells(learning[at : at + 50_000])
+        for at in range(0, len(learning), 10_000):
+            cells, true, _, _ = empty._cells(learning[at : at + 10_000])
             for cell in cells:
                 empty.table[0] += np.bincount(cell, minlength=1 << cls.BITS)
                 empty.table[1] += np.bincount(cell, weights=true, minlength=1 << cls.BITS)
-        x, true = empty._inputs(tuning or learning)[:2]
+        x, true = empty._inputs((tuning or learning)[:10_000])[:2]
         w = np.full(4, 0.3)
         signed = x * np.where(true > 0, 1, -1)
         for _ in range(20):
