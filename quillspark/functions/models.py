@@ -83,10 +83,14 @@ def encoded(df: DataFrame, text: str, encoder: Encoder, name: str = "embedding")
     return df.withColumn(name, vectors(F.col(text)))
 
 
-@F.pandas_udf("int")
-def compressed_length(texts: pd.Series) -> pd.Series:
+def compressed_length(text: str | Column) -> Column:
     """Bytes of a text under zlib; a blank text has none."""
-    return texts.fillna("").map(lambda t: len(zlib.compress(t.encode())) if t.strip() else 0).astype("int32")
+
+    @F.pandas_udf("int")
+    def length(texts: pd.Series) -> pd.Series:
+        return texts.fillna("").map(lambda t: len(zlib.compress(t.encode())) if t.strip() else 0).astype("int32")
+
+    return length(text)
 
 
 @dataclass(frozen=True)

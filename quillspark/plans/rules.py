@@ -14,7 +14,7 @@ from quillspark.plans import common as C
 from quillspark.plans import sqltext as Q
 from quillspark.sources.tables import table
 
-LINE = F.col("line")
+
 
 
 def _lines(spark, sf_dir):
@@ -23,29 +23,29 @@ def _lines(spark, sf_dir):
 
 def text_tokens(spark, sf_dir):
     """Tokens and distinct three-token runs of each line."""
-    found = _lines(spark, sf_dir).select("id", "pos", X.tokens(LINE).alias("t"), X.trigrams(LINE).alias("g"))
+    found = _lines(spark, sf_dir).select("id", "pos", X.tokens(F.col("line")).alias("t"), X.trigrams(F.col("line")).alias("g"))
     return found.select("id", "pos", F.size("t").alias("n_tokens"), F.array_join(F.slice("t", 1, 3), " ").alias("head"), F.size("g").alias("n_grams"), F.size(F.array_distinct("g")).alias("distinct_grams"))
 
 
 def text_word_tools(spark, sf_dir):
     """Cuts and keys of lines: first words, verbatim key, cap."""
-    return _lines(spark, sf_dir).select("id", "pos", X.first_words(LINE, 12).alias("first"), X.verbatim_key(LINE).alias("key"), X.capped(LINE, 60).alias("capped"), X.normal_space(LINE).alias("plain"))
+    return _lines(spark, sf_dir).select("id", "pos", X.first_words(F.col("line"), 12).alias("first"), X.verbatim_key(F.col("line")).alias("key"), X.capped(F.col("line"), 60).alias("capped"), X.normal_space(F.col("line")).alias("plain"))
 
 
 def text_citation_lines(spark, sf_dir):
-    return _lines(spark, sf_dir).select("id", "pos", L.is_citation(LINE).alias("citation"))
+    return _lines(spark, sf_dir).select("id", "pos", L.is_citation(F.col("line")).alias("citation"))
 
 
 def text_metadata_lines(spark, sf_dir):
-    return _lines(spark, sf_dir).select("id", "pos", L.is_metadata(LINE).alias("metadata"))
+    return _lines(spark, sf_dir).select("id", "pos", L.is_metadata(F.col("line")).alias("metadata"))
 
 
 def text_junk_lines(spark, sf_dir):
-    return _lines(spark, sf_dir).select("id", "pos", L.is_junk(LINE).alias("junk"))
+    return _lines(spark, sf_dir).select("id", "pos", L.is_junk(F.col("line")).alias("junk"))
 
 
 def text_polish(spark, sf_dir):
-    return _lines(spark, sf_dir).select("id", "pos", L.polished(LINE).alias("polished"))
+    return _lines(spark, sf_dir).select("id", "pos", L.polished(F.col("line")).alias("polished"))
 
 
 def text_headers(spark, sf_dir):
@@ -63,40 +63,40 @@ def text_without_title(spark, sf_dir):
 
 
 def text_inferred_year(spark, sf_dir):
-    blocks = F.concat(LINE, F.lit(" "), F.element_at(F.array(F.lit("2020 Mar 3"), F.lit("May. 2019"), F.lit("eCollection 2015"), F.lit("in 2007"), F.lit("1999")), (F.abs("id") % 5 + 1).cast("int")))
+    blocks = F.concat(F.col("line"), F.lit(" "), F.element_at(F.array(F.lit("2020 Mar 3"), F.lit("May. 2019"), F.lit("eCollection 2015"), F.lit("in 2007"), F.lit("1999")), (F.abs("id") % 5 + 1).cast("int")))
     return _lines(spark, sf_dir).filter(F.length("line") < 300).select("id", "pos", L.inferred_year(blocks, 2026).alias("year"))
 
 
 def pred_bare_and_key(spark, sf_dir):
-    return _lines(spark, sf_dir).select("id", "pos", D.bare(LINE).alias("bare"), D.direction_key(LINE).alias("key"))
+    return _lines(spark, sf_dir).select("id", "pos", D.bare(F.col("line")).alias("bare"), D.direction_key(F.col("line")).alias("key"))
 
 
 def pred_rejection_reason(spark, sf_dir):
-    return _lines(spark, sf_dir).select("id", "pos", D.rejection(LINE).alias("reason"))
+    return _lines(spark, sf_dir).select("id", "pos", D.rejection(F.col("line")).alias("reason"))
 
 
 def pred_leak(spark, sf_dir):
-    return _lines(spark, sf_dir).select("id", "pos", D.is_leak(LINE).alias("leak"))
+    return _lines(spark, sf_dir).select("id", "pos", D.is_leak(F.col("line")).alias("leak"))
 
 
 def pred_clean_truth(spark, sf_dir):
-    return _lines(spark, sf_dir).select("id", "pos", D.is_clean_truth(LINE).alias("clean"))
+    return _lines(spark, sf_dir).select("id", "pos", D.is_clean_truth(F.col("line")).alias("clean"))
 
 
 def pred_clamped(spark, sf_dir):
-    return _lines(spark, sf_dir).select("id", "pos", D.clamped(LINE, 10).alias("clamped"))
+    return _lines(spark, sf_dir).select("id", "pos", D.clamped(F.col("line"), 10).alias("clamped"))
 
 
 def pred_span(spark, sf_dir):
-    return _lines(spark, sf_dir).select("id", "pos", D.compressed_span(LINE).alias("span"))
+    return _lines(spark, sf_dir).select("id", "pos", D.compressed_span(F.col("line")).alias("span"))
 
 
 def pred_subjectness(spark, sf_dir):
-    return _lines(spark, sf_dir).select("id", "pos", F.round(D.subjectness(LINE), 6).alias("score"))
+    return _lines(spark, sf_dir).select("id", "pos", F.round(D.subjectness(F.col("line")), 6).alias("score"))
 
 
 def pred_polished_direction(spark, sf_dir):
-    return _lines(spark, sf_dir).select("id", "pos", D.polished_direction(LINE).alias("topic"), D.polished_direction(LINE, "precise").alias("specific"))
+    return _lines(spark, sf_dir).select("id", "pos", D.polished_direction(F.col("line")).alias("topic"), D.polished_direction(F.col("line"), "precise").alias("specific"))
 
 
 def pred_parsed_direction(spark, sf_dir):
@@ -106,7 +106,7 @@ def pred_parsed_direction(spark, sf_dir):
 
 
 def pred_diagnosis(spark, sf_dir):
-    found = _lines(spark, sf_dir).select("id", "pos", D.diagnosed(LINE).alias("d"))
+    found = _lines(spark, sf_dir).select("id", "pos", D.diagnosed(F.col("line")).alias("d"))
     return found.select("id", "pos", "d.text", "d.reason")
 
 
