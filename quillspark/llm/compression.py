@@ -55,8 +55,8 @@ def raw_dictionary(content: bytes):
     return zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if content else None
 
 
-def chunks(data: bytes) -> list[bytes]:
-    return [data[at : at + CHUNK] for at in range(0, len(data), CHUNK)]
+def chunks(data: bytes, size: int = CHUNK) -> list[bytes]:
+    return [data[at : at + size] for at in range(0, len(data), size)]
 
 
 def total_size(compress, parts: list[bytes]) -> int:

@@ -19,6 +19,8 @@ from quillspark.sources.tables import table
 TEXTS, CALIBRATING, PIECE = 1500, 1500, 8000
 DICTIONARY = 100 << 10
 LEVEL = 3
+#: Texts are compressed under the dictionaries in chunks of so many bytes.
+CHUNK = 512
 #: A score from here on counts as good.
 GOOD = 0.3
 
@@ -41,30 +43,33 @@ def _loaded(content: bytes, trained: bool):
     return zstandard.ZstdCompressionDict(content) if trained else raw_dictionary(content)
 
 
-def fitted_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve of y over x, with a weak ridge on the scaled slope."""
-    spread = float(x.std()) or 1.0
-    design = np.column_stack([x / spread, np.ones(len(x))])
-    w = np.zeros(2)
+def fitted_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Slopes and offset of the logistic curve of y over the columns of x, with a weak ridge on scaled columns."""
+    mean, spread = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+    design = np.column_stack([(x - mean) / spread, np.ones(len(x))])
+    w = np.zeros(design.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
         gradient = design.T @ (p - y) + 1e-2 * w
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
+        hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(len(w))
         step = np.linalg.solve(hessian, gradient)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0] / spread), float(w[1])
+    slopes = w[:-1] / spread
+    return (*map(float, slopes), float(w[-1] - slopes @ mean))
 
 
 @dataclass(frozen=True)
 class Quality:
-    """Dictionaries of bad and good text, and the curve from size differences to scores."""
+    """Dictionaries of bad and good text, and the curve from sizes to scores: the slope of the normalised difference of
+    sizes under the two, that of the log of the size without a dictionary, and the offset."""
 
     bad: tuple[bytes, bool]
     good: tuple[bytes, bool]
-    slope: float
-    offset: float
+    curve: tuple[float, float, float]
+    #: What an empty text's log size counts as: the mean of the texts that were learned from.
+    typical: float = 0.0
 
     @classmethod
     def learned(cls, docs: DataFrame, labels: DataFrame) -> Quality:
@@ -82,30 +87,34 @@ class Quality:
         by = {q: [r[3] for r in rows if r[2] == q] for q in (0, 1)}
         if not by[0] or not by[1]:
             share = (len(by[1]) + 1) / (len(rows) + 2)
-            return cls((b"", False), (b"", False), 0.0, float(np.log(share / (1 - share))))
-        cut = {q: max(1, min(TEXTS, len(by[q]) // 2)) for q in by}
+            return cls((b"", False), (b"", False), (0.0, 0.0, float(np.log(share / (1 - share)))))
+        cut = {q: max(1, min(TEXTS, len(by[q]) * 2 // 3)) for q in by}
         bad, good = (_dictionary(by[q][: cut[q]]) for q in (0, 1))
         rest = [(t, q) for q in by for t in (by[q][cut[q] :] or by[q])]
-        raw = cls(bad, good, 1.0, 0.0)
-        difference = raw.measure()
-        x, y = np.array([difference(t) for t, _ in rest]), np.array([q for _, q in rest], float)
-        return cls(bad, good, *fitted_logistic(x, y))
+        measure = cls(bad, good, (0.0, 0.0, 0.0)).measure()
+        x, y = np.array([measure(t) for t, _ in rest]), np.array([q for _, q in rest], float)
+        return cls(bad, good, fitted_logistic(x, y), float(x[:, 1].mean()))
 
     def measure(self):
-        """A function from a text's bytes to what the good dictionary saves over the bad one, in bytes a byte."""
+        """A function from a text's bytes to what the good dictionary saves over the bad one, in bytes a byte, and to the
+        log of the text's size without a dictionary, in bytes a byte; for no text to 0 and what is typical."""
         bad, good = (compressor(_loaded(*d), LEVEL).compress for d in (self.bad, self.good))
+        plain = compressor(None, LEVEL).compress
 
-        def difference(data: bytes) -> float:
-            parts = chunks(data)
-            return (total_size(bad, parts) - total_size(good, parts)) / len(data) if data else 0.0
+        def measured(data: bytes) -> tuple[float, float]:
+            if not data:
+                return 0.0, self.typical
+            parts = chunks(data, CHUNK)
+            return (total_size(bad, parts) - total_size(good, parts)) / len(data), float(np.log(len(plain(data)) / len(data)))
 
-        return difference
+        return measured
 
 
 def rated(docs: DataFrame, quality: Quality, good: float = GOOD) -> DataFrame:
     """Adds score (0 to 1, higher: better) and predicted (1 from ``good`` on, else 0) to docs (text and any others).
 
-    The score is a function of the whole text alone; null and empty texts get the curve's value at no difference.
+    The score is a function of the whole text alone; null and empty texts get the curve's value at no
+    difference and a typical size.
     Columns named score and predicted are replaced; rows are independent, so repeated rows get equal results.
     """
     schema = docs.drop("score", "predicted").schema
@@ -113,10 +122,11 @@ def rated(docs: DataFrame, quality: Quality, good: float = GOOD) -> DataFrame:
     out = schema.add("score", "double").add("predicted", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        difference = quality.measure()
+        measure = quality.measure()
+        first, second, offset = quality.curve
         for batch in sliced(batches):
-            x = np.array([difference(t.encode()) for t in texts(batch).to_pylist()])
-            score = 1 / (1 + np.exp(-np.clip(quality.slope * x + quality.offset, -700, 700)))
+            x = np.array([measure(t.encode()) for t in texts(batch).to_pylist()])
+            score = 1 / (1 + np.exp(-np.clip(first * x[:, 0] + second * x[:, 1] + offset, -700, 700)))
             columns = [pa.array(score), pa.array((score >= good).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "score", "predicted"])
 
