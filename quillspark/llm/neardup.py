@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.batches import sliced, texts
 from quillspark.llm.components import components
 from quillspark.llm.simhash import links, majorities, shingle_hashes
-from quillspark.llm.shared import written
+from quillspark.llm.shared import Scratch, written
 
 WIDTH, SIMILARITY = 5, 0.8
 
@@ -80,7 +80,7 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, doc_id long, same long, fp long, slices array<long>")
 
 
-def candidates(kept: DataFrame) -> DataFrame:
+def candidates(kept: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b), a <> b: pairs to verify among (id, fp, slices), a number in proportion to the rows.
 
     Rows with an equal slice are paired with the least and the greatest of those that have it, and so are those of one
@@ -88,22 +88,22 @@ def candidates(kept: DataFrame) -> DataFrame:
     """
     slices = kept.select(F.explode("slices").alias("key"), "id")
     ends = slices.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    ends, _ = written(ends, "near-slices")
+    ends = scratch.written(ends, "near-slices")
     equal = slices.join(ends, "key").select("id", F.explode(F.array("low", "high")).alias("other"))
     by_fp = kept.groupBy("fp").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    by_fp, _ = written(by_fp, "near-fingerprints")
+    by_fp = scratch.written(by_fp, "near-fingerprints")
     same = kept.join(by_fp.filter("low < high"), "fp").select("id", F.explode(F.array("low", "high")).alias("other"))
-    near = links(by_fp.select("fp"))
+    near = links(by_fp.select("fp"), scratch)
     left, right = by_fp.select(F.col("fp").alias("a"), F.col("low").alias("id")), by_fp.select(F.col("fp").alias("b"), F.col("low").alias("other"))
     linked = near.join(left, "a").join(right, "b").select("id", "other")
     pairs = equal.union(same).union(linked).filter("id <> other")
     return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose texts' distinct shingles have at least this share of their union in common."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    some, _ = written(docs.join(ids, "id", "left_semi").select("id", "text").dropDuplicates(["id"]), "near-texts")
+    some = scratch.written(docs.join(ids, "id", "left_semi").select("id", "text").dropDuplicates(["id"]), "near-texts")
     left, right = some.select(F.col("id").alias("a"), F.col("text").alias("one")), some.select(F.col("id").alias("b"), F.col("text").alias("two"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,15 +134,18 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     """
     docs = docs.withColumn("__id", F.xxhash64("doc_id", "text"))
     named = docs.select(F.col("__id").alias("id"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    rows, _ = written(sketched(named, width), "near-sketches")
+    first, second = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    rows = first.written(sketched(named, width), "near-sketches")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "id")
     firsts = rows.groupBy("same").agg(F.min(order).alias("first")).select("first.id", "first.doc_id")
-    firsts, _ = written(firsts, "near-firsts")
-    kept, _ = written(rows.join(firsts.select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "fp", "slices"), "near-kept")
-    pairs, _ = written(candidates(kept), "near-pairs")
-    roots, _ = written(components(verified(pairs, named, width, similarity), "near-components"), "near-roots")
+    firsts = second.written(firsts, "near-firsts")
+    kept = first.written(rows.join(firsts.select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "fp", "slices"), "near-kept")
+    pairs = second.written(candidates(kept, first), "near-pairs")
+    first.clear()
+    roots = second.written(components(verified(pairs, named, width, similarity, second), "near-components"), "near-roots")
     grouped = firsts.join(roots, F.col("id") == F.col("node"), "left")
     alone = grouped.filter("root is null").select("id")
     best = grouped.filter("root is not null").groupBy("root").agg(F.min(order).alias("first")).select("first.id")
     staying, _ = written(alone.union(best).withColumnRenamed("id", "__id"), "near-staying")
+    second.clear()
     return docs.join(staying, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")

@@ -49,6 +49,22 @@ def removed(spark: SparkSession, *paths: str) -> None:
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+class Scratch:
+    """Intermediate tables that are deleted once what they lead to is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        table, path = written(df, name)
+        self.paths.append(path)
+        return table
+
+    def clear(self) -> None:
+        removed(self.spark, *self.paths)
+        self.paths.clear()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

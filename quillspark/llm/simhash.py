@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.batches import sliced, texts
 from quillspark.llm.components import components
-from quillspark.llm.shared import written
+from quillspark.llm.shared import Scratch, written
 from quillspark.sources.tables import table
 
 SEED = 42
@@ -83,7 +83,7 @@ def grid_cells(fps: DataFrame) -> DataFrame:
     return embedded.select(F.explode(F.array(at, *ups, *downs)).alias("cell"), "fp").filter("cell is not null")
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(a, b), a < b: links that join all distinct fingerprints at 2 or fewer differing bits, directly or by way of
     others that are as near.
 
@@ -91,11 +91,13 @@ def links(fps: DataFrame) -> DataFrame:
     differing bits, so a grid join at distance 2 loses no pair, and each candidate is verified bit by bit. A cell with
     more than CELL_MOST fingerprints isn't compared pair by pair: its fingerprints go to the finest grid, of one-bit
     segments, where the points within distance 1 are the one-bit changes. Whoever meets there differs from the point
-    in one bit at most, 65 fingerprints at most meet, and all are linked to the least of them.
+    in one bit at most, 65 fingerprints at most meet, and all are linked to the least of them. The links are read from
+    intermediate tables, which are the caller's to delete if it gives a scratch.
     """
+    scratch = scratch or Scratch(fps.sparkSession)
     cells = grid_cells(fps)
-    counts, _ = written(cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-cells")
-    shared, _ = written(cells.join(counts, "cell"), "simhash-shared")
+    counts = scratch.written(cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-cells")
+    shared = scratch.written(cells.join(counts, "cell"), "simhash-shared")
     small = shared.filter(F.col("n") <= CELL_MOST).groupBy("cell").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     near = F.flatten(
         F.transform(
