@@ -18,8 +18,9 @@ from quillspark.sources.tables import table
 #: The sample that is learned from: so many texts of a language, a piece of each, so many bytes of dictionary.
 TEXTS, PIECE, DICTIONARY = 250, 500, 100 << 10
 LEVEL = 6
-#: Below so many bytes a text's size is too coarse, so what follows each of its words counts as well.
-SHORT = 200
+#: Below so many bytes a text's size is too coarse, so what follows each of its words counts as well, at a level that
+#: finds shorter matches.
+SHORT, SHORT_LEVEL = 200, 12
 #: A prediction is rejected if the best size isn't smaller than the second by this share.
 MARGIN = 0.01
 #: How fast the score rises with the ratio of sizes.
@@ -62,17 +63,20 @@ class Languages:
         return cls(tuple(sorted((lang, content) for lang, content in contents.items() if content)))
 
     def compressors(self):
-        return [(lang, compressor(raw_dictionary(content), LEVEL).compress) for lang, content in self.contents]
+        """(language, compress, compress short texts) for each language."""
+        made = lambda content, level: compressor(raw_dictionary(content), level).compress
+        return [(lang, made(content, LEVEL), made(content, SHORT_LEVEL)) for lang, content in self.contents]
 
 
 def judged(compressors, text: str) -> tuple[str, float, bool]:
     """The language of a text, a score and whether the margin is too narrow."""
     if not compressors or not _LETTER.search(text):
         return UNKNOWN, 0.0, True
-    parts = _parts(letters(text))
+    data = letters(text)
+    parts, which = _parts(data), 2 if len(data) < SHORT else 1
     if len(compressors) == 1:
         return compressors[0][0], 1.0, False
-    sizes = np.array([total_size(compress, parts) for _, compress in compressors], float)
+    sizes = np.array([total_size(c[which], parts) for c in compressors], float)
     best = int(sizes.argmin())
     second = np.delete(sizes, best).min()
     score = 1.0 / ((sizes[best] / sizes) ** STEEPNESS).sum()
