@@ -19,21 +19,22 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return values.reshape(rows, -1) if rows else np.zeros((0, 1))
 
 
-def best_similarity(left: DataFrame, right: DataFrame, cell: str, key: str = "id", vector: str = "embedding", salt: int = 1) -> DataFrame:
+def best_similarity(left: DataFrame, right: DataFrame, cell: str, key: str = "id", vector: str = "embedding") -> DataFrame:
     """(cell, key, best): for each row of left the largest dot product with a row of right in the same cell; rows of
     cells without any of right are left out.
 
-    right is cut into blocks of BLOCK vectors, a packed matrix each. left meets the blocks of its cell in a join that
-    carries no pairs: each task gets a stretch of a cell's left rows (dealt by ``salt``) and one block, multiplies the
-    matrices and keeps the best of each left row; a final maximum goes over the blocks.
+    Both sides are cut into stretches of about BLOCK vectors within their cell. Each pair of stretches is one group, a
+    product of two packed matrices that keeps the best of each left row; no pair of rows is ever emitted, no cell meets
+    in one task, and a final maximum goes over the stretches.
     """
-    blocks = right.select(F.col(cell).alias("cell"), vector, F.pmod(F.xxhash64(key), F.lit(1 << 20)).alias("h"))
-    counts = blocks.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = blocks.join(counts, "cell").select("cell", vector, F.pmod(F.col("h"), F.col("blocks")).cast("int").alias("block"), "blocks")
-    dealt = F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))
-    refs = placed.select("cell", "block", vector, dealt.alias("salt"))
-    ask = left.select(F.col(cell).alias("cell"), F.col(key).alias("key"), vector, F.pmod(F.xxhash64(key), F.lit(salt)).cast("int").alias("salt"))
-    ask = ask.join(counts, "cell").select("cell", "key", vector, "salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    hashed = F.xxhash64(key)
+    sizes = lambda df, name: df.groupBy(F.col(cell).alias("cell")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    counts = sizes(right, "blocks").join(sizes(left, "stretches"), "cell")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    refs = right.select(F.col(cell).alias("cell"), vector, hashed.alias("h")).join(counts, "cell")
+    refs = refs.select("cell", vector, F.pmod("h", "blocks").cast("int").alias("block"), every("stretches").alias("stretch"))
+    ask = left.select(F.col(cell).alias("cell"), F.col(key).alias("key"), vector, hashed.alias("h")).join(counts, "cell")
+    ask = ask.select("cell", "key", vector, F.pmod("h", "stretches").cast("int").alias("stretch"), every("blocks").alias("block"))
     kind = left.schema[key].dataType.simpleString()
     place = left.schema[cell].dataType.simpleString()
 
@@ -41,11 +42,10 @@ def best_similarity(left: DataFrame, right: DataFrame, cell: str, key: str = "id
         out = {"cell": mine.column("cell"), "key": mine.column("key")}
         if mine.num_rows and theirs.num_rows:
             a, b = _matrix(mine.column(vector)), _matrix(theirs.column(vector))
-            best = np.concatenate([(a[k : k + BLOCK] @ b.T).max(axis=1) for k in range(0, len(a), BLOCK)])
-            return pa.table(out | {"best": pa.array(best)})
+            return pa.table(out | {"best": pa.array((a @ b.T).max(axis=1))})
         return pa.table({"cell": mine.column("cell").slice(0, 0), "key": mine.column("key").slice(0, 0), "best": pa.array([], pa.float64())})
 
-    joined = ask.groupBy("cell", "salt", "block").cogroup(refs.groupBy("cell", "salt", "block"))
+    joined = ask.groupBy("cell", "stretch", "block").cogroup(refs.groupBy("cell", "stretch", "block"))
     partial = joined.applyInArrow(multiply, f"cell {place}, key {kind}, best double")
     return partial.groupBy("cell", "key").agg(F.max("best").alias("best"))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.plans import critical, language_models, relational, rules, streams, vectors
+from quillspark.plans import audits, critical, language_models, relational, rules, streams, vectors
 
-_MODULES = (critical, relational, rules, vectors, language_models, streams)
+_MODULES = (critical, relational, rules, vectors, language_models, audits, streams)
 
 
 def queries() -> dict:

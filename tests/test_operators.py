@@ -72,12 +72,12 @@ def vectors(spark, rng, n, cells, first=0):
     return spark.createDataFrame(rows, "cell int, id int, embedding array<float>"), rows
 
 
-@pytest.mark.parametrize(("block", "salt"), [(4096, 1), (5, 3)])
-def test_best_similarity_equals_brute_force(spark, monkeypatch, block, salt):
+@pytest.mark.parametrize("block", [4096, 5])
+def test_best_similarity_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(similarity, "BLOCK", block)
     rng = np.random.default_rng(3)
     (left, a), (right, b) = vectors(spark, rng, 40, 3), vectors(spark, rng, 33, 2, 100)
-    got = {r.key: r.best for r in similarity.best_similarity(left, right, "cell", salt=salt).collect()}
+    got = {r.key: r.best for r in similarity.best_similarity(left, right, "cell").collect()}
     want = {i: max(float(np.dot(v, w)) for d, _, w in b if d == c) for c, i, v in a if c < 2}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
 
@@ -114,3 +114,32 @@ def test_scorer_prefers_what_it_has_seen(spark):
     ask = spark.createDataFrame([(1, "the cat sat"), (2, " ".join(rng.choices(words, k=3))), (3, "")], "id int, t string")
     ppl = {r.id: r.ppl for r in BigramScorer.fitted(df, "t").perplexities(ask, "id", "t").collect()}
     assert ppl.keys() == {1, 2} and ppl[1] < ppl[2]
+
+
+def test_prototypes_tell_their_own_sentences(spark):
+    from quillspark.functions.patterns import PROTOTYPES
+    from quillspark.operators.classify import classified
+
+    rows = [(label, text) for label, texts in PROTOTYPES.items() for text in texts] + [("subject", " "), ("subject", None)]
+    got = classified(spark.createDataFrame(rows, "want string, t string"), "t", HashingEncoder()).collect()
+    assert all(r.want == r.label and 0 <= r.confidence <= 1 for r in got)
+    assert {r.confidence for r in got if not (r.t or "").strip()} == {0.0}
+    assert {r.label for r in classified(spark.createDataFrame(rows, "want string, t string"), "t", None).collect()} == {"subject"}
+
+
+def test_index_run(spark, tmp_path):
+    from quillspark.operators.drivers import index_counts, is_ready, run_index
+
+    store = Store(spark, f"file://{tmp_path}/index")
+    good = "Role of hippocampal plasticity in spatial memory and attention during aging"
+    ids = [str(k) for k in range(6)]
+    store.upsert_articles(spark.createDataFrame([(k, 2015 + int(k) % 2, "text") for k in ids], "pmid string, year int, abstract string"), NOW)
+    with pytest.raises(RuntimeError):
+        run_index(store, HashingEncoder(), 2024, NOW)
+    store.upsert("citations", spark.createDataFrame([(k, int(k)) for k in ids], "pmid string, citation_count long"), ["pmid"], [F.desc("citation_count")])
+    store.upsert("article_segments", spark.createDataFrame([(k, f"{good} {k}", 0.8) for k in ids] + [("9", good, 0.8)], "pmid string, question string, qc_score double"), ["pmid"], [F.desc("question")])
+    counts = run_index(store, HashingEncoder(), 2024, NOW)
+    assert counts == {"articles": 6, "cited": 6, "segmented": 6, "questions": 6, "embedded": 6} and is_ready(index_counts(store))
+    assert run_index(store, HashingEncoder(), 2024, NOW) == counts
+    rows = {r.pmid: r for r in store.read("questions").collect()}
+    assert rows["5"].is_critical + rows["4"].is_critical >= 1 and len(rows["0"].embedding) == 384
