@@ -30,15 +30,30 @@ def shingle_hashes(text: str, width: int) -> list[int]:
     return [xxh64_intdigest(b" ".join(run), SEED) for run in zip(*(words[k:] for k in range(width)), strict=False)]
 
 
+#: Stretches whose bits are summed at once, so that their sums stay small.
+_AT_ONCE = 2048
+
+
 def majorities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """For each stretch of ``counts`` hashes the 64 bits that are set in over half of them."""
-    owner = np.repeat(np.arange(len(counts)), counts) * 256
-    octets = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
     out = np.zeros(len(counts), np.uint64)
-    for k in range(8):
-        values = np.bincount(owner + octets[:, k], minlength=256 * len(counts)).reshape(-1, 256)
-        over = 2 * (values @ _BITS) > counts[:, None]
-        out = (out << np.uint64(8)) | np.packbits(over, axis=1)[:, 0].astype(np.uint64)
+    ends = np.cumsum(counts)
+    for at in range(0, len(counts), _AT_ONCE):
+        some = counts[at : at + _AT_ONCE]
+        first = int(ends[at] - some[0])
+        octets = hashes[first : first + int(some.sum())].astype(">u8").view(np.uint8).reshape(-1, 8)
+        if len(octets) < 64 * len(some):  # short stretches: sum their bits as they are
+            filled = np.flatnonzero(some)
+            starts = (np.cumsum(some) - some)[filled]
+            sums = np.zeros((len(some), 64), np.int64)
+            if len(filled):
+                sums[filled] = np.add.reduceat(np.unpackbits(octets, axis=1), starts, axis=0, dtype=np.int64)
+        else:  # long ones: sum the bits of the values that each octet has
+            owner = np.repeat(np.arange(len(some)), some) * 256
+            values = (np.bincount(owner + octets[:, k], minlength=256 * len(some)).reshape(-1, 256) @ _BITS for k in range(8))
+            sums = np.concatenate(list(values), axis=1)
+        over = np.packbits(2 * sums > some[:, None], axis=1)
+        out[at : at + _AT_ONCE] = over.view(">u8")[:, 0].astype(np.uint64)
     return out
 
 
