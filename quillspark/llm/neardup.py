@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.batches import sliced, texts
 from quillspark.llm.components import components
 from quillspark.llm.simhash import links, majorities, shingle_hashes
-from quillspark.llm.shared import Scratch, written
+from quillspark.llm.shared import Scratch, small_batches, written
 
 WIDTH, SIMILARITY = 5, 0.8
 
@@ -135,7 +135,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     docs = docs.withColumn("__id", F.xxhash64("doc_id", "text"))
     named = docs.select(F.col("__id").alias("id"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     first, second = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
-    rows = first.written(sketched(named, width), "near-sketches")
+    with small_batches(docs.sparkSession):
+        rows = first.written(sketched(named, width), "near-sketches")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "id")
     firsts = rows.groupBy("same").agg(F.min(order).alias("first")).select("first.id", "first.doc_id")
     firsts = second.written(firsts, "near-firsts")

@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.batches import sliced, texts
-from quillspark.llm.shared import new_path, partitions
+from quillspark.llm.shared import new_path, partitions, small_batches
 from quillspark.sources.tables import table
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 #: Encoded pieces that a Python worker keeps in each of two generations.
-CACHED_CHUNKS = 150_000
+CACHED_CHUNKS = 120_000
 STOPS = ".,!?;:"
 #: Letters that are one character in any normal form and have one lower-case letter.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -149,7 +149,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
 
     ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions(spark), "doc_id")
     encoded = ranged.sortWithinPartitions("doc_id", "text").mapInArrow(encode, SCHEMA)
-    encoded.write.options(**WRITER).parquet(f"{path}/tokens")
+    with small_batches(spark):
+        encoded.write.options(**WRITER).parquet(f"{path}/tokens")
     totals = spark.read.parquet(f"{path}/tokens").groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))
     totals.write.parquet(f"{path}/parts")
 
