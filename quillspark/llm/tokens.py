@@ -20,7 +20,7 @@ from quillspark.sources.tables import table
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 #: Encoded pieces that a Python worker keeps in each of two generations.
-CACHED_CHUNKS = 120_000
+CACHED_CHUNKS = 150_000
 STOPS = ".,!?;:"
 #: Letters that are one character in any normal form and have one lower-case letter.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -134,7 +134,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, part, at = _encoder(vocabulary), TaskContext.get().partitionId(), 0
-        for batch in sliced(batches, limit=4 << 20):
+        for batch in sliced(batches, limit=12 << 20):
             ids, counts = encoder.encode(texts(batch), end_id)
             ends = np.cumsum(counts)
             columns = [
@@ -149,7 +149,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
 
     ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions(spark), "doc_id")
     encoded = ranged.sortWithinPartitions("doc_id", "text").mapInArrow(encode, SCHEMA)
-    with small_batches(spark):
+    with small_batches(spark, 2500):
         encoded.write.options(**WRITER).parquet(f"{path}/tokens")
     totals = spark.read.parquet(f"{path}/tokens").groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))
     totals.write.parquet(f"{path}/parts")
