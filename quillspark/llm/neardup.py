@@ -15,6 +15,8 @@ from quillspark.llm.simhash import links, majorities, shingle_hashes
 from quillspark.llm.shared import Scratch, small_batches, written
 
 WIDTH, SIMILARITY = 5, 0.8
+#: Bits of a set's parity sketch, and rows of a block: blocks of the rows that share a key are compared two by two.
+SKETCH_BITS, BLOCK = 512, 256
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -39,13 +41,14 @@ def slice_counts(n: int, similarity: float = SIMILARITY) -> list[int]:
 
 
 def sketched(docs: DataFrame, width: int) -> DataFrame:
-    """(id, doc_id, same, fp, slices) for (id, doc_id, text): a hash of all words, the SimHash of the shingles, and a
-    hash for each slice of the distinct shingles, of its own SimHash and its number."""
+    """(id, doc_id, same, fp, slices, size, bits) for (id, doc_id, text): a hash of all words, the SimHash of the
+    shingles, a hash for each slice of the distinct shingles, of its own SimHash and its number, and how many distinct
+    shingles there are, with the parity of those at each of SKETCH_BITS places."""
     from xxhash import xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, limit=1 << 20):
-            same, hashed, counts, slices, sizes, names = [], [], [], [], [], []
+            same, hashed, counts, slices, sizes, names, many_distinct, bits = [], [], [], [], [], [], [], []
             for text in texts(batch).to_pylist():
                 found = np.array(shingle_hashes(text, width), np.uint64)
                 same.append(xxh64_intdigest(b" ".join(text.encode().lower().split()), 7))
@@ -53,6 +56,9 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
                 counts.append(len(found))
                 distinct = np.unique(found)
                 spread = _mixed(distinct)
+                many_distinct.append(len(distinct))
+                places = (spread >> np.uint64(40)) % np.uint64(SKETCH_BITS)
+                bits.append(np.packbits(np.bincount(places.astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes())
                 own = 0
                 for many in slice_counts(len(distinct)):
                     cell = (spread >> np.uint64(24)) % np.uint64(many)
@@ -73,33 +79,83 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum(numbers)]).astype(np.int32)
             columns = [
                 batch.column("id"), batch.column("doc_id"), pa.array(np.array(same, np.uint64).view(np.int64)), pa.array(fps.view(np.int64)),
-                pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64))),
+                pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64))), pa.array(many_distinct, pa.int32()), pa.array(bits, pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "doc_id", "same", "fp", "slices"])
+            yield pa.RecordBatch.from_arrays(columns, ["id", "doc_id", "same", "fp", "slices", "size", "bits"])
 
-    return docs.mapInArrow(run, "id long, doc_id long, same long, fp long, slices array<long>")
+    return docs.mapInArrow(run, "id long, doc_id long, same long, fp long, slices array<long>, size int, bits binary")
 
 
-def candidates(kept: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b), a <> b: pairs to verify among (id, fp, slices), a number in proportion to the rows.
+def members(kept: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, id, low, high, n): the rows (id, fp, slices) under each key that at least two have, n with the least and the
+    greatest of them. Keys stand for slices, for fingerprints, and for each fingerprint together with those of which it
+    is the lesser end of a link in the grid join."""
+    fps = scratch.written(kept.select("fp").distinct(), "near-fingerprints")
+    near = scratch.written(links(fps, scratch), "near-links")
+    around = near.select("a", F.col("b").alias("fp")).union(near.select("a", F.col("a").alias("fp"))).distinct()
+    found = kept.select(F.explode("slices").alias("key"), "id")
+    found = found.union(kept.select(F.xxhash64(F.lit("same"), "fp").alias("key"), "id"))
+    found = found.union(kept.select("fp", "id").join(around, "fp").select(F.xxhash64(F.lit("near"), "a").alias("key"), "id"))
+    ends = found.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).filter("low < high")
+    return scratch.written(found.join(scratch.written(ends, "near-keys"), "key"), "near-members")
 
-    Rows with an equal slice are paired with the least and the greatest of those that have it, and so are those of one
-    fingerprint; fingerprints that link in the grid join are paired by their least rows.
-    """
-    slices = kept.select(F.explode("slices").alias("key"), "id")
-    ends = slices.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    ends = scratch.written(ends, "near-slices")
-    equal = slices.join(ends, "key").select("id", F.explode(F.array("low", "high")).alias("other"))
-    by_fp = kept.groupBy("fp").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    by_fp = scratch.written(by_fp, "near-fingerprints")
-    same = kept.join(by_fp.filter("low < high"), "fp").select("id", F.explode(F.array("low", "high")).alias("other"))
-    near = links(by_fp.select("fp"), scratch)
-    left, right = by_fp.select(F.col("fp").alias("a"), F.col("low").alias("id")), by_fp.select(F.col("fp").alias("b"), F.col("low").alias("other"))
-    linked = near.join(left, "a").join(right, "b").select("id", "other")
-    pairs = equal.union(same).union(linked).filter("id <> other")
+
+def ends_paired(rows: DataFrame) -> DataFrame:
+    """(a, b), a < b: each row of members() with the least and the greatest under its key."""
+    pairs = rows.select("id", F.explode(F.array("low", "high")).alias("other")).filter("id <> other")
     return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
+def rest_paired(rows: DataFrame, roots: DataFrame, sketches: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(a, b), a < b: all other pairs under a key of members() that may be near and aren't joined yet by roots (node,
+    root).
+
+    Keys whose rows are all joined are done. Rows of others (sketches: id, size, bits) are dealt to blocks, and every
+    block is compared with itself and with every other one of its key. Sets of a given similarity differ in a bounded
+    number of shingles; places whose parity differs are no more than these, and neither is the difference of sizes, so
+    no pair that is near is left out.
+    """
+    left = rows.filter("n > 3 and id <> low and id <> high").select("key", "id")
+    left = left.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    left = scratch.written(left, "near-left")
+    several = left.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("two"), F.count("*").alias("n")).filter("one < two")
+    several = scratch.written(several.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "near-open")
+    dealt = left.join(several, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(sketches, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    row = F.struct("own", "id", "root", "size", "bits")
+    met = dealt.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(row).alias("rows"))
+    share = (1 - similarity) / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("rows")
+            if not len(lists):
+                continue
+            ends, flat = np.cumsum(np.asarray(lists.value_lengths())), lists.flatten()
+            own, ids, root, size = (np.asarray(flat.field(name)) for name in ("own", "id", "root", "size"))
+            bits = np.frombuffer(b"".join(flat.field("bits").to_pylist()), np.uint64).reshape(len(flat), -1)
+            first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for at, end, i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True):
+                ones = np.arange(at, end)[own[at:end] == i]
+                twos = ones if i == j else np.arange(at, end)[own[at:end] == j]
+                for some in np.array_split(ones, len(ones) // 32 + 1):
+                    x, y = np.nonzero(root[some][:, None] != root[twos])
+                    x, y = some[x], twos[y]
+                    if i == j:
+                        x, y = x[x < y], y[x < y]
+                    apart = np.abs(size[x] - size[y])
+                    most = (size[x].astype(np.int64) + size[y]) * share + 1e-6
+                    x, y, most = x[apart <= most], y[apart <= most], most[apart <= most]
+                    near = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= most
+                    first.append(ids[x[near]])
+                    second.append(ids[y[near]])
+            x, y = np.concatenate(first), np.concatenate(second)
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return met.select("i", "j", "rows").mapInArrow(run, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose texts' distinct shingles have at least this share of their union in common."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -129,8 +185,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
 
     Candidates come from SimHash: the fingerprint of the whole text, whose grid join finds at most two differing bits,
     and, as texts of a similarity of 0.8 differ in more, the fingerprints of slices of the shingles. The slices are
-    equal in many places in texts that are this near, seldom in others. Every candidate pair is verified by its
-    shingles. Null and empty texts count as the same. Repeated rows collapse to one. An empty table stays empty.
+    equal in many places in texts that are this near, seldom in others. Rows that share one are first paired with the
+    least and the greatest of them, then with all that they aren't joined with by then. Every candidate pair is verified
+    by its shingles. Null and empty texts count as the same. Repeated rows collapse to one. An empty table stays empty.
     """
     docs = docs.withColumn("__id", F.xxhash64("doc_id", "text"))
     named = docs.select(F.col("__id").alias("id"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
@@ -140,10 +197,16 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "id")
     firsts = rows.groupBy("same").agg(F.min(order).alias("first")).select("first.id", "first.doc_id")
     firsts = second.written(firsts, "near-firsts")
-    kept = first.written(rows.join(firsts.select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "fp", "slices"), "near-kept")
-    pairs = second.written(candidates(kept, first), "near-pairs")
-    first.clear()
+    kept = first.written(rows.join(firsts.select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "fp", "slices", "size", "bits"), "near-kept")
+    shared = members(kept, first)
+    pairs = second.written(ends_paired(shared), "near-pairs")
     roots = second.written(components(verified(pairs, named, width, similarity, second), "near-components"), "near-roots")
+    with small_batches(docs.sparkSession, 200):
+        more = second.written(rest_paired(shared, roots, kept.select("id", "size", "bits"), similarity, first), "near-more")
+    first.clear()
+    if not more.isEmpty():
+        joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(more, named, width, similarity, second))
+        roots = second.written(components(joined, "near-components"), "near-all-roots")
     grouped = firsts.join(roots, F.col("id") == F.col("node"), "left")
     alone = grouped.filter("root is null").select("id")
     best = grouped.filter("root is not null").groupBy("root").agg(F.min(order).alias("first")).select("first.id")

@@ -68,6 +68,24 @@ def test_near_duplicates_of_planted_copies(spark):
         assert all(set(slice_counts(n)) & set(slice_counts(m)) for m in range(-(-n * 8 // 10), n))
 
 
+def test_near_duplicates_of_hubs(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for n in (300, 50):
+        base = rng.choices(words, k=200)
+        rows.append(" ".join(base))
+        for _ in range(n):
+            copy = list(base)
+            for at in rng.sample(range(200), 4):
+                copy[at] = rng.choice(words)
+            rows.append(" ".join(copy))
+    rows = list(enumerate(rows))
+    want = brute_near(rows)
+    got = sorted(r.doc_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == want and len(want) == 2
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (None, "a b c d e f"), (4, "A b c d e  f"), (4, "A b c d e  f"), (4, "q r s"), (None, "zz"), (5, "x " * 30000)]
     docs = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, id int, same string")
