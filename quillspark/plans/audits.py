@@ -32,9 +32,9 @@ def audit_contamination(spark, sf_dir):
 
 
 def class_prototypes(spark, sf_dir):
-    """Classes of the sample lines by their nearest prototypes."""
-    found = classified(C.lines(spark, sf_dir).filter("id < 0"), "line", HashingEncoder())
-    return found.select("id", "label", F.round("confidence", 6).alias("confidence"))
+    """Classes of all lines by their nearest prototypes."""
+    found = classified(C.lines(spark, sf_dir), "line", HashingEncoder())
+    return found.select("id", "pos", "label", F.round("confidence", 6).alias("confidence"))
 
 
 def eval_benchmark(spark, sf_dir):

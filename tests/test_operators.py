@@ -143,3 +143,28 @@ def test_index_run(spark, tmp_path):
     assert run_index(store, HashingEncoder(), 2024, NOW) == counts
     rows = {r.pmid: r for r in store.read("questions").collect()}
     assert rows["5"].is_critical + rows["4"].is_critical >= 1 and len(rows["0"].embedding) == 384
+
+
+def test_class_prototypes_takes_all_lines(spark, tmp_path):
+    import numpy as np
+
+    from quillspark.functions.models import HashingEncoder
+    from quillspark.operators.classify import centroids
+    from quillspark.plans import common as C
+    from quillspark.plans.audits import class_prototypes
+
+    texts = {1: "Role of dopamine in learning\n\nwe recorded neurons in mice", 2: "one line", 3: ""}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    named = centroids(HashingEncoder())
+    want = {}
+    lines = [(d, k, x) for d, t in texts.items() for k, x in enumerate(t.split("\n"))] + [(-1 - k, 0, x) for k, x in enumerate(C.SAMPLES)]
+    for d, k, line in lines:
+        scores = {label: float(np.dot(HashingEncoder().encode([line])[0], v)) for label, v in named.items()}
+        one, two = sorted(scores.values(), reverse=True)[:2]
+        sure = min(max((one + 1) / 2 * (0.5 + 0.5 * (one - two)), 0), 1)
+        want[d, k] = (max(scores, key=scores.get), sure) if line.strip() else ("subject", 0.0)
+    got = class_prototypes(spark, str(tmp_path)).collect()
+    assert len(got) == len(want)
+    for r in got:
+        label, sure = want[r.id, r.pos]
+        assert r.label == label and abs(r.confidence - sure) < 1e-5
