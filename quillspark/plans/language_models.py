@@ -102,7 +102,7 @@ def filter_near_duplicates(spark, sf_dir):
 def parse_sections(spark, sf_dir):
     """Sections of documents whose second and third lines are given headers."""
     lines = F.split("text", "\n")
-    text = F.concat_ws("\n", F.get(lines, F.lit(0)), F.concat(F.lit("METHODS: "), F.get(lines, F.lit(1))), F.concat(F.lit("RESULTS: "), F.get(lines, F.lit(2))))
+    text = F.concat_ws("\n", F.get(lines, F.lit(0)), F.concat(F.lit("METHODS: "), F.get(lines, F.lit(1))), F.concat(F.lit("RESULTS: "), F.get(lines, F.lit(2))), F.slice(lines, F.lit(4), F.size(lines)))
     found = table(spark, sf_dir, "documents").select("doc_id", export.sections(text).alias("s"))
     return found.select("doc_id", F.size("s").alias("n"), F.length(export.results_text(F.col("s"))).alias("n_results"))
 
@@ -114,9 +114,8 @@ def parse_clean(spark, sf_dir):
 
 def parse_export(spark, sf_dir):
     """Articles from an export made of the documents: a citation line, title, authors, abstract and ids."""
-    lines = F.split("text", "\n")
     block = F.concat(F.col("doc_id"), F.lit(". J Test. "), 2000 + F.col("doc_id") % 27, F.lit(" Mar 5;1(2):3-4.\n\nA title of article "), F.col("doc_id"),
-                     F.lit(".\n\nSmith JA(1), Lee B(2).\n\nAuthor information:\n(1)Department of Tests, USA.\n\n"), F.get(lines, F.lit(0)), F.lit("\n\nCopyright 2020\nDOI: 10.1/"), F.col("doc_id"), F.lit("\nPMID: "), F.col("doc_id"))
+                     F.lit(".\n\nSmith JA(1), Lee B(2).\n\nAuthor information:\n(1)Department of Tests, USA.\n\n"), F.col("text"), F.lit("\n\nCopyright 2020\nDOI: 10.1/"), F.col("doc_id"), F.lit("\nPMID: "), F.col("doc_id"))
     exports = table(spark, sf_dir, "documents").select(block.alias("value"))
     found = export.parsed(exports, C.REF_YEAR)
     return found.select("pmid", "year", "doi", "title", F.length("abstract").alias("n_chars"))

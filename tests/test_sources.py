@@ -128,3 +128,15 @@ def test_run_id():
     from datetime import datetime
 
     assert run_id("predict", datetime(2024, 1, 2, 3, 4, 5)) == "predict_20240102T030405Z"
+
+
+def test_sections_and_exports_take_whole_texts(spark, tmp_path):
+    from quillspark.plans.language_models import parse_export, parse_sections
+
+    given = ["The brain learns", "we used slices", "neurons fired", "they fired again", "", "and went on firing"]
+    rows = [(1, "\n".join(given)), (2, "\n".join(given[:2])), (3, "alone"), (4, "a\nb\nc"), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n, r.n_results) for r in parse_sections(spark, str(tmp_path)).collect()}
+    assert got == {1: (3, len("we used slices neurons fired they fired again and went on firing")), 2: (2, 14), 3: (1, 0), 4: (3, 3), 5: (0, 0)}
+    found = {r.pmid: r.n_chars for r in parse_export(spark, str(tmp_path)).collect()}
+    assert found["1"] == len(" ".join(given).replace("  ", " ")) and found["2"] == len(" ".join(given[:2]))
