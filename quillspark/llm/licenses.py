@@ -56,7 +56,6 @@ class Automaton:
     """
 
     first: bytes
-    anchor: bytes
     steps: tuple[dict[bytes, int], ...]
     free: tuple[int | None, ...]
     empty: tuple[tuple[int, ...], ...]
@@ -108,9 +107,7 @@ class Automaton:
                     at = after
         if opened or not mandatory or not words_of(template.split()[0]) or template.split()[0].startswith("{{"):
             raise ValueError("a template starts with a mandatory word and closes what it opens")
-        longest = max(range(len(mandatory) - 1), key=lambda k: len(mandatory[k]) + len(mandatory[k + 1]), default=0)
-        anchor = b" ".join(mandatory[longest : longest + 2]) if "{{" not in template and "[[" not in template else max(mandatory, key=len)
-        return cls(mandatory[0], anchor, tuple(steps), tuple(free), tuple(map(tuple, empty)), tuple(read), at)
+        return cls(mandatory[0], tuple(steps), tuple(free), tuple(map(tuple, empty)), tuple(read), at)
 
     def _closed(self, states: set[int]) -> set[int]:
         todo = list(states)
@@ -151,6 +148,9 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = [(label, Automaton.compiled(t)) for label, t in sorted(templates.items())]
+        starting: dict[bytes, list[tuple[str, Automaton]]] = {}
+        for label, automaton in automata:
+            starting.setdefault(automaton.first, []).append((label, automaton))
         phrases = [(f" {phrase} ".encode(), label) for phrase, label in PHRASES.items()]
         for batch in sliced(batches):
             rows = []
@@ -165,13 +165,12 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFra
                         base.add(label)
                         at = joined.find(phrase, at + 1)
                 labels, score = set(base), 0.0
-                for label, automaton in automata:
-                    if automaton.anchor not in joined:
-                        continue
-                    best = max((automaton.share(words, k) for k, w in enumerate(words) if w == automaton.first), default=0.0)
-                    score = max(score, best)
-                    if best == 1.0:
-                        labels.add(label)
+                for k, word in enumerate(words):
+                    for label, automaton in starting.get(word, ()):
+                        share = automaton.share(words, k)
+                        score = max(score, share)
+                        if share == 1.0:
+                            labels.add(label)
                 rows.append((len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score))
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
             columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]

@@ -48,3 +48,11 @@ def test_odd_rows(spark):
     assert sorted((repr(r.doc_id), r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got) == sorted((repr(d), *brute(t)) for d, t in rows)
     assert [r.labels for r in got if r.doc_id == 4] == ["mit"] and [r.score for r in got if r.doc_id == 4] == [1.0]
     assert scanned(docs.limit(0)).count() == 0
+
+
+def test_scores_of_starts_without_the_rest(spark):
+    starts = {"mit-text": 17, "bsd-clauses": 10, "isc": 5}
+    rows = [(k, "before " + " ".join(TEMPLATES[label].split()[:n]) + " after") for k, (label, n) in enumerate(starts.items())]
+    got = {r.doc_id: r for r in scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (label, n) in enumerate(starts.items()):
+        assert got[k].labels == "" and abs(got[k].score - n / len(TEMPLATES[label].split())) < 1e-9
