@@ -29,10 +29,14 @@ def header_bucket(name: Column) -> Column:
     return F.when(name.isin(*P.QUESTION_HEADERS), "question").when(name.isin(*P.RESULTS_HEADERS), "results")
 
 
+def is_header(text: Column) -> Column:
+    """Whether a line starts with a section header."""
+    return has(text, P.SECTION_HEADER.replace("(?im)", "(?i)"))
+
+
 def is_institution(text: Column) -> Column:
     prose = has(text, P.PROSE)
-    header = has(F.concat(text, F.lit(" ")), P.SECTION_HEADER.replace("(?im)", "(?i)"))
-    named = has(text, P.AFFILIATION_WORDS) & ~header & ~prose & (F.length(text) < 220)
+    named = has(text, P.AFFILIATION_WORDS) & ~is_header(text) & ~prose & (F.length(text) < 220)
     return has(text, P.INSTITUTION_START) | (has(text, P.POSTAL_LINE) & ~prose) | named
 
 

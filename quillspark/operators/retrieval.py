@@ -10,28 +10,30 @@ from quillspark.functions.text import stripped, tokens
 K1, B = 1.5, 0.75
 
 
-def bm25_scores(corpus: DataFrame, key: str, text: str, query: DataFrame, query_text: str) -> DataFrame:
-    """(key, score) of every row of the corpus against one query: a table of one or more texts whose tokens count as a
-    set. The corpus meets the query on its tokens, an inverted index made on the fly; rows without a common token keep
-    a score of 0. Token counts are pre-aggregated by row, and only query tokens are shuffled."""
+def bm25_scores(corpus: DataFrame, key: str, text: str, queries: DataFrame, query: str, query_text: str) -> DataFrame:
+    """(query, key, text, score) of the rows of the corpus that share a token with a query: a row or more (query,
+    query_text) whose tokens count as a set. The corpus meets the queries on their tokens, an inverted index made on the
+    fly; token counts are pre-aggregated by row, and only the queries' tokens are shuffled. Other rows score 0."""
     docs = corpus.select(key, tokens(F.col(text)).alias("__t")).withColumn("__len", F.size("__t"))
     n, average = docs.agg(F.count("*"), F.coalesce(F.avg("__len"), F.lit(0.0))).first()
-    asked = query.select(F.explode(tokens(F.col(query_text))).alias("token")).distinct()
-    tf = docs.select(key, "__len", F.explode("__t").alias("token")).join(asked, "token").groupBy(key, "__len", "token").agg(F.count("*").alias("tf"))
+    asked = queries.select(query, F.explode(tokens(F.col(query_text))).alias("token")).distinct()
+    counted = docs.select(key, "__len", F.explode("__t").alias("token")).join(asked.select("token").distinct(), "token")
+    tf = counted.groupBy(key, "__len", "token").agg(F.count("*").alias("tf"))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.log(1.0 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1.0) / (F.col("tf") + K1 * (1.0 - B + B * F.col("__len") / F.lit(average + 1e-9)))
-    scores = tf.join(df, "token").groupBy(key).agg(F.sum(idf * weight).alias("score"))
-    return corpus.select(key, text).join(scores, key, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    weighted = tf.join(df, "token").select("token", key, (idf * weight).alias("w"))
+    scores = weighted.join(asked, "token").groupBy(query, key).agg(F.sum("w").alias("score"))
+    return scores.join(corpus.select(key, text), key)
 
 
-def top_texts(scored: DataFrame, key: str, text: str, k: int, digits: int = 9) -> DataFrame:
-    """(rank, key, text, score): the k best distinct texts that aren't blank; ties go to the smaller key. Scores are
-    compared at so many digits, as sums depend on their order beyond that."""
+def top_texts(scored: DataFrame, query: str, key: str, text: str, k: int, digits: int = 9) -> DataFrame:
+    """(query, rank, key, text, score): each query's k best distinct texts that aren't blank; ties go to the smaller key.
+    Scores are compared at so many digits, as sums depend on their order beyond that. A task keeps k rows a query."""
     fit = scored.withColumn(text, stripped(F.col(text))).filter(F.length(text) > 0).withColumn("score", F.round("score", digits))
-    best = fit.groupBy(text).agg(F.min(F.struct(-F.col("score"), F.col(key).alias("key"))).alias("b"))
-    top = best.select(text, (-F.col("b.col1")).alias("score"), F.col("b.key").alias(key)).orderBy(F.desc("score"), key).limit(k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
+    best = fit.groupBy(query, text).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(key).alias("key"))).alias("b"))
+    found = best.select(query, text, (-F.col("b.s")).alias("score"), F.col("b.key").alias(key))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), key))).filter(F.col("rank") <= k)
 
 
 def tfidf_vectors(docs: DataFrame, key: str, text: str, fitted: DataFrame, fitted_text: str, most: int = 8000) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import n_words
 from quillspark.operators.impact import citation_rate, label_critical
-from quillspark.sources.tables import articles, citations, table
+from quillspark.sources.tables import articles, citations, spread, table
 
 REF_YEAR = 2026
 
@@ -32,8 +32,8 @@ SAMPLES = (
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, pos, line): the documents' lines, and the samples under negative ids. A narrow transformation."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    """(id, pos, line): the documents' lines, and the samples under negative ids."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     samples = spark.createDataFrame([(-1 - k, 0, s) for k, s in enumerate(SAMPLES)], "id long, pos int, line string")
     return docs.union(samples)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions.models import BigramScorer, EchoGenerator, HashingEncoder, compressed_length, encoded, passage
+from quillspark.functions import patterns as P
 from quillspark.functions.directions import direction_key
 from quillspark.operators import forecast as G
 from quillspark.operators.ranking import draw_key, sampled
@@ -12,7 +13,7 @@ from quillspark.operators.similarity import kept_apart
 from quillspark.plans import common as C
 from quillspark.plans import sqltext as Q
 from quillspark.sources import export
-from quillspark.sources.tables import table
+from quillspark.sources.tables import spread, table
 
 
 def prompt_extraction(spark, sf_dir):
@@ -103,12 +104,12 @@ def parse_sections(spark, sf_dir):
     """Sections of documents whose second and third lines are given headers."""
     lines = F.split("text", "\n")
     text = F.concat_ws("\n", F.get(lines, F.lit(0)), F.concat(F.lit("METHODS: "), F.get(lines, F.lit(1))), F.concat(F.lit("RESULTS: "), F.get(lines, F.lit(2))), F.slice(lines, F.lit(4), F.size(lines)))
-    found = table(spark, sf_dir, "documents").select("doc_id", export.sections(text).alias("s"))
+    found = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", export.sections(text).alias("s"))
     return found.select("doc_id", F.size("s").alias("n"), F.length(export.results_text(F.col("s"))).alias("n_results"))
 
 
 def parse_clean(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.length(export.cleaned_abstract("text", F.substring_index("text", "\n", 1))).alias("n_chars"))
 
 
@@ -116,7 +117,7 @@ def parse_export(spark, sf_dir):
     """Articles from an export made of the documents: a citation line, title, authors, abstract and ids."""
     block = F.concat(F.col("doc_id"), F.lit(". J Test. "), 2000 + F.col("doc_id") % 27, F.lit(" Mar 5;1(2):3-4.\n\nA title of article "), F.col("doc_id"),
                      F.lit(".\n\nSmith JA(1), Lee B(2).\n\nAuthor information:\n(1)Department of Tests, USA.\n\n"), F.col("text"), F.lit("\n\nCopyright 2020\nDOI: 10.1/"), F.col("doc_id"), F.lit("\nPMID: "), F.col("doc_id"))
-    exports = table(spark, sf_dir, "documents").select(block.alias("value"))
+    exports = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(block.alias("value"))
     found = export.parsed(exports, C.REF_YEAR)
     return found.select("pmid", "year", "doi", "title", F.length("abstract").alias("n_chars"))
 
@@ -160,8 +161,25 @@ def _oracle() -> dict[str, str]:
         "pairs_training": f"with {past}{_CTX.format(30)}, k as (select *, row_number() over (partition by year order by coalesce(impact_score, 0) desc, question_text, id) rk, count(*) over (partition by year) m from qs) select k.year target_year, md5({cont}) prompt, question_text[1:400] completion from k join cx on cx.w = k.year - 1 where rk <= least(40, greatest(1, floor(m * 0.7::double)))",
         "pairs_error_examples": f"with {q}, {C.PREDICTIONS_SQL.strip()}, y as (select *, max(is_critical) over () any_critical from questions where year = 2020) select id, question_text[1:400] completion from y where (is_critical = 1 or any_critical = 0) and question_text not in (select text from predictions) order by id limit 50",
         "lm_perplexity": f"with {lm} select id, round(exp(-avg(l)), 4) ppl from l group by id",
-        "parse_export": "select cast(doc_id as varchar) pmid, cast(2000 + doc_id % 27 as int) as year, '10.1/' || doc_id doi, 'A title of article ' || doc_id || '.' title, 0 n_chars from documents",
+        "parse_sections": f"""with t as (select doc_id, string_split(text, chr(10)) ls from documents),
+            g as (select doc_id, array_to_string(list_concat([ls[1]], case when len(ls) > 1 then ['METHODS: ' || ls[2]] else [] end, case when len(ls) > 2 then ['RESULTS: ' || ls[3]] else [] end, ls[4:]), chr(10)) text from t),
+            p as (select doc_id, text, {Q.section_pieces('text')} ps from g),
+            u as (select doc_id, unnest(ps) piece, generate_subscripts(ps, 1) place, len(ps) n from p where {Q.has('text', r'[^\s]')}),
+            h as (select *, {Q.header_of('piece')} head from u),
+            c as (select doc_id, place, case when n = 1 and head = '' then {Q.stripped('piece')} when head = '' then {Q.normal_space('piece')} else {Q.polished(Q.normal_space(Q.after_header('piece')))} end content, head, {Q.header_name('head')} as name, n from h),
+            b as (select *, {Q.header_bucket('name')} bucket from c),
+            k as (select * from b where content <> '' and case when head = '' then n = 1 or not {Q.is_metadata('content')} else bucket is not null end)
+            select d.doc_id, count(place)::int n, length(coalesce(string_agg(content, ' ' order by place) filter (bucket = 'results' and head <> ''), ''))::int n_results from documents d left join k on d.doc_id = k.doc_id group by d.doc_id""",
+        "parse_clean": f"with tt as (select doc_id as id, string_split(text, chr(10))[1] as title, text from documents where text is not null), {Q.cleaned('tt')} select d.doc_id, coalesce(length(cleaned), 0)::int n_chars from documents d left join cleaned on d.doc_id = cleaned.id",
+        # The title ends before the authors' line, so the body starts in the documents' text or at the line after it.
+        "parse_export": f"""with ln as (select doc_id, string_split(text, chr(10)) ls from documents), l as (select doc_id, unnest(ls) raw, generate_subscripts(ls, 1) i from ln), s as (select *, {Q.stripped('raw')} s from l),
+            f as (select *, {Q.has('s', P.LEGAL_START)} legal, ({Q.has('s', P.LEGAL_START)} or starts_with(s, 'PMID:') or starts_with(s, 'DOI:') or not (s = '' or {Q.has('s', P.AUTHOR_INFO)} or {Q.is_metadata('s')} or ({Q.is_citation('s')} and not {Q.is_header('s')}))) opens from s),
+            b as (select doc_id, min(i) filter (opens) begins from f group by doc_id),
+            e as (select f.*, begins from f join b on f.doc_id = b.doc_id where i >= begins),
+            z as (select *, min(i) filter (starts_with(s, 'Copyright') or starts_with(s, 'Conflict of interest')) over (partition by doc_id) ends from e),
+            tt as (select doc_id as id, 'A title of article ' || doc_id || '.' title, {Q.stripped("string_agg(raw, chr(10) order by i)")} text from z where (ends is null or i < ends) and not (starts_with(s, 'PMID:') or starts_with(s, 'DOI:') or starts_with(s, 'PMCID:')) group by doc_id),
+            {Q.cleaned('tt')} select cast(id as varchar) pmid, cast(2000 + id % 27 as int) as year, '10.1/' || id doi, 'A title of article ' || id || '.' title, length(cleaned)::int n_chars from cleaned where cleaned <> ''""",
     }
 
 
-ORACLE = {k: v for k, v in _oracle().items() if k != "parse_export"}
+ORACLE = _oracle()

@@ -64,7 +64,7 @@ def text_without_title(spark, sf_dir):
 
 def text_inferred_year(spark, sf_dir):
     blocks = F.concat(F.col("line"), F.lit(" "), F.element_at(F.array(F.lit("2020 Mar 3"), F.lit("May. 2019"), F.lit("eCollection 2015"), F.lit("in 2007"), F.lit("1999")), (F.abs("id") % 5 + 1).cast("int")))
-    return _lines(spark, sf_dir).filter(F.length("line") < 300).select("id", "pos", L.inferred_year(blocks, 2026).alias("year"))
+    return _lines(spark, sf_dir).select("id", "pos", L.inferred_year(blocks, 2026).alias("year"))
 
 
 def pred_bare_and_key(spark, sf_dir):
@@ -186,7 +186,7 @@ def _oracle() -> dict[str, str]:
         "text_polish": f"{lines} select id, pos, {Q.polished('line')} polished from lines",
         "text_headers": f"with h as (select *, regexp_replace(upper({Q.normal_space('header')}), ':+$', '') u from (values {heads}) v(header)), n as (select header, case {names} else u end as name from h) select header, name, case when name in ({quoted(P.QUESTION_HEADERS)}) then 'question' when name in ({quoted(P.RESULTS_HEADERS)}) then 'results' end bucket from n",
         "text_without_title": f"with t as (select doc_id, text, {first} f, {ttl} t from documents) select doc_id, md5(case when length(t) >= 12 and text <> '' and starts_with(lower(f), lower(t)[1:least(length(t), length(f))]) and length(f) >= length(t) * 0.75 then {rest} else text end) rest from t",
-        "text_inferred_year": f"{lines}, b as (select id, pos, line || ' ' || ['2020 Mar 3', 'May. 2019', 'eCollection 2015', 'in 2007', '1999'][abs(id) % 5 + 1] b from lines where length(line) < 300), y as (select id, pos, nullif(regexp_extract(b, '{P.re2(P.MONTH_YEAR)}', 1), '')::int m, nullif(regexp_extract(b, '{P.re2(P.COLLECTION_YEAR)}', 1), '')::int c, nullif(regexp_extract(b[1:400], '{P.re2(P.CENTURY_YEAR)}', 1), '')::int e from b) select id, pos, coalesce(m, c, case when e between 2000 and 2026 then e end) as year from y",
+        "text_inferred_year": f"{lines}, b as (select id, pos, line || ' ' || ['2020 Mar 3', 'May. 2019', 'eCollection 2015', 'in 2007', '1999'][abs(id) % 5 + 1] b from lines), y as (select id, pos, nullif(regexp_extract(b, '{P.re2(P.MONTH_YEAR)}', 1), '')::int m, nullif(regexp_extract(b, '{P.re2(P.COLLECTION_YEAR)}', 1), '')::int c, nullif(regexp_extract(b[1:400], '{P.re2(P.CENTURY_YEAR)}', 1), '')::int e from b) select id, pos, coalesce(m, c, case when e between 2000 and 2026 then e end) as year from y",
         "pred_bare_and_key": f"{lines} select id, pos, {Q.bare('line')} bare, {Q.direction_key('line')} as key from lines",
         "pred_rejection_reason": f"{reason} select id, pos, reason from r",
         "pred_leak": f"{bare} select id, pos, (s = '' or lower(s) in ({quoted(P.FEWSHOT)}) or {Q.has('s', P.PROMPT_LEAK)} or {Q.has('s', P.INSTRUCTION)}) leak from b",

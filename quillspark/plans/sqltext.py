@@ -42,11 +42,14 @@ def is_citation(x: str) -> str:
     return f"({has(s, P.JOURNAL_CITATION)} or {has(s, P.CITATION_CONTINUATION)} or {has(s, P.CITATION_DOI_END)})"
 
 
+def is_header(s: str) -> str:
+    return has(s, P.SECTION_HEADER.replace("(?im)", "(?i)"))
+
+
 def is_metadata(s: str) -> str:
     """Of text that is stripped already."""
     prose = has(s, P.PROSE)
-    header = has(f"{s} || ' '", P.SECTION_HEADER.replace("(?im)", "(?i)"))
-    named = f"({has(s, P.AFFILIATION_WORDS)} and not {header} and not {prose} and length({s}) < 220)"
+    named = f"({has(s, P.AFFILIATION_WORDS)} and not {is_header(s)} and not {prose} and length({s}) < 220)"
     institution = f"({has(s, P.INSTITUTION_START)} or ({has(s, P.POSTAL_LINE)} and not {prose}) or {named})"
     names = " or ".join(has(s, p) for p in (P.CITY_COUNTRY, P.AUTHOR_ONLY, P.STANDALONE_AUTHOR, P.AUTHOR_LINE))
     places = " or ".join(has(s, p) for p in (P.AFFILIATION_LINE, P.EMAIL, P.ADDRESS, P.COUNTRY_LINE))
@@ -70,6 +73,50 @@ def polished(x: str) -> str:
     return stripped(cut(cut(x, P.LEADING_AUTHOR), r"\s{2,}", " "))
 
 
+def without_title(text: str, title: str) -> str:
+    """Of columns."""
+    first, name = normal_space(f"string_split({text}, chr(10))[1]"), normal_space(f"coalesce({title}, '')")
+    rest = stripped(f"case when contains({text}, chr(10)) then {text}[strpos({text}, chr(10)) + 1:] else '' end")
+    same = f"starts_with(lower({first}), lower({name})[1:least(length({name}), length({first}))]) and length({first}) >= length({name}) * 0.75"
+    return f"(case when length({name}) >= 12 and {text} <> '' and {same} then {rest} else {text} end)"
+
+
+def cleaned(source: str) -> str:
+    """Common table expressions that end in cleaned (id, cleaned), of a table (id, title, text)."""
+    kept = f"s = '' or not ({has('s', P.AUTHOR_INFO)} or {has('s', P.ID_TAIL)} or {is_metadata('s')})"
+    return f"""cl as (select id, title, string_split({cut('text', P.AUTHOR_INFO_BLOCK)}, chr(10)) ls from {source}), cu as (select id, title, unnest(ls) raw, generate_subscripts(ls, 1) i from cl),
+        cs as (select id, title, i, {stripped('raw')} s from cu), cm as (select *, min(i) filter ({has('s', P.LEGAL_START)}) over (partition by id) stop from cs),
+        ck as (select id, any_value(title) title, {stripped(f"coalesce(string_agg({polished('s')}, chr(10) order by i) filter ((stop is null or i < stop) and ({kept})), '')")} t from cm group by id),
+        ct as (select id, {without_title('t', 'title')} t from ck), cleaned as (select id, {polished('t')} cleaned from ct)"""
+
+
+def section_pieces(text: str) -> str:
+    """A text's stretches that begin with a section header, and what is before the first; RE2 has no look-behind."""
+    inline = P.SECTION_INLINE.replace(r"(?<=[.;])", r"([.;])")
+    laid = f"regexp_replace({text}, '{inline}', '\\1' || chr(10) || '\\2: ', 'g')"
+    marked = f"regexp_replace({laid}, '(?im)^((?:{P.HEADERS})\\s*:)', chr(1) || '\\1', 'g')"
+    return f"list_filter(string_split({marked}, chr(1)), lambda p, k: k > 1 or p <> '')"
+
+
+def header_of(piece: str) -> str:
+    return f"regexp_extract({piece}, '(?i)^({P.HEADERS})\\s*:', 1)"
+
+
+def after_header(piece: str) -> str:
+    return cut(piece, rf"(?i)\A(?:{P.HEADERS})\s*:\s*")
+
+
+def header_name(header: str) -> str:
+    upper = cut(f"upper({normal_space(header)})", ":+$")
+    names = " ".join(f"when starts_with({upper}, '{a}') then '{b}'" for a, b in P.HEADER_STARTS)
+    return f"(case {names} else {upper} end)"
+
+
+def header_bucket(name: str) -> str:
+    quoted = lambda found: ", ".join(f"'{x}'" for x in found)
+    return f"(case when {name} in ({quoted(P.QUESTION_HEADERS)}) then 'question' when {name} in ({quoted(P.RESULTS_HEADERS)}) then 'results' end)"
+
+
 def bare(x: str) -> str:
     return stripped(cut(cut(cut(stripped(x), r"^\d+[.):\-]\s*"), r"^[-*•]\s*"), r"\?\z"))
 

@@ -14,6 +14,8 @@ from quillspark.plans import sqltext as Q
 from quillspark.sources.tables import table
 
 TAU, KS = 0.30, [10, 50]
+#: The last k is above the size of the cells, so that the gate closes for it.
+GATED_KS = [10, 50, 1000]
 
 
 def _vectors(spark, sf_dir):
@@ -46,9 +48,8 @@ def vec_precision_recall(spark, sf_dir):
 
 
 def vec_gated_metrics(spark, sf_dir):
-    """Long-format metrics; cells with too few predictions for k say so instead."""
-    found = E.precision_recall(_preds(spark, sf_dir).filter("rank <= 20"), _refs(spark, sf_dir), KS, TAU)
-    return _rounded(E.gated(found))
+    """Long-format metrics of all predictions; cells with too few of them for k say so instead."""
+    return _rounded(E.gated(E.precision_recall(_preds(spark, sf_dir), _refs(spark, sf_dir), GATED_KS, TAU)))
 
 
 def vec_uncovered(spark, sf_dir):
@@ -99,10 +100,10 @@ def vec_centroid_topk(spark, sf_dir):
 
 
 def ir_bm25_topk(spark, sf_dir):
-    """Questions for the benchmark's first items as one query."""
-    query = table(spark, sf_dir, "benchmark").filter("item_id < 4").select("text")
-    scores = R.bm25_scores(C.questions(spark, sf_dir), "id", "question_text", query, "text")
-    return R.top_texts(scores, "id", "question_text", 20).select("rank", "id", "question_text", F.round("score", 6).alias("score"))
+    """The best questions for each benchmark item whose id is divisible by 20."""
+    queries = table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0").select("item_id", "text")
+    scores = R.bm25_scores(C.questions(spark, sf_dir), "id", "question_text", queries, "item_id", "text")
+    return R.top_texts(scores, "item_id", "id", "question_text", 20).select("item_id", "rank", "id", "question_text", F.round("score", 6).alias("score"))
 
 
 def ir_tfidf_best(spark, sf_dir):
@@ -165,7 +166,7 @@ hr as (select cell, k, count(*) n_gt, count(*) filter (best >= {TAU}) covered fr
 prk as (select hp.cell, hp.k, n_preds, n_gt, least(1.0::double, n_preds / hp.k::double) coverage, "precision", covered / n_gt::double recall,
                covered / least(hp.k, n_gt)::double recall_norm from hp join hr on hp.cell = hr.cell and hp.k = hr.k)
 """
-_G = _V.replace("from v where id % 2 = 1)", "from v where id % 2 = 1 qualify rank <= 20)")
+_G = _V.replace(str(KS), str(GATED_KS))
 _COVER = "select r.cell, r.id, coalesce(max(list_dot_product(p.e, r.e)) >= {0}, false) hit from rf r left join {1} p on p.cell = r.cell and p.rank <= 50 group by all"
 _REC = "select p.cell, p.id, max(list_dot_product(p.e, c.e)) >= {0} hit from {1} p join {2} c on p.cell = c.cell group by all"
 
@@ -200,10 +201,11 @@ def _oracle() -> dict[str, str]:
         "vec_threshold_sweep": f"with {_V}, t as (select unnest([0.2, 0.25, 0.3, 0.35, 0.4])::double tau), c as (select tau, cell, avg((best >= tau)::int::double) p from bp, t where rank <= 50 group by tau, cell) select tau, round(avg(p), 6) \"precision\" from c group by tau",
         "vec_centroid_topk": "with d as (select unnest(embedding::double[]) x, generate_subscripts(embedding, 1) i from embeddings where label = 0), c0 as (select i, avg(x) x from d group by i), c1 as (select list(x order by i) c from c0), s as (select vec_id, round(list_dot_product(embedding::double[], c) / (sqrt(list_dot_product(c, c)) + 1e-9), 6) score from embeddings, c1) select vec_id, score from s order by score desc, vec_id limit 20",
         "ir_bm25_topk": f"""with {C.QUESTIONS_SQL}, dt as (select id, {Q.tokens('question_text')} t from questions), st as (select count(*)::double nn, avg(len(t)) al from dt),
-            q as (select distinct unnest({Q.tokens('text')}) token from benchmark where item_id < 4), u as (select id, len(t) dl, unnest(t) token from dt), tf as (select id, dl, token, count(*) tf from u join q using (token) group by all),
-            df as (select token, count(*) df from tf group by token), sc as (select id, sum(ln(1 + (nn - df + 0.5) / (df + 0.5)) * (tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * dl / (al + 1e-9))))) s from tf join df using (token), st group by id),
-            x as (select questions.id, {Q.stripped('question_text')} question_text, round(coalesce(s, 0), 9) s from questions left join sc on questions.id = sc.id), y as (select question_text, min((-s, id)) b from x where question_text <> '' group by 1)
-            select (row_number() over (order by b[1], b[2]))::int rank, b[2] id, question_text, round(-b[1], 6) score from y order by rank limit 20""",
+            q as (select distinct item_id, unnest({Q.tokens('text')}) token from benchmark where item_id % 20 = 0), u as (select id, len(t) dl, unnest(t) token from dt), tf as (select id, dl, token, count(*) tf from u where token in (select token from q) group by all),
+            df as (select token, count(*) df from tf group by token), sc as (select item_id, id, sum(ln(1 + (nn - df + 0.5) / (df + 0.5)) * (tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * dl / (al + 1e-9))))) s from tf join df using (token) join q using (token), st group by item_id, id),
+            x as (select item_id, questions.id, {Q.stripped('question_text')} question_text, round(s, 9) s from questions join sc on questions.id = sc.id), y as (select item_id, question_text, min((-s, id)) b from x where question_text <> '' group by 1, 2),
+            z as (select item_id, (row_number() over (partition by item_id order by b[1], b[2]))::int rank, b[2] id, question_text, round(-b[1], 6) score from y)
+            select * from z where rank <= 20""",
         "div_trigram_ratio": f"with {C.PREDICTIONS_SQL}, t as (select model, {Q.tokens('text')} t from predictions), g as (select model, unnest({grams}) g from t) select model, round(count(distinct g) / count(*)::double, 6) ratio from g group by model",
         "audit_verbatim": f"with {C.LINES_SQL.strip()}, {C.PREDICTIONS_SQL.strip()}, kn as (select distinct {key('line')} k from lines) select model, round(avg(({key('text')} in (select k from kn))::int::double), 6) rate from predictions group by model",
         "audit_passages": "select item_id, doc_id from benchmark b join documents d on contains(d.text, b.text)",

@@ -11,6 +11,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where a scan has fewer partitions than those, as an unsplit file has. Larger inputs stay
+    as they are read, so what is shuffled is little."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as articles(pmid, year, title, abstract); the year is derived from the id."""
     docs = table(spark, sf_dir, "documents")

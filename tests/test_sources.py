@@ -4,6 +4,7 @@ import dataclasses
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.operators.store import run_id
 from quillspark.sources import collect, config, export
@@ -50,15 +51,41 @@ def test_export_blocks(spark):
     assert "Smith" not in rows[0].abstract and "Copyright" not in rows[0].abstract and "Timing needs" in rows[0].abstract
 
 
-def test_sections():
-    found = export.sections_of("Some start. OBJECTIVES: to see; RESULTS: seen. SIGNIFICANCE: much. METHODS: none CONCLUSION: x")
-    assert [(s["section"], s["bucket"]) for s in found] == [(None, None), ("OBJECTIVES", "question"), ("RESULTS", "results"), ("METHODS", "results")]
-    assert found[-1]["content"] == "none CONCLUSION: x"
-    assert export.sections_of("no headers") == [{"content": "no headers", "bucket": None, "section": None}] and export.sections_of(" ") == []
+def sections_of(spark, text):
+    found = spark.createDataFrame([(text,)], "t string").select(export.sections("t").alias("s")).first().s
+    return [(s.content, s.bucket, s.section) for s in found]
 
 
-def test_cleaned():
-    assert export.cleaned("A title of some length\nwe found cells\n\n\nwrite to x@y.org\nPMID: 3", "A title of some length") == "we found cells"
+def test_sections(spark):
+    found = sections_of(spark, "Some start. OBJECTIVES: to see; RESULTS: seen. SIGNIFICANCE: much. METHODS: none CONCLUSION: x")
+    assert [s[1:] for s in found] == [(None, None), ("question", "OBJECTIVES"), ("results", "RESULTS"), ("results", "METHODS")]
+    assert found[-1][0] == "none CONCLUSION: x"
+    assert sections_of(spark, "no headers") == [("no headers", None, None)] and sections_of(spark, " ") == sections_of(spark, None) == []
+    assert sections_of(spark, "Some words\nMETHODS:\nRESULTS: a  b") == [("Some words", None, None), ("a b", "results", "RESULTS")]
+
+
+def cleaned(spark, text, title=None):
+    return spark.createDataFrame([(text, title)], "t string, n string").select(export.cleaned_abstract("t", "n").alias("c")).first().c
+
+
+def test_cleaned(spark):
+    assert cleaned(spark, "A title of some length\nwe found cells\n\n\nwrite to x@y.org\nPMID: 3", "A title of some length") == "we found cells"
+    assert cleaned(spark, "First\r\n\n\nSecond part\nAuthor information:\n(1)Dept of X\nThird\nCopyright 2020\nFourth") == "First Second part\nThird"
+    assert cleaned(spark, None) == cleaned(spark, "") == cleaned(spark, "Smith JA(1), Lee B(2).") == ""
+
+
+def test_blocks_without_title_take_the_first_line(spark):
+    block = "1. J X. 2019 Mar.\n\n2019 Mar eCollection\n\nLee B(2).\n\nA first line\nand a second"
+    got = spark.createDataFrame([(block,), (None,)], "b string").select(export.parsed_block("b").alias("p")).collect()
+    assert tuple(got[0].p) == ("2019 Mar eCollection", "A first line\nand a second") and tuple(got[1].p) == ("", "")
+
+
+def test_runs_of_names_have_no_bound(spark):
+    from quillspark.functions.lines import is_metadata
+
+    rows = [("Smith " * 60 + "AB",), (" ".join(["Smith"] * 60) + "(1)",), ("Smith " * 5000 + "went on",)]
+    got = spark.createDataFrame(rows, "t string").select(is_metadata(F.col("t")).alias("m")).collect()
+    assert [r.m for r in got] == [True, True, False]
 
 
 @pytest.mark.parametrize("text", ['["1", "2"]', '[{"pmid": "1"}, {"pmid": "2"}]', '{"pmids": ["1", "2"]}', '{"samples": [{"pmid": "2"}, {"pmid": "1"}]}', "1 # one\n\n# none\n2\n"])
