@@ -7,14 +7,16 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 
-#: Hashed contexts: the orders, the bits of a slot's number, and the slots of a page.
-ORDERS, SLOT_BITS, PAGE = (1, 2), 20, 4096
+#: Hashed contexts: the orders, and the bits of a slot's number at most. Tables have a slot for each token that they are
+#: learned from, up to this many; 4 bytes a slot.
+ORDERS, SLOT_BITS = (1, 2), 22
 #: Predictors of a bit: the words' frequencies, the two hashed contexts, and the document so far.
 INPUTS, GATES = 4, 12
 #: Weights are refined after each block of so many tokens of a document, at this rate, within these bounds.
 BLOCK, RATE, LIMIT = 64, 0.003, 8.0
-#: Tokens of a document that are laid out at once; a longer one goes on with the weights that it has by then.
-SEGMENT = 1 << 18
+#: Tokens whose bits are laid out at once; weights, contexts and what a document has had so far go on from one such lot to
+#: the next.
+LOT = 1 << 17
 WIDTH = 48
 _START = np.uint64(0xA0761D6478BD642F)
 
@@ -90,34 +92,85 @@ class Code:
 
 
 @dataclass
-class Table:
-    """For each slot of a hashed context the symbol that followed most, how often, and a check of the context."""
+class Counts:
+    """How often each symbol followed each hashed context: ascending numbers, of 48 bits of the context's hash and 16 of the
+    symbol, and a count for each."""
 
-    symbol: np.ndarray
-    check: np.ndarray
-    count: np.ndarray
+    numbers: np.ndarray
+    counts: np.ndarray
 
     @classmethod
-    def empty(cls, slots: int) -> Table:
-        return cls(np.zeros(slots, np.uint16), np.zeros(slots, np.uint8), np.zeros(slots, np.uint16))
+    def of(cls, numbers: np.ndarray) -> Counts:
+        numbers = np.sort(numbers)
+        firsts = np.flatnonzero(np.diff(numbers, prepend=~numbers[:1]))
+        return cls(numbers[firsts], np.diff(firsts, append=len(numbers)))
+
+    @classmethod
+    def summed(cls, parts: list[Counts]) -> Counts:
+        numbers, counts = (np.concatenate([getattr(p, f) for p in parts]) for f in ("numbers", "counts"))
+        order = np.argsort(numbers, kind="stable")
+        numbers = numbers[order]
+        firsts = np.flatnonzero(np.diff(numbers, prepend=~numbers[:1]))
+        return cls(numbers[firsts], np.add.reduceat(counts[order], firsts) if len(firsts) else counts)
+
+    def cut(self, bits: int) -> list[Counts]:
+        """By the first bits of the numbers."""
+        ends = np.searchsorted(self.numbers, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
+        return [Counts(n, c) for n, c in zip(np.split(self.numbers, ends), np.split(self.counts, ends), strict=True)]
 
     def to_bytes(self) -> bytes:
-        return self.symbol.tobytes() + self.check.tobytes() + self.count.tobytes()
+        """Steps from number to number, and counts, byte by byte of all of them, so that the zeros of both lie together."""
+        steps = np.diff(self.numbers, prepend=np.uint64(0))
+        return b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes() for x in (steps, self.counts.astype(np.int64)))
 
     @classmethod
-    def from_bytes(cls, data: bytes) -> Table:
-        n = len(data) // 5
-        return cls(np.frombuffer(data, np.uint16, n), np.frombuffer(data, np.uint8, n, 2 * n), np.frombuffer(data, np.uint16, n, 3 * n))
+    def from_bytes(cls, data: bytes) -> Counts:
+        rows = np.frombuffer(data, np.uint8).reshape(2, 8, -1)
+        steps, counts = (np.ascontiguousarray(x.T).reshape(-1) for x in rows)
+        return cls(np.cumsum(steps.view(np.uint64), dtype=np.uint64), counts.view(np.int64))
 
-    def merged(self, other: Table) -> Table:
-        """Counts of one context and symbol add up; of different ones the more frequent stays, the greater on a tie."""
-        mine = self.count.astype(np.int64)
-        theirs = other.count.astype(np.int64)
-        key = lambda t: t.symbol.astype(np.int64) << 8 | t.check
-        same = (key(self) == key(other)) & (mine > 0) & (theirs > 0)
-        take = ~same & ((theirs > mine) | ((theirs == mine) & (key(other) > key(self))))
-        count = np.where(same, np.minimum(mine + theirs, 65535), np.where(take, theirs, mine)).astype(np.uint16)
-        return Table(np.where(take, other.symbol, self.symbol), np.where(take, other.check, self.check), count)
+
+@dataclass
+class Table:
+    """For each slot of a hashed context the symbol that followed most, with a check of the context and how far to trust
+    it (0: an empty slot)."""
+
+    symbol: np.ndarray
+    mark: np.ndarray
+    CHECK_BITS = 14
+
+    @classmethod
+    def empty(cls, bits: int) -> Table:
+        return cls(np.zeros(1 << bits, np.uint16), np.zeros(1 << bits, np.uint16))
+
+    @classmethod
+    def chosen(cls, found: Counts, bits: int, first: int = 0, slots: int | None = None) -> Table:
+        """The slots from ``first`` on, of 2**bits. A slot goes to the context whose most frequent successor has the
+        greatest count, on a tie to the greater hash; a context's to the most frequent, on a tie the greater symbol."""
+        table = cls.empty(0)
+        table.symbol, table.mark = (np.zeros((1 << bits) if slots is None else slots, np.uint16) for _ in range(2))
+        if not len(found.numbers):
+            return table
+        context = (found.numbers >> np.uint64(16)).astype(np.int64)
+        begins = np.flatnonzero(np.diff(context, prepend=-1))
+        best = np.maximum.reduceat((found.counts << 16) | (found.numbers & np.uint64(0xFFFF)).astype(np.int64), begins)
+        context = context[begins]
+        slot = context >> (48 - bits)
+        firsts = np.flatnonzero(np.diff(slot, prepend=-1))
+        most = np.repeat(np.maximum.reduceat(best >> 16, firsts), np.diff(firsts, append=len(slot)))
+        won = np.maximum.reduceat(np.where(best >> 16 == most, np.arange(len(slot)), -1), firsts)
+        check = (context[won] >> (48 - bits - cls.CHECK_BITS)) & ((1 << cls.CHECK_BITS) - 1)
+        table.symbol[slot[won] - first] = best[won] & 0xFFFF
+        table.mark[slot[won] - first] = (check << 2) | _level(best[won] >> 16)
+        return table
+
+    def found(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The predicted symbol and its level for each context's hash."""
+        bits = len(self.symbol).bit_length() - 1
+        slot = (hashed >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashed), np.int64)
+        check = ((hashed >> np.uint64(64 - bits - self.CHECK_BITS)) & np.uint64((1 << self.CHECK_BITS) - 1)).astype(np.uint16)
+        mark = self.mark.take(slot)
+        return self.symbol.take(slot).astype(np.int64), np.where(mark >> 2 == check, mark & 3, 0).astype(np.int8)
 
 
 def contexts(words: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
@@ -131,33 +184,10 @@ def contexts(words: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     return [mixed(before + np.uint64(1)), mixed(mixed(before + np.uint64(2)) + second)]
 
 
-def slot_and_check(hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (hashed >> np.uint64(64 - SLOT_BITS)).astype(np.int64), ((hashed >> np.uint64(8)) & np.uint64(255)).astype(np.uint8)
-
-
 def gathered(words: np.ndarray, symbols: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """For each order, a number for each token that holds the slot, the check and the symbol that followed."""
-    out = []
-    for hashed in contexts(words, starts):
-        slot, check = slot_and_check(hashed)
-        out.append((slot << 24) | (check.astype(np.int64) << 16) | symbols)
-    return out
-
-
-def tabulated(numbers: np.ndarray) -> Table:
-    """The table of a set of tokens, from their numbers."""
-    table = Table.empty(1 << SLOT_BITS)
-    numbers = np.sort(numbers)
-    firsts = np.flatnonzero(np.diff(numbers, prepend=-1))
-    found, counts = numbers[firsts], np.minimum(np.diff(firsts, append=len(numbers)), 65535)
-    slots = found >> 24
-    begins = np.flatnonzero(np.diff(slots, prepend=-1))
-    if len(begins):
-        best = np.maximum.reduceat((counts << 24) | (found & 0xFFFFFF), begins)
-        table.symbol[slots[begins]] = best & 0xFFFF
-        table.check[slots[begins]] = (best >> 16) & 0xFF
-        table.count[slots[begins]] = best >> 24
-    return table
+    """For each order, a number for each token: 48 bits of its context's hash and the symbol that followed."""
+    low = np.uint64(0xFFFF)
+    return [(hashed & ~low) | symbols.astype(np.uint64) for hashed in contexts(words, starts)]
 
 
 def _level(count: np.ndarray) -> np.ndarray:
@@ -178,9 +208,8 @@ class Mixer:
         whether the document predicts a word that has no symbol of its own, and is right."""
         found = []
         for table, hashed in zip(self.tables, contexts(words, starts), strict=True):
-            slot, check = slot_and_check(hashed)
-            level = np.where(table.check.take(slot) == check, _level(table.count.take(slot)), 0)
-            found.append((self.code.common(symbols, table.symbol.take(slot).astype(np.int64)), level))
+            predicted, level = table.found(hashed)
+            found.append((self.code.common(symbols, predicted), level))
         before = np.empty_like(words)
         before[1:] = words[:-1]
         before[starts] = _START
@@ -196,61 +225,63 @@ class Mixer:
         found.append((self.code.common(symbols, symbols[last]), seen.astype(np.int8) + twice))
         return found, seen & (symbols[last] == symbols), seen & (words[last] == words)
 
-    def laid_out(self, words, symbols, counts):
-        """Bits in the order in which they are coded, all documents block by block: inputs in the true bit's favour,
-        gates, documents, where blocks end; and the documents' predictions of words."""
-        starts = np.cumsum(counts) - counts
-        documents = np.repeat(np.arange(len(counts)), counts)
-        found, same_symbol, same_word = self.predictions(words, symbols, starts, documents)
-        blocks = (np.arange(len(words)) - starts[documents]) // BLOCK
-        order = np.argsort(blocks, kind="stable")
-        symbols_, documents_ = symbols[order], documents[order].astype(np.int32)
-        lengths = self.code.lengths.take(symbols_)
+    def laid_out(self, symbols, found):
+        """The bits of symbols in a row: the bits' inputs in favour of what is true, gates and tokens."""
+        lengths = self.code.lengths.take(symbols)
         ends = np.cumsum(lengths)
         total = int(ends[-1])
-        token = np.repeat(np.arange(len(order), dtype=np.int32), lengths)
+        token = np.repeat(np.arange(len(symbols), dtype=np.int32), lengths)
         place = np.arange(total, dtype=np.int32) - (ends - lengths).astype(np.int32).take(token)
         x = np.empty((INPUTS, total), np.float32)
-        x[0] = self.code.stretched.take(self.code.offsets.take(symbols_).astype(np.int32).take(token) + place)
+        x[0] = self.code.stretched.take(self.code.offsets.take(symbols).astype(np.int32).take(token) + place)
         gate, short = np.zeros(total, np.int8), place.astype(np.int16)
         for k, (common, level) in enumerate(found):
             # By level and by whether the prediction has failed before this bit, fails here, or holds.
-            level = level[order].astype(np.int8)
             worth = (self.strengths[k][:, None] * np.array([0, -1, 1], np.float32)).ravel()
             worth[:3] = 0
             held = np.repeat(np.arange(4, dtype=np.int8), 3) * np.tile(np.array([0, 1, 1], np.int8), 4)
-            ahead = common[order].astype(np.int16).take(token) - short
-            state = (level * np.int8(3)).take(token) + np.minimum(np.maximum(ahead, -1), 1).astype(np.int8) + np.int8(1)
+            ahead = common.astype(np.int16).take(token) - short
+            state = (level.astype(np.int8) * np.int8(3)).take(token) + np.minimum(np.maximum(ahead, -1), 1).astype(np.int8) + np.int8(1)
             x[k + 1] = worth.take(state)
             if k:
                 gate += ((1, 4)[k - 1] * held).astype(np.int8).take(state)
-        sizes = np.bincount(blocks[order], weights=lengths).astype(np.int64)
-        return x, gate, documents_.take(token), np.cumsum(sizes), same_symbol, same_word
-
-    def bits(self, words, symbols, counts, weights=None):
-        """The bits that the symbols of each document cost, in order, and the weights that each has in the end."""
-        n = len(counts)
-        x, gate, document, ends, same_symbol, same_word = self.laid_out(words, symbols, counts)
-        weights = np.tile(self.weights, (n, 1, 1)).astype(np.float32) if weights is None else weights
-        flat = weights.reshape(n * GATES, INPUTS)
-        cost = np.zeros(n)
+        return x, gate, token
+
+    def bits(self, words, symbols, counts):
+        """The bits that the symbols of each document cost, in order; and for each token whether the document predicted
+        its symbol and its word. Documents go on side by side, block by block, each with weights of its own."""
+        n, starts = len(counts), np.cumsum(counts) - counts
+        documents = np.repeat(np.arange(n, dtype=np.int32), counts)
+        found, same_symbol, same_word = self.predictions(words, symbols, starts, documents)
+        blocks = (np.arange(len(words)) - starts[documents]) // BLOCK
+        order = np.argsort(blocks, kind="stable")
+        begins = np.append(np.flatnonzero(np.diff(blocks[order], prepend=-1)), len(order))
+        flat = np.tile(self.weights, (n, 1, 1)).astype(np.float32).reshape(n * GATES, INPUTS)
+        cost, at = np.zeros(n), 0
+        while at < len(begins) - 1:
+            upto = max(at + 1, int(np.searchsorted(begins, begins[at] + LOT, side="right")) - 1)
+            lot = order[begins[at] : begins[upto]]
+            x, gate, token = self.laid_out(symbols[lot], [(c[lot], level[lot]) for c, level in found])
+            owner = documents[lot].take(token)
+            last = np.searchsorted(token, begins[at + 1 : upto + 1] - begins[at])
+            self._paid(x, owner * np.int32(GATES) + gate, owner, last.tolist(), flat, cost)
+            at = upto
+        return cost / np.log(2), same_symbol, same_word
+
+    def _paid(self, x, cells, owner, ends, flat, cost):
+        """Adds what bits cost to their owners, and refines the weights after each block."""
         at = 0
-        for end in ends.tolist():
-            if end == at:
-                continue
-            own = x[:, at:end]
-            cell = document[at:end] * np.int32(GATES) + gate[at:end]
-            w = flat.take(cell, axis=0)
-            z = (w.T * own).sum(axis=0)
+        for end in ends:
+            own, cell = x[:, at:end], cells[at:end]
+            z = (flat.take(cell, axis=0).T * own).sum(axis=0)
             np.clip(z, -30, 30, out=z)
             e = np.exp(-z)
-            cost += np.bincount(document[at:end], weights=np.log1p(e), minlength=n)
+            cost += np.bincount(owner[at:end], weights=np.log1p(e), minlength=len(cost))
             wrong = e / (1 + e)
             for k in range(INPUTS):
-                flat[:, k] += RATE * np.bincount(cell, weights=wrong * own[k], minlength=n * GATES)
+                flat[:, k] += RATE * np.bincount(cell, weights=wrong * own[k], minlength=len(flat))
             np.clip(flat, -LIMIT, LIMIT, out=flat)
             at = end
-        return cost / np.log(2), weights, same_symbol, same_word
 
     def fitted(self, words, symbols, counts) -> Mixer:
         """Strengths from how often each predictor is right at each level, and weights by logistic regression for each
@@ -266,7 +297,7 @@ class Mixer:
                 if right + wrong > 50:
                     strengths[k, value] = np.clip(np.log((right + 1) / (wrong + 1)), -4, 6)
         model = Mixer(self.code, self.tables, strengths, self.weights.copy())
-        x, gate, *_ = model.laid_out(words, symbols, counts)
+        x, gate, _ = model.laid_out(symbols, found)
         for g in range(GATES):
             those = gate == g
             if those.sum() < 200:
