@@ -77,7 +77,7 @@ def test_cleaned(spark):
 def test_blocks_without_title_take_the_first_line(spark):
     block = "1. J X. 2019 Mar.\n\n2019 Mar eCollection\n\nLee B(2).\n\nA first line\nand a second"
     got = spark.createDataFrame([(block,), (None,)], "b string").select(export.parsed_block("b").alias("p")).collect()
-    assert tuple(got[0].p) == ("2019 Mar eCollection", "A first line\nand a second") and tuple(got[1].p) == ("", "")
+    assert tuple(got[0].p) == ("A first line", "and a second") and tuple(got[1].p) == ("", "")
 
 
 def test_runs_of_names_have_no_bound(spark):
