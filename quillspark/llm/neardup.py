@@ -41,24 +41,24 @@ def slice_counts(n: int, similarity: float = SIMILARITY) -> list[int]:
 
 
 def sketched(docs: DataFrame, width: int) -> DataFrame:
-    """(id, doc_id, same, fp, slices, size, bits) for (id, doc_id, text): a hash of all words, the SimHash of the
+    """(id, doc_id, same, fp, slices, size, bits) for (id, doc_id, text): a hash of 128 bits of all words, the SimHash of the
     shingles, a hash for each slice of the distinct shingles, of its own SimHash and its number, and how many distinct
     shingles there are, with the parity of those at each of SKETCH_BITS places."""
-    from xxhash import xxh64_intdigest
+    from xxhash import xxh3_128_digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, limit=1 << 20):
             same, hashed, counts, slices, sizes, names, many_distinct, bits = [], [], [], [], [], [], [], []
             for text in texts(batch).to_pylist():
                 found = np.array(shingle_hashes(text, width), np.uint64)
-                same.append(xxh64_intdigest(b" ".join(text.encode().lower().split()), 7))
+                same.append(xxh3_128_digest(b" ".join(text.encode().lower().split())))
                 hashed.append(found)
                 counts.append(len(found))
                 distinct = np.unique(found)
                 spread = _mixed(distinct)
                 many_distinct.append(len(distinct))
                 places = (spread >> np.uint64(40)) % np.uint64(SKETCH_BITS)
-                bits.append(np.packbits(np.bincount(places.astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes())
+                bits.append(np.packbits(np.bincount(places.astype(np.int64), minlength=SKETCH_BITS).astype(np.uint8) & 1))
                 own = 0
                 for many in slice_counts(len(distinct)):
                     cell = (spread >> np.uint64(24)) % np.uint64(many)
@@ -78,12 +78,13 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
                 keys = np.zeros(0, np.uint64)
             offsets = np.concatenate([[0], np.cumsum(numbers)]).astype(np.int32)
             columns = [
-                batch.column("id"), batch.column("doc_id"), pa.array(np.array(same, np.uint64).view(np.int64)), pa.array(fps.view(np.int64)),
-                pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64))), pa.array(many_distinct, pa.int32()), pa.array(bits, pa.binary()),
+                batch.column("id"), batch.column("doc_id"), pa.array(same, pa.binary()), pa.array(fps.view(np.int64)),
+                pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64))), pa.array(many_distinct, pa.int32()),
+                pa.ListArray.from_arrays(np.arange(len(bits) + 1, dtype=np.int32) * (SKETCH_BITS // 64), pa.array(np.concatenate(bits).view(np.int64))),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["id", "doc_id", "same", "fp", "slices", "size", "bits"])
 
-    return docs.mapInArrow(run, "id long, doc_id long, same long, fp long, slices array<long>, size int, bits binary")
+    return docs.mapInArrow(run, "id long, doc_id long, same binary, fp long, slices array<long>, size int, bits array<long>")
 
 
 def members(kept: DataFrame, scratch: Scratch) -> DataFrame:
@@ -124,7 +125,6 @@ def rest_paired(rows: DataFrame, roots: DataFrame, sketches: DataFrame, similari
     dealt = dealt.join(sketches, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     row = F.struct("own", "id", "root", "size", "bits")
     met = dealt.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(row).alias("rows"))
-    share = (1 - similarity) / (1 + similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,7 +133,7 @@ def rest_paired(rows: DataFrame, roots: DataFrame, sketches: DataFrame, similari
                 continue
             ends, flat = np.cumsum(np.asarray(lists.value_lengths())), lists.flatten()
             own, ids, root, size = (np.asarray(flat.field(name)) for name in ("own", "id", "root", "size"))
-            bits = np.frombuffer(b"".join(flat.field("bits").to_pylist()), np.uint64).reshape(len(flat), -1)
+            bits = np.asarray(flat.field("bits").flatten()).view(np.uint64).reshape(len(flat), -1)
             first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for at, end, i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True):
                 ones = np.arange(at, end)[own[at:end] == i]
@@ -144,7 +144,7 @@ def rest_paired(rows: DataFrame, roots: DataFrame, sketches: DataFrame, similari
                     if i == j:
                         x, y = x[x < y], y[x < y]
                     apart = np.abs(size[x] - size[y])
-                    most = (size[x].astype(np.int64) + size[y]) * share + 1e-6
+                    most = _most_apart(size[x].astype(np.int64) + size[y], similarity)
                     x, y, most = x[apart <= most], y[apart <= most], most[apart <= most]
                     near = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= most
                     first.append(ids[x[near]])
@@ -156,6 +156,20 @@ def rest_paired(rows: DataFrame, roots: DataFrame, sketches: DataFrame, similari
     return met.select("i", "j", "rows").mapInArrow(run, "a long, b long").distinct()
 
 
+def _most_apart(sizes, similarity: float):
+    """How many shingles two sets of so many in all may differ in, if they are near."""
+    return sizes * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
+def possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that sizes and parity sketches (id, size, bits) don't rule out; no near pair is ruled out."""
+    one = sketches.select(F.col("id").alias("a"), F.col("size").alias("m"), F.col("bits").alias("x"))
+    two = sketches.select(F.col("id").alias("b"), F.col("size").alias("n"), F.col("bits").alias("y"))
+    differing = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    most = _most_apart(F.col("m") + F.col("n"), similarity)
+    return pairs.join(one, "a").join(two, "b").filter((F.abs(F.col("m") - F.col("n")) <= most) & (differing <= most)).select("a", "b")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose texts' distinct shingles have at least this share of their union in common."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -165,14 +179,19 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float, s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "one", limit=1 << 20):
             keep = []
-            for one, two in zip(texts(batch, "one").to_pylist(), texts(batch, "two").to_pylist(), strict=True):
-                x, y = set(shingle_hashes(one, width)), set(shingle_hashes(two, width))
-                common = len(x & y)
-                keep.append(common >= similarity * (len(x) + len(y) - common))
+            known, sets = None, set()
+            for a, one, two in zip(batch.column("a").to_pylist(), texts(batch, "one").to_pylist(), texts(batch, "two").to_pylist(), strict=True):
+                if a != known:
+                    known, sets = a, set(shingle_hashes(one, width))
+                other = set(shingle_hashes(two, width))
+                common = len(sets & other)
+                keep.append(common >= similarity * (len(sets) + len(other) - common))
             kept = batch.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
+    near = pairs.join(left, "a").join(right, "b").select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
+    with small_batches(pairs.sparkSession, 100):
+        return scratch.written(near, "near-verified")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
@@ -187,8 +206,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     and, as texts of a similarity of 0.8 differ in more, the fingerprints of slices of the shingles. The slices are
     equal in many places in texts that are this near, seldom in others. Rows that share one are first paired with the
     least and the greatest of them, then with all that they aren't joined with by then. Every candidate pair is verified
-    by its shingles. Null and empty texts count as the same. Repeated rows collapse to one. An empty table stays empty.
+    by its shingles. Null and empty texts count as the same. Of rows with the same doc_id and text the one with the least
+    hash of its other columns stays. Other columns may have any names and are kept. An empty table stays empty.
     """
+    own = docs.columns
     docs = docs.withColumn("__id", F.xxhash64("doc_id", "text"))
     named = docs.select(F.col("__id").alias("id"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     first, second = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
@@ -199,10 +220,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     firsts = second.written(firsts, "near-firsts")
     kept = first.written(rows.join(firsts.select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "fp", "slices", "size", "bits"), "near-kept")
     shared = members(kept, first)
-    pairs = second.written(ends_paired(shared), "near-pairs")
+    sketches = kept.select("id", "size", "bits")
+    pairs = second.written(possible(ends_paired(shared), sketches, similarity), "near-pairs")
     roots = second.written(components(verified(pairs, named, width, similarity, second), "near-components"), "near-roots")
     with small_batches(docs.sparkSession, 200):
-        more = second.written(rest_paired(shared, roots, kept.select("id", "size", "bits"), similarity, first), "near-more")
+        more = second.written(rest_paired(shared, roots, sketches, similarity, first), "near-more")
     first.clear()
     if not more.isEmpty():
         joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(more, named, width, similarity, second))
@@ -212,4 +234,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     best = grouped.filter("root is not null").groupBy("root").agg(F.min(order).alias("first")).select("first.id")
     staying, _ = written(alone.union(best).withColumnRenamed("id", "__id"), "near-staying")
     second.clear()
-    return docs.join(staying, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
+    others = [c for c in own if c not in ("doc_id", "text")]
+    hashed = [c for c, kind in docs.dtypes if c in others and "map<" not in kind and "variant" not in kind]
+    kept = docs.join(staying, "__id", "left_semi").select("doc_id", "text", F.struct(*others, F.lit(0).alias("__")).alias("rest"), F.xxhash64(*hashed, F.lit(0)).alias("h"))
+    return kept.groupBy("doc_id", "text").agg(F.min_by("rest", "h").alias("rest")).select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in own])

@@ -68,16 +68,18 @@ class Scratch:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """While a table is written, Python workers get batches of so many rows: whole texts in the default ten thousand take
-    much memory on both sides. The session's setting is put back."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> Iterator[None]:
+    """While a table is written, Python workers get batches of at most so many rows and bytes: whole texts in the default
+    ten thousand rows, or 64 MB, take much memory on both sides. The session's settings are put back."""
+    name, bytes_name = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, bytes_before = spark.conf.get(name), spark.conf.get(bytes_name)
     spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    spark.conf.set(bytes_name, f"{size}b")
     try:
         yield
     finally:
         spark.conf.set(name, before)
+        spark.conf.set(bytes_name, bytes_before)
 
 
 def partitions(spark: SparkSession) -> int:
