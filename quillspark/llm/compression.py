@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 #: Texts are compressed in chunks of so many bytes, so that a long text's own content doesn't replace the dictionary.
 CHUNK = 2048
 #: Of all hashes so many; a row is drawn if its hash falls under a share of it.
-SPACE = 1 << 31
+SPACE = 1 << 62
+#: Labels whose shares are broadcast; more are joined as Spark sees fit.
+LABELS = 1000
 
 
 def fold(doc_id: Column, of: int) -> Column:
@@ -17,20 +19,21 @@ def fold(doc_id: Column, of: int) -> Column:
 
 
 def drawn(rows: DataFrame, label: str, key: Column, most: int) -> DataFrame:
-    """At most ``most`` rows of each label, the ones with the least hash of ``key``; all rows of smaller labels.
+    """At most ``most`` rows of each label, the ones with the least hash of ``key``; all of smaller labels. Of rows with an
+    equal label and key one is drawn from.
 
-    Labels are counted first and rows drawn by a share of the hashes that leaves about twice as many as are needed, so
-    neither a frequent label nor its ties meet in one task. Rows with a null label are left out.
+    Distinct keys are counted first, and rows drawn by a share of the hashes that leaves about twice as many as are needed,
+    so neither a frequent label nor its repeats meet in one task. Rows with a null label are left out.
     """
     hashed = rows.filter(F.col(label).isNotNull()).withColumn("__hash", F.pmod(F.xxhash64(key), F.lit(SPACE)))
-    counts = {r[0]: r[1] for r in hashed.groupBy(label).count().collect()}
-    shares = [(value, int(min(1.0, 2.0 * most / n + 64.0 / n) * SPACE)) for value, n in counts.items()]
-    if not shares:
-        return hashed.drop("__hash").limit(0)
-    share = F.coalesce(*[F.when(F.col(label) == value, F.lit(part)) for value, part in shares])
-    first = Window.partitionBy(label).orderBy("__hash", key)
-    few = hashed.filter(F.col("__hash") < share)
-    return few.withColumn("__rank", F.row_number().over(first)).filter(F.col("__rank") <= most).drop("__rank", "__hash")
+    counts = hashed.select(label, "__hash").distinct().groupBy(label).agg(F.count("*").alias("__n"))
+    shares = counts.select(label, (F.least(F.lit(1.0), (F.lit(2.0) * most + 64) / F.col("__n")) * SPACE).alias("__share"))
+    few = shares.limit(LABELS + 1).collect()
+    if len(few) <= LABELS:
+        shares = F.broadcast(rows.sparkSession.createDataFrame(few, shares.schema))
+    first = Window.partitionBy(label).orderBy("__hash")
+    found = hashed.join(shares, label).filter(F.col("__hash") <= F.col("__share")).dropDuplicates([label, "__hash"])
+    return found.withColumn("__rank", F.row_number().over(first)).filter(F.col("__rank") <= most).select(*rows.columns)
 
 
 def piece(text: Column, chars: int) -> Column:

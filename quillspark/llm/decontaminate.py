@@ -69,10 +69,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Null or empty texts hold nothing and are nobody's leak; items of fewer than SHORTEST words are too short to tell.
     Documents are told apart by doc_id, which may be null, and text: repeated rows give one result. Items with the
-    same text give a result each. Either table may be empty. Seeds are broadcast in blocks of bounded size, so the
+    same text give a result each, those with a null id one together. Either table may be empty. Seeds are broadcast in blocks of bounded size, so the
     documents are never shuffled, and what is shuffled are views of VIEW words around distinct hits.
     """
-    items = benchmark.filter("item_id is not null").select("item_id", words(F.col("text")).alias("words")).distinct()
+    items = benchmark.select("item_id", words(F.col("text")).alias("words")).distinct()
     items, _ = written(items, "leak-items")
     seeds, masks = seeded(items)
     seeds, _ = written(seeds.distinct(), "leak-seeds")
@@ -95,7 +95,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     cells = items.select("item_id", F.size("words").alias("n"), "words", F.explode(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / CELL).cast("int"))).alias("cell"))
     start = F.col("cell") * CELL - MARGIN
-    cells = cells.select("item_id", "n", "cell", _view("words", start).alias("wanted"))
+    cells = cells.select(F.col("item_id").alias("item"), "n", F.col("cell").alias("of"), _view("words", start).alias("wanted"))
     at_doc, at_item = F.greatest(-(F.col("shift") + start), F.lit(0)), F.greatest(-start, F.lit(0))
     worth = F.transform(
         F.sequence(F.lit(0), F.lit(VIEW - 1)),
@@ -107,7 +107,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         lambda s, x: F.struct(F.greatest(s.now + x, F.lit(0)).alias("now"), F.greatest(s.best, s.now + x).alias("best")),
         lambda s: s.best,
     )
-    verified = hits.join(cells, ["item_id", "cell"]).select("doc_id", "text_hash", "item_id", "n", best.alias("score"))
+    same = hits["item_id"].eqNullSafe(cells["item"]) & (hits["cell"] == cells["of"])
+    verified = hits.join(cells, same).select("doc_id", "text_hash", "item_id", "n", best.alias("score"))
     leaked = verified.filter(F.col("score") >= F.least(F.lit(LEAST), F.col("n")))
     return leaked.groupBy("doc_id", "text_hash", "item_id").agg(F.max("score").alias("score"))
 

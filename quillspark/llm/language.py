@@ -18,9 +18,9 @@ from quillspark.sources.tables import table
 #: The sample that is learned from: so many texts of a language, a piece of each, so many bytes of dictionary.
 TEXTS, PIECE, DICTIONARY = 250, 500, 100 << 10
 LEVEL = 6
-#: Below so many bytes a text's size is too coarse, so what follows each of its words counts as well, at a level that
-#: finds shorter matches.
-SHORT, SHORT_LEVEL = 200, 12
+#: Of a text's first bytes, so many, what follows each word counts as well, at a level that finds shorter matches: the size
+#: of a short text alone is too coarse.
+OPENING, OPENING_LEVEL = 200, 12
 #: A prediction is rejected if the best size isn't smaller than the second by this share.
 MARGIN = 0.01
 #: How fast the score rises with the ratio of sizes.
@@ -36,11 +36,15 @@ def letters(text: str) -> bytes:
     return _OTHER.sub(" ", text.lower()).strip().encode()
 
 
-def _parts(data: bytes) -> list[bytes]:
-    if len(data) >= SHORT:
-        return chunks(data)
-    starts = [0] + [k + 1 for k, c in enumerate(data) if c == 32]
-    return [data[k:] for k in starts]
+def has_letter(text: str) -> bool:
+    """Numerals such as fractions are word characters, but no letters."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
+def openings(data: bytes) -> list[bytes]:
+    """What follows each word in a text's opening."""
+    opening = data[:OPENING]
+    return [opening[k + 1 :] for k, c in enumerate(opening) if c == 32]
 
 
 @dataclass(frozen=True)
@@ -63,20 +67,20 @@ class Languages:
         return cls(tuple(sorted((lang, content) for lang, content in contents.items() if content)))
 
     def compressors(self):
-        """(language, compress, compress short texts) for each language."""
+        """(language, compress, compress openings) for each language."""
         made = lambda content, level: compressor(raw_dictionary(content), level).compress
-        return [(lang, made(content, LEVEL), made(content, SHORT_LEVEL)) for lang, content in self.contents]
+        return [(lang, made(content, LEVEL), made(content, OPENING_LEVEL)) for lang, content in self.contents]
 
 
 def judged(compressors, text: str) -> tuple[str, float, bool]:
     """The language of a text, a score and whether the margin is too narrow."""
-    if not compressors or not _LETTER.search(text):
+    if not compressors or not has_letter(text):
         return UNKNOWN, 0.0, True
-    data = letters(text)
-    parts, which = _parts(data), 2 if len(data) < SHORT else 1
     if len(compressors) == 1:
         return compressors[0][0], 1.0, False
-    sizes = np.array([total_size(c[which], parts) for c in compressors], float)
+    data = letters(text)
+    parts, first = chunks(data), openings(data)
+    sizes = np.array([total_size(whole, parts) + total_size(opening, first) for _, whole, opening in compressors], float)
     best = int(sizes.argmin())
     second = np.delete(sizes, best).min()
     score = 1.0 / ((sizes[best] / sizes) ** STEEPNESS).sum()
@@ -88,7 +92,8 @@ def identified(docs: DataFrame, languages: Languages) -> DataFrame:
 
     The language whose dictionary compresses the whole text best is chosen; ties go to the first by name and are
     rejected, as are texts whose two best sizes are close and texts that are null or have no letter, which are ``und``
-    with score 0. So are all texts if no language was learned. Nothing but the text has a say; rows are independent.
+    with score 0. So are all texts if no language was learned. Nothing but the text has a say; rows are independent, so
+    repeats give repeats. Long texts count whole, chunk by chunk. An empty table gives an empty one.
     """
     schema = docs.drop("lang_pred", "score", "rejected").schema
     others = schema.fieldNames()
@@ -109,7 +114,7 @@ def op9_language(spark, sf_dir):
     held = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
     languages = Languages.learned(docs.filter(~held))
     found = identified(docs.select("doc_id", "text"), languages)
-    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
 QUERIES = {"op9_language": op9_language}

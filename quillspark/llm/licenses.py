@@ -142,7 +142,8 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFra
     template accepts, or else the largest share of a template's mandatory words that the text has from its start on.
 
     Null and empty texts have no words, empty label lists and score 0. Rows are independent: repeats give repeats,
-    and other columns, whatever their names, are ignored.
+    and other columns, whatever their names, are ignored. Long texts are read whole, once. An empty table gives an empty
+    one.
     """
     templates = TEMPLATES if templates is None else templates
 
@@ -151,26 +152,26 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFra
         starting: dict[bytes, list[tuple[str, Automaton]]] = {}
         for label, automaton in automata:
             starting.setdefault(automaton.first, []).append((label, automaton))
-        phrases = [(f" {phrase} ".encode(), label) for phrase, label in PHRASES.items()]
+        phrases: dict[bytes, list[tuple[list[bytes], str]]] = {}
+        for phrase, label in PHRASES.items():
+            wording = words_of(phrase)
+            phrases.setdefault(wording[0], []).append((wording, label))
         for batch in sliced(batches):
             rows = []
             for text in texts(batch).to_pylist():
                 words = words_of(text)
-                joined = b" " + b" ".join(words) + b" "
-                places, base = [], set()
-                for phrase, label in phrases:
-                    at = joined.find(phrase)
-                    while at >= 0:
-                        places.append(joined.count(b" ", 0, at))
-                        base.add(label)
-                        at = joined.find(phrase, at + 1)
-                labels, score = set(base), 0.0
+                places, base, labels, score = [], set(), set(), 0.0
                 for k, word in enumerate(words):
+                    for wording, label in phrases.get(word, ()):
+                        if words[k : k + len(wording)] == wording:
+                            places.append(k)
+                            base.add(label)
                     for label, automaton in starting.get(word, ()):
                         share = automaton.share(words, k)
                         score = max(score, share)
                         if share == 1.0:
                             labels.add(label)
+                labels |= base
                 rows.append((len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score))
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
             columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]

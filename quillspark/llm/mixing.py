@@ -37,7 +37,7 @@ def mix_sources(
         raise ValueError("the shares can't be met: most is below share")
     spark = docs.sparkSession
     docs = docs.drop("source_size", "target", "copies")
-    plain = [c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     keyed = docs.withColumns(
         {
             "__key": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("~")),

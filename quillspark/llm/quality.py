@@ -81,8 +81,9 @@ class Quality:
         known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality").distinct()
         few = drawn(known, "quality", F.col("doc_id"), TEXTS + CALIBRATING)
         held = docs.select("doc_id", piece(F.col("text"), PIECE).alias("text")).filter("text is not null")
-        # At most 2 * (TEXTS + CALIBRATING) rows of two numbers.
-        rows = held.join(F.broadcast(few), "doc_id").select("doc_id", "quality", "text", F.xxhash64("doc_id").alias("h")).collect()
+        # At most 2 * (TEXTS + CALIBRATING) labels; of documents with one id the one with the least hash is taken.
+        joined = held.join(F.broadcast(few), "doc_id").select("doc_id", "quality", F.struct(F.xxhash64("text").alias("h"), "text").alias("t"))
+        rows = joined.groupBy("doc_id", "quality").agg(F.min("t").alias("t")).select("doc_id", "quality", "t.text", F.xxhash64("doc_id").alias("h")).collect()
         rows = sorted((r.h, r.doc_id, r.quality, r.text.encode()) for r in rows)
         by = {q: [r[3] for r in rows if r[2] == q] for q in (0, 1)}
         if not by[0] or not by[1]:
@@ -115,7 +116,8 @@ def rated(docs: DataFrame, quality: Quality, good: float = GOOD) -> DataFrame:
 
     The score is a function of the whole text alone; null and empty texts get the curve's value at no
     difference and a typical size.
-    Columns named score and predicted are replaced; rows are independent, so repeated rows get equal results.
+    Columns named score and predicted are replaced; rows are independent, so repeated rows get equal results. Long texts
+    count whole, chunk by chunk. An empty table gives an empty one.
     """
     schema = docs.drop("score", "predicted").schema
     names = schema.fieldNames()

@@ -50,3 +50,11 @@ def test_empty_tables(spark):
 def test_no_python_in_the_plan(spark):
     plan = dc.op6_decontaminate(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_items_without_an_id_leak_too(spark):
+    words = [f"w{k}" for k in range(40)]
+    docs = spark.createDataFrame([(1, "x " * 20 + " ".join(words)), (2, "y " * 60)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, " ".join(words)), (None, "other words " * 12), (5, " ".join(words[3:30]))], "item_id long, text string")
+    got = sorted(((r.doc_id, r.item_id) for r in dc.leaks(docs, items).collect()), key=repr)
+    assert got == [(1, 5), (1, None)]

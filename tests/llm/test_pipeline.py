@@ -1,9 +1,17 @@
+import hashlib
+import math
 import random
+import zlib
 
+import duckdb
+import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
+from quillspark.llm import decontaminate
 from quillspark.llm.neardup import near_duplicates, slice_counts
+from quillspark.llm.tokens import public_vocabulary
 
 SF = "/root/testdata/sf0.01"
 
@@ -112,11 +120,80 @@ def test_stages_take_effect_and_keep_columns(spark):
     assert last.count() == counts[-1]
 
 
-def test_run_equals_the_stages(spark):
-    got = cp.run(spark, SF).collect()
-    assert len(got) > 500
-    starts = sorted((r.start, r.n_tokens) for r in got)
-    assert all(a[0] + a[1] == b[0] for a, b in zip(starts, starts[1:]))
+def brute_mix(rows):
+    """Rows (doc_id, source, text) as often as systematic sampling takes them, by the definition."""
+    size = lambda t: len((t or "").encode().split())
+    sources = sorted({r[1] for r in rows if r[1] is not None}, key=lambda s: s.encode()) + ([None] if any(r[1] is None for r in rows) else [])
+    sizes = {s: sum(size(r[2]) for r in rows if r[1] == s) for s in sources}
+    weights = {s: (3.0, 1.0, 2.0)[k % 3] for k, s in enumerate(sources)}
+    left, opened, targets = 1.5 * sum(sizes.values()), set(sources), {}
+    while True:
+        level = left / sum(weights[s] for s in opened)
+        over = [s for s in opened if weights[s] * level > 2 * sizes[s]]
+        if not over:
+            break
+        for s in over:
+            targets[s] = 2.0 * sizes[s]
+            left -= targets[s]
+            opened.remove(s)
+    targets |= {s: weights[s] * level for s in opened}
+    out = []
+    for s in sources:
+        key = "~" if s is None else "s" + s
+        offset = int(hashlib.md5(f"mix:{key}".encode()).hexdigest()[:8], 16) / 4294967296.0
+        rate = targets[s] / sizes[s] if sizes[s] else 0.0
+        own = sorted((r for r in rows if r[1] == s), key=lambda r: (size(r[2]), r[0]))
+        for k, r in enumerate(own):
+            out += [r] * int(math.floor((k + 1) * rate + offset) - math.floor(k * rate + offset))
+    return out
+
+
+def test_run_equals_brute_force(spark, tmp_path):
+    """The whole pipeline over whole texts: the language of each document by the operator that has a test of its own, the
+    other stages by their definitions."""
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = cp.language(spark, documents, SF).select("doc_id", "source", "text").collect()
+    rows = {r.doc_id: (r.doc_id, r.source, r.text) for r in kept}
+    stay = brute_near([(r[0], r[2]) for r in rows.values()])
+    some = spark.createDataFrame([(d, rows[d][2]) for d in stay], "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", some.toPandas())
+    con.sql(f"create view benchmark as select * from '{SF}/benchmark.parquet'")
+    leaked = {r[0] for r in con.sql(decontaminate.ORACLE["op6_decontaminate"]).fetchall()}
+    mix = sorted(brute_mix([rows[d] for d in stay if d not in leaked]), key=lambda r: r[0])
+    tokenizer = Tokenizer.from_file(public_vocabulary())
+    want, at = [], 0
+    for doc_id, _, text in mix:
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        want.append((doc_id, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    got = cp.run(spark, SF).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert sorted(map(tuple, got)) == want and len(want) > 500
+
+
+CLASHING = "lang_pred string, score string, rejected string, target string, copies string, source_size string, words string, row string, size string, h string"
+
+
+@pytest.mark.parametrize("name", [name for name, _ in cp.STAGES[:-1]])
+def test_stages_take_odd_rows_and_clashing_columns(spark, name):
+    text = " ".join(["the cat and the dog went out to see what there was of the day"] * 3)
+    long = " ".join(f"the word{k} of and the" for k in range(40_000))
+    given = [(1, text, "en", "a"), (1, text, "en", "a"), (2, None, None, None), (3, "", None, "b"), (None, text + " or night", "en", None), (4, long, "en", "b"), (5, text, "en", "a"), (6, "12 !", "en", "a")]
+    docs = spark.createDataFrame([(*r, *[f"own {k}"] * 10) for k, r in enumerate(given)], "doc_id long, text string, lang string, source string, " + CLASHING)
+    got = dict(cp.STAGES)[name](spark, docs, SF)
+    assert got.schema.simpleString() == docs.schema.simpleString()
+    rows = got.collect()
+    known = {tuple(r) for r in docs.collect()}
+    assert all(tuple(r) in known for r in rows)
+    ids = sorted((r.doc_id is None, r.doc_id or 0) for r in rows)
+    if name == "language":
+        assert ids == [(False, 1), (False, 1), (False, 4), (False, 5), (True, 0)]
+    elif name == "near_dedup":
+        assert ids == [(False, 1), (False, 2), (False, 4), (False, 6)]
+    elif name == "decontamination":
+        assert len(ids) == 8
+    else:
+        assert all(ids.count(i) <= 4 for i in ids) and (False, 4) in ids
 
 
 @pytest.mark.parametrize("name", [name for name, _ in cp.STAGES])
