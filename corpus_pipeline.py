@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillspark.llm.decontaminate import decontaminated
 from quillspark.llm.language import Languages, identified
@@ -13,31 +14,56 @@ from quillspark.llm.tokens import checksums, public_vocabulary, write_tokens
 from quillspark.sources.tables import table
 
 
+def _packed(docs: DataFrame) -> list[Column]:
+    """Each row's own columns in one, so that no name of theirs can meet one that an operator adds."""
+    return [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; the languages are learned from a bounded sample of the same table."""
-    names = docs.columns
-    judged = identified(docs, Languages.learned(docs))
-    return judged.filter("not rejected").select(*names)
+    """Documents whose language is recognised; the languages are learned from a bounded sample of the same table.
+
+    Texts that are null, empty or without a letter have no language and go; long texts count whole; texts whose best two
+    languages are close or tie go. Repeated rows share their fate. Columns of any names stay as they are; an empty table
+    stays empty.
+    """
+    judged = identified(docs.select("text", *_packed(docs)), Languages.learned(docs))
+    return judged.filter("not rejected").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five words, a similarity of 0.8."""
+    """One document of each group of near-duplicates: five words, a similarity of 0.8.
+
+    Null, empty and blank texts are one group. The least doc_id stays, null last; repeated rows collapse to one; long texts
+    are compared whole. Columns of any names stay; an empty table stays empty.
+    """
     return near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark."""
+    """Documents without passages of the benchmark.
+
+    Null and empty texts hold none and stay. Rows with the same doc_id and text share their fate. Long texts are searched
+    whole. Columns of any names stay; an empty table, or benchmark, changes nothing.
+    """
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: documents as often as they are taken."""
-    sized = docs.withColumn("__words", word_count(docs["text"]))
-    return emitted(mix_sources(sized, "__words")).select(*docs.columns)
+    """The mix of sources: documents as often as they are taken, none more than twice.
+
+    A null source is the last one. Null and empty texts have size 0 and are drawn like others; ties and repeated rows count
+    one by one. Columns of any names stay as they are; an empty table stays empty.
+    """
+    sized = docs.select("doc_id", "source", word_count(docs["text"]).alias("words"), *_packed(docs))
+    return emitted(mix_sources(sized, "words")).select("row.*")
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files, and doc_id, start, n_tokens, ids_crc32 of each document as read back from them."""
+    """Token files, and doc_id, start, n_tokens, ids_crc32 of each document as read back from them.
+
+    Null and empty texts have the end id alone; long texts are encoded whole; a null doc_id comes first, and each of
+    repeated rows has its ids. Other columns are ignored; an empty table gives no row.
+    """
     path = new_path(spark, "pipeline-tokens")
     write_tokens(docs, path, public_vocabulary())
     return checksums(spark, path)
