@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log, log2, sqrt
 
@@ -76,43 +77,75 @@ class ProbabilisticAutomaton:
 
     steps: tuple[dict[str, tuple[int, float]], ...]
     ends: tuple[float, ...]
+    #: Where a symbol leads that the state has never seen: to where most symbols lead, or nowhere.
+    usual: tuple[int, ...]
 
     @classmethod
-    def inferred(cls, examples: list[str], alpha: float = ALPHA) -> ProbabilisticAutomaton:
+    def inferred(cls, examples: list[str], alpha: float = ALPHA, lengths: bool = False) -> ProbabilisticAutomaton:
         """Red states are settled, blue ones follow them: a blue state is merged into the first compatible red one, or
-        turns red if there is none. The states' order is that of their examples, so equal examples give equal automata."""
+        turns red if there is none. The states' order is that of their examples, so equal examples give equal automata.
+
+        With ``lengths`` only states of the same depth are merged: the automaton has no loops and keeps how long its
+        examples are, as formats of keys need it.
+        """
         tree, bound = _Tree(examples), sqrt(0.5 * log(2 / alpha))
         red = [0]
-        settled = {0}
-        while blue := next(((p, s) for p in red for s in sorted(tree.next[p]) if tree.next[p][s] not in settled), None):
-            state = tree.next[blue[0]][blue[1]]
-            for candidate in red:
-                if tree.compatible(candidate, state, bound):
-                    tree.merge(*blue, candidate)
+        depth = {0: 0}
+        at = 0
+        while at < len(red):
+            parent = red[at]
+            symbol = min((s for s, state in tree.next[parent].items() if state not in depth), default=None)
+            if symbol is None:
+                at += 1
+                continue
+            state, below = tree.next[parent][symbol], depth[parent] + 1
+            for candidate in reversed(red) if lengths else red:
+                if lengths and depth[candidate] != below:
+                    if depth[candidate] < below:
+                        break
+                elif tree.compatible(candidate, state, bound):
+                    tree.merge(parent, symbol, candidate)
+                    at = at if lengths else 0  # a loop may have given earlier states new steps
                     break
-            else:
+            if tree.next[parent][symbol] == state:
                 red.append(state)
-                settled.add(state)
+                depth[state] = below
         number = {state: k for k, state in enumerate(red)}
-        steps, ends = [], []
+        steps, ends, usual = [], [], []
         for state in red:
             total = tree.total(state)
             seen = tree.passed[state]
             steps.append({s: (number[tree.next[state][s]], -log2(n / total)) for s, n in seen.items()})
             ends.append(-log2(tree.ended[state] / total) if tree.ended[state] else UNSEEN)
-        return cls(tuple(steps), tuple(ends))
+            usual.append(max(steps[-1].values(), key=lambda step: (-step[1], -step[0]))[0] if seen else len(usual))
+        return cls(tuple(steps), tuple(ends), tuple(usual))
 
-    def bits(self, text: str, give_up: bool = False) -> float:
-        """What a string costs. A symbol that its state has never seen costs UNSEEN and leaves the state as it is; with
-        give_up a string with more than MOST_UNSEEN of them costs without end."""
-        state, cost, unseen = 0, 0.0, 0
+    def bits(self, text: str) -> float:
+        """What a string costs. A symbol that its state has never seen costs UNSEEN and goes the usual way."""
+        cost, state = 0.0, 0
         for symbol in text:
             if step := self.steps[state].get(symbol):
                 state = step[0]
                 cost += step[1]
             else:
-                unseen += 1
-                if give_up and unseen > MOST_UNSEEN:
-                    return float("inf")
+                state = self.usual[state]
                 cost += UNSEEN
         return cost + self.ends[state]
+
+    def bits_to(self, text: str, start: int, ends: list[int]) -> Iterator[tuple[int, float]]:
+        """(end, bits) of each stretch from start to one of the ascending ends, as long as no more than MOST_UNSEEN symbols
+        of it are unseen."""
+        cost, state, unseen, at = 0.0, 0, 0, start
+        for end in ends:
+            for symbol in text[at:end]:
+                if step := self.steps[state].get(symbol):
+                    state = step[0]
+                    cost += step[1]
+                else:
+                    unseen += 1
+                    if unseen > MOST_UNSEEN:
+                        return
+                    state = self.usual[state]
+                    cost += UNSEEN
+            at = end
+            yield end, cost + self.ends[state]

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import sha256
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,11 +25,16 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-#: What the automata look at: runs of a credential's symbols, with the padding behind them.
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{16,}={0,2}")
-
-#: Labelled credentials of each format to infer from, and the bits by which a format must beat ordinary text.
-EXAMPLES, MARGIN = 300, 24.0
+#: What the automata look at: runs of a credential's symbols, with the padding behind them; of a run every stretch of so many
+#: symbols at least that begins and ends at the run's ends or at one of these signs.
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{16,}={0,2}")
+_SIGNS = re.compile(r"[+/_.=-]")
+SHORTEST = 16
+#: Runs of so many symbols are judged once and remembered, so many of them.
+REMEMBERED, RUNS = 256, 50_000
+
+#: Labelled credentials of each kind to infer from, and the bits by which a format must beat ordinary text.
+EXAMPLES, MARGIN = 1000, 24.0
 #: Ordinary text to infer from: pieces of so many documents, so many characters of each, so many runs in all.
 PLAIN_TEXTS, PLAIN_CHARS, PLAIN_RUNS = 300, 400, 1500
 
@@ -77,20 +84,55 @@ class Detector:
 
     @classmethod
     def learned(cls, credentials: dict[str, list[str]], ordinary: dict[str, list[str]]) -> Detector:
-        """One automaton for each label; labels without examples are left out."""
+        """One automaton for each label, those of credentials with their lengths; labels without examples are left out."""
         infer = ProbabilisticAutomaton.inferred
         return cls(
-            tuple((label, infer(found)) for label, found in sorted(credentials.items()) if found),
+            tuple((label, infer(found, lengths=True)) for label, found in sorted(credentials.items()) if found),
             tuple(infer(found) for _, found in sorted(ordinary.items()) if found),
         )
 
+    def plain(self, text: str) -> float:
+        return min((a.bits(text) for a in self.ordinary), default=8.0 * len(text))
+
+    def found(self, run: str) -> list[tuple[int, int, str]]:
+        """(start, end, label) of the stretches of a run that a format explains by MARGIN bits better than ordinary text,
+        those of the greatest gain first, none over another."""
+        signs = [m.start() for m in _SIGNS.finditer(run)]
+        # A sign may be part of a credential, so stretches begin at it or after it, and end before it or with it.
+        begins = sorted({0, *signs, *(k + 1 for k in signs)})
+        stops = sorted({len(run), *signs, *(k + 1 for k in signs)})
+        best: dict[tuple[int, int], tuple[float, str]] = {}
+        for start in begins:
+            ends = stops[bisect_left(stops, start + SHORTEST) :]
+            for label, automaton in self.formats if ends else ():
+                for end, bits in automaton.bits_to(run, start, ends):
+                    best[start, end] = min(best.get((start, end), (bits, label)), (bits, label))
+        gains = [(self.plain(run[a:b]) - bits, a, b, label) for (a, b), (bits, label) in best.items()]
+        taken: list[tuple[int, int, str]] = []
+        for gain, a, b, label in sorted(gains, key=lambda g: (-g[0], g[1], -g[2])):
+            if gain >= MARGIN and not any(x < b and a < y for x, y, _ in taken):
+                taken.append((a, b, label))
+        return sorted(taken)
+
     def label(self, text: str) -> str | None:
-        """The likeliest format of a candidate if it beats ordinary text by MARGIN bits."""
-        bits, label = min(((a.bits(text, give_up=True), label) for label, a in self.formats), default=(float("inf"), None))
-        if bits == float("inf"):
-            return None
-        plain = min((a.bits(text) for a in self.ordinary), default=8.0 * len(text))
-        return label if plain - bits >= MARGIN else None
+        """The format of a text that is a credential as a whole."""
+        return next((label for a, b, label in self.found(text) if (a, b) == (0, len(text))), None)
+
+
+def found_credentials(docs: DataFrame, count: int = EXAMPLES) -> dict[str, list[str]]:
+    """Credentials that the patterns find in the texts (doc_id, text), labelled by their kinds: of each kind those distinct
+    ones with the least hashes, so many at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            rows = [(f"like-{kind}", value) for text in texts(batch).to_pylist() for kind, value in base_values(text)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["label", "value"])
+
+    found = docs.select("text").mapInArrow(run, "label string, value string")
+    out: dict[str, list[str]] = {}
+    for label, value in sorted(map(tuple, drawn(found.distinct(), "label", F.col("value"), count).select("label", "value").collect())):
+        out.setdefault(label, []).append(value)
+    return out
 
 
 def plain_runs(docs: DataFrame) -> list[str]:
@@ -116,12 +158,22 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def learned_spans(text: str, detector, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """(label, start, end) of the candidates that the automata take for a credential and no pattern has found."""
-    found = []
-    for m in _CANDIDATE.finditer(text):
-        if (label := detector(m[0])) and not any(a < m.end() and m.start() < b for _, a, b in taken):
-            found.append((label, m.start(), m.end()))
+def base_values(text: str) -> list[tuple[str, str]]:
+    """(kind, value) of the patterns' matches: of an assignment what is assigned."""
+    spans = base_spans(text)
+    return [(kind, _ASSIGN.match(text, start)[2] if kind == "assign" else text[start:end]) for kind, start, end in spans]
+
+
+def learned_spans(text: str, judge, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """(label, start, end) of the stretches that the automata take for a credential and no pattern has found."""
+    found, starts = [], [a for _, a, _ in taken]
+    reach = list(accumulate((b for _, _, b in taken), max))
+    for m in _RUN.finditer(text):
+        for a, b, label in judge(m[0]):
+            a, b = m.start() + a, m.start() + b
+            before = bisect_left(starts, b)
+            if not before or reach[before - 1] <= a:
+                found.append((label, a, b))
     return found
 
 
@@ -133,15 +185,17 @@ def scanned(docs: DataFrame, detector: Detector) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of each row of docs (doc_id, text).
 
     The counts are of the patterns' matches, leftmost and non-overlapping for each kind; base_sha256 is of their list;
-    spans also has those that the automata add, which overlap none of the patterns'. All runs of 16 and more symbols
-    are scored. Null and empty texts have none, and the list is empty. Rows are independent: repeats give repeats;
-    other columns, whatever their names, are ignored; an empty table gives an empty one.
+    spans also has those that the automata add, which overlap none of the patterns'. All stretches between signs of all runs
+    of 16 and more symbols are scored, in texts of any length. Null and empty texts have none, and the list is empty. Rows
+    are independent: repeats give repeats; other columns, whatever their names, are ignored; an empty table gives an empty
+    one.
     """
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = lru_cache(100_000)(detector.label)
+        known = lru_cache(RUNS)(detector.found)
+        judge = lambda run: known(run) if len(run) <= REMEMBERED else detector.found(run)
         for batch in sliced(batches):
             rows = []
             for text in texts(batch).to_pylist():
@@ -161,7 +215,7 @@ def op5_secrets(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     plain = plain_runs(docs)
     ordinary = ordinary_runs() | {"plain": plain, "shouted": [run.upper() for run in plain]}
-    return scanned(docs, Detector.learned(labelled_credentials(), ordinary))
+    return scanned(docs, Detector.learned(labelled_credentials() | found_credentials(docs), ordinary))
 
 
 QUERIES = {"op5_secrets": op5_secrets}
