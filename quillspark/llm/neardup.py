@@ -236,5 +236,5 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     second.clear()
     others = [c for c in own if c not in ("doc_id", "text")]
     hashed = [c for c, kind in docs.dtypes if c in others and "map<" not in kind and "variant" not in kind]
-    kept = docs.join(staying, "__id", "left_semi").select("doc_id", "text", F.struct(*others, F.lit(0).alias("__")).alias("rest"), F.xxhash64(*hashed, F.lit(0)).alias("h"))
-    return kept.groupBy("doc_id", "text").agg(F.min_by("rest", "h").alias("rest")).select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in own])
+    kept = docs.join(staying, "__id", "left_semi").select("__id", "doc_id", "text", F.struct(*others, F.lit(0).alias("__")).alias("rest"), F.xxhash64(*hashed, F.lit(0)).alias("h"))
+    return kept.groupBy("__id", "doc_id", "text").agg(F.min_by("rest", "h").alias("rest")).select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in own])
