@@ -20,7 +20,7 @@ TEXTS, PIECE, DICTIONARY = 250, 500, 100 << 10
 LEVEL = 6
 #: Of a text's first bytes, so many, what follows each word counts as well, at a level that finds shorter matches: the size
 #: of a short text alone is too coarse.
-OPENING, OPENING_LEVEL = 200, 12
+OPENING, OPENING_LEVEL = 100, 12
 #: A prediction is rejected if the best size isn't smaller than the second by this share.
 MARGIN = 0.01
 #: How fast the score rises with the ratio of sizes.

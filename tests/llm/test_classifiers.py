@@ -90,7 +90,7 @@ def test_language_equals_a_loop_over_rows(spark):
         for lang, content in languages.contents:
             dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             size = 0
-            for level, parts in ((6, [data[k : k + 2048] for k in range(0, len(data), 2048)]), (12, [data[k + 1 : 200] for k, c in enumerate(data[:200]) if c == 32])):
+            for level, parts in ((6, [data[k : k + 2048] for k in range(0, len(data), 2048)]), (12, [data[k + 1 : 100] for k, c in enumerate(data[:100]) if c == 32])):
                 parameters = dict(level=level, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False)
                 size += sum(len(zstandard.ZstdCompressor(**parameters).compress(p)) for p in parts)
             sizes.append((size, lang))
