@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.batches import sliced, texts
+from quillspark.llm.batches import sliced, texts, tidied
 from quillspark.llm.shared import new_path, partitions, small_batches
 from quillspark.sources.tables import table
 
@@ -91,6 +91,11 @@ class ChunkEncoder:
         self._learn(missing)
         return [self.known[c] for c in chunks]
 
+    def forget(self) -> None:
+        """Drops all pieces: an idle worker's memory counts beside that of the next stage."""
+        self.known, self.older = {}, {}
+        tidied()
+
     def encode(self, column: pa.Array, end_id: int) -> tuple[pa.Array, np.ndarray]:
         """The ids of all texts in a row, each text's followed by the end id; and how many each text has."""
         apart = pc.replace_substring_regex(pc.replace_substring(column, "\n", " "), f"([{LETTERS}])([{STOPS}])", r"\1 \2")
@@ -146,6 +151,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
             ]
             at += int(ends[-1])
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "part_start", "n_tokens", "tokens"])
+        encoder.forget()
 
     ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions(spark), "doc_id")
     encoded = ranged.sortWithinPartitions("doc_id", "text").mapInArrow(encode, SCHEMA)
