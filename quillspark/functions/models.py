@@ -6,8 +6,11 @@ The stand-ins are labelled as such: they give repeatable numbers of the right ki
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from math import log
 from typing import Protocol
 
 import numpy as np
@@ -32,10 +35,29 @@ class Generator(Protocol):
     def generate(self, prompt: str, n: int, seed: int) -> list[str]: ...
 
 
-class Scorer(Protocol):
-    """The mean negative log-likelihood of a text's tokens."""
+class CompletionScorer(Protocol):
+    """How likely texts are after a prompt: the mean log-likelihood of their tokens, higher for likelier ones."""
 
-    def loss(self, texts: list[str]) -> np.ndarray: ...
+    def score(self, prompt: str, texts: list[str]) -> np.ndarray: ...
+
+
+@lru_cache(maxsize=4)
+def _made(factory: Callable[..., object], args: tuple) -> object:
+    return factory(*args)
+
+
+@dataclass(frozen=True)
+class Loaded:
+    """A model that is made where it is first used, and then kept by that worker: what travels with a plan is how to make
+    it, not its weights. Its methods are the model's."""
+
+    factory: Callable[..., object]
+    args: tuple = ()
+
+    def __getattr__(self, name: str):
+        if name.startswith("__"):
+            raise AttributeError(name)
+        return getattr(_made(self.factory, self.args), name)
 
 
 @dataclass(frozen=True)
@@ -70,6 +92,17 @@ class EchoGenerator:
         return out
 
 
+@dataclass(frozen=True)
+class PromptScorer:
+    """Stand-in: words by their smoothed frequency in the prompt."""
+
+    def score(self, prompt: str, texts: list[str]) -> np.ndarray:
+        known = Counter(prompt.lower().split())
+        total, kinds = sum(known.values()), len(known) + 1
+        words = [(text or "").lower().split() for text in texts]
+        return np.array([sum(log((known[w] + 0.5) / (total + 0.5 * kinds)) for w in ws) / max(1, len(ws)) for ws in words])
+
+
 def encoded(df: DataFrame, text: str, encoder: Encoder, name: str = "embedding") -> DataFrame:
     """Adds a vector for each row; equal texts are encoded once in each batch."""
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.models import Encoder, encoded
+from quillspark.functions.text import first_words
 from quillspark.operators.ranking import at_each_k
 from quillspark.operators.similarity import best_similarity, dot
 
@@ -57,6 +59,13 @@ def precision_recall(preds: DataFrame, refs: DataFrame, ks: list[int], threshold
     )
 
 
+def length_controlled(preds: DataFrame, refs: DataFrame, encoder: Encoder, ks: list[int], threshold: float, words: int = 12) -> DataFrame:
+    """precision_recall of predictions (cell, id, rank, text) and references (cell, id, text) that are cut to so many words
+    and encoded anew, so that no side gains by its length."""
+    cut = lambda df: encoded(df.withColumn("text", first_words(F.col("text"), words)), "text", encoder)
+    return precision_recall(cut(preds), cut(refs), ks, threshold)
+
+
 def uncovered(preds: DataFrame, refs: DataFrame, k: int, threshold: float) -> DataFrame:
     """(cell, id) of the references that none of the first k predictions matches."""
     return best_of_references(preds, refs, [k]).filter(F.coalesce(F.col("best") < threshold, F.lit(True))).select("cell", "id")

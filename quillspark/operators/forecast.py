@@ -1,13 +1,10 @@
-"""Prompts, training pairs, error examples and the generation loop."""
+"""Prompts, training pairs, error examples and forecasters without a model."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.directions import clamped, direction_key, generated_list, rejection
-from quillspark.functions.models import Encoder, Generator
 from quillspark.functions.text import capped
 from quillspark.operators.pools import YEARS_BACK, tiered
 from quillspark.operators.ranking import ranked, sampled_by_weight, top_fraction
@@ -52,13 +49,15 @@ INSTRUCT = (
 )
 
 
-def extraction_prompt(title: Column, abstract: Column, style: str = "topic", chars: int = 3500) -> Column:
-    """The prompt that asks for an article's direction; title and abstract are expected clean."""
+def extraction_prompt(title: Column, abstract: Column, style: str = "topic", chars: int = 3500, chat: bool = False) -> Column:
+    """The prompt that asks for an article's direction, in chat form between instruction marks; title and abstract are
+    expected clean."""
     template = SPECIFIC_PROMPT if style == "specific" else TOPIC_PROMPT
     before, rest = template.split("{title}")
     between, after = rest.split("{abstract}")
     name = F.coalesce(F.nullif(title, F.lit("")), F.lit("Untitled"))
-    return F.concat(F.lit(before), name, F.lit(between), capped(F.coalesce(abstract, F.lit("")), chars), F.lit(after))
+    whole = F.concat(F.lit(before), name, F.lit(between), capped(F.coalesce(abstract, F.lit("")), chars), F.lit(after))
+    return F.concat(F.lit("[INST] "), whole, F.lit(" [/INST]")) if chat else whole
 
 
 def continuation_prompt(context_year: Column, target_year: Column, context: Column, already: Column | None = None) -> Column:
@@ -83,12 +82,27 @@ def instruct_prompt(context_year: Column, target_year: Column, context: Column,
     return F.concat(start, given, rules, themes, context, F.lit("\n"), listed, ask)
 
 
-def contexts(questions: DataFrame, years: DataFrame, most: int) -> DataFrame:
-    """(year, context) for each year asked for: the best texts of it and the years before, a line each, for all years in
-    one pass. A question belongs to the windows of six years, so rows are copied six times and then cut to ``most``."""
+def prompt_for(style: str, context_year: Column, target_year: Column, context: Column, already: Column | None = None) -> Column:
+    """The prompt of a style: continuation or instruct. A context that isn't before its target is an error."""
+    styles = {"continuation": continuation_prompt, "instruct": instruct_prompt}
+    if style not in styles:
+        raise ValueError(f"no style {style!r}: one of {sorted(styles)}")
+    late = F.raise_error(F.concat(F.lit("a context of "), context_year.cast("string"), F.lit(" for "), target_year.cast("string"))).cast("string")
+    return F.when(context_year < target_year, styles[style](context_year, target_year, context, already)).otherwise(late)
+
+
+def context_rows(questions: DataFrame, years: DataFrame, most: int) -> DataFrame:
+    """(window, place, id, question_text): the best questions for each year asked for, of it and the years before, for all
+    years in one pass. A question belongs to the windows of six years, so rows are copied six times and then cut to
+    ``most``."""
     spread = questions.withColumn("window", F.explode(F.sequence(F.col("year"), F.col("year") + YEARS_BACK))).join(years.select(F.col("year").alias("window")).distinct(), "window")
     order = [F.desc(F.coalesce("impact_score", F.lit(0.0))), F.desc("year"), F.col("question_text"), F.col("id")]
-    best = ranked(spread, ["window"], order, "place").filter(F.col("place") <= most)
+    return ranked(spread, ["window"], order, "place").filter(F.col("place") <= most)
+
+
+def contexts(questions: DataFrame, years: DataFrame, most: int) -> DataFrame:
+    """(year, context): the texts of context_rows, a line each."""
+    best = context_rows(questions, years, most)
     text = F.substring(F.trim("question_text"), 1, CONTEXT_CHARS)
     lists = best.groupBy("window").agg(F.sort_array(F.collect_list(F.struct("place", text.alias("t")))).alias("l"))  # most rows
     return lists.select(F.col("window").alias("year"), F.array_join(F.transform("l", lambda x: x.t), "\n").alias("context"))
@@ -114,46 +128,16 @@ def error_examples(questions: DataFrame, missed: DataFrame, year: int, most: int
     return truth.join(missed.select("id"), "id", "left_semi").orderBy("id").limit(most).select("id", F.substring("question_text", 1, COMPLETION_CHARS).alias("completion"))
 
 
-def generated(prompts: DataFrame, generator: Generator, encoder: Encoder, n: int, pool: float = 3.0, attempts: float = 2.0, near: float = 0.85, seed: int = 42) -> DataFrame:
-    """(model, target_year, rank, text, score) of the best n directions for each prompt (model, target_year, context).
-
-    Each further prompt lists what was accepted before it, so a list is made in order, in one task; prompts are dealt
-    out. Candidates come as raw text; parsing, clamping, rejection and keys are the columns of the text rules, applied to
-    all raw outputs beforehand where that needs no order, and near-duplicates are refused in order. The score is that of
-    the encoder against the context, a stand-in for a model's own.
-    """
-    many = max(n, int(n * max(pool, 1.0)))
-    tries = max(many, int(many * max(attempts, 1.0)))
-
-    def raw(batches):
-        for batch in batches:
-            out = []
-            for row in batch.itertuples():
-                for k in range(tries):
-                    for text in generator.generate(f"{row.context}\n{k}", 1, seed + k):
-                        out.append((row.model, row.target_year, row.context, k, text))
-            yield pd.DataFrame(out, columns=["model", "target_year", "context", "attempt", "raw"])
-
-    schema = "model string, target_year int, context string, attempt int, raw string"
-    texts = prompts.select("model", "target_year", "context").mapInPandas(raw, schema)
-    parsed = texts.select("*", F.posexplode(generated_list(F.col("raw"), 12)).alias("pos", "line"))
-    fit = parsed.withColumn("text", clamped(F.col("line"))).filter(rejection(F.col("text")).isNull()).withColumn("key", direction_key(F.col("text")))
-
-    def accept(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["attempt", "pos"]).drop_duplicates("key").reset_index(drop=True)
-        vectors, theme = encoder.encode(rows["text"].tolist()), encoder.encode(rows["context"].head(1).tolist())
-        kept: list[int] = []
-        for k in range(len(rows)):
-            if len(kept) < many and not (kept and float((vectors[kept] @ vectors[k]).max()) >= near):
-                kept.append(k)
-        best = rows.loc[kept].assign(score=(vectors[kept] @ theme[0]).astype(float)).sort_values(["score", "text"], ascending=[False, True]).head(n)
-        return best.assign(rank=range(1, len(best) + 1))[["model", "target_year", "rank", "text", "score"]]
-
-    return fit.groupBy("model", "target_year").applyInPandas(accept, "model string, target_year int, rank int, text string, score double")
-
-
-def random_forecast(questions: DataFrame, year: int, k: int, seed: int = 42) -> DataFrame:
-    """k questions of the years before, in hash order."""
-    from quillspark.operators.ranking import sampled
-
-    return sampled(questions.filter(F.col("year") < year), k, seed + year, "question_text")
+def frequency_forecast(questions: DataFrame, years: DataFrame, k: int) -> DataFrame:
+    """(target_year, rank, text, score): for each year the k most frequent questions of the year before."""
+    past = questions.withColumn("target_year", (F.col("year") + 1).cast("int")).join(years.select(F.col("year").alias("target_year")).distinct(), "target_year")
+    counted = past.groupBy("target_year", F.col("question_text").alias("text")).agg(F.count("*").cast("double").alias("score"))
+    return ranked(counted, ["target_year"], [F.desc("score"), F.col("text")]).filter(F.col("rank") <= k).select("target_year", "rank", "text", "score")
+
+
+def random_forecast(questions: DataFrame, years: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """(target_year, rank, text, score): for each year k questions of the window before it, in hash order."""
+    windows = questions.select("year", "question_text", F.explode(F.sequence(F.col("year") + 1, F.col("year") + 1 + YEARS_BACK)).alias("target_year"))
+    asked = windows.withColumn("target_year", F.col("target_year").cast("int")).join(years.select(F.col("year").alias("target_year")).distinct(), "target_year")
+    distinct = asked.select("target_year", F.col("question_text").alias("text")).distinct().withColumn("draw", F.md5(F.concat(F.lit(f"{seed}:"), F.col("target_year").cast("string"), F.lit(":"), F.col("text")).cast("binary")))
+    return ranked(distinct, ["target_year"], [F.col("draw"), F.col("text")]).filter(F.col("rank") <= k).select("target_year", "rank", "text", F.lit(0.0).alias("score"))

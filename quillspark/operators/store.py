@@ -64,30 +64,36 @@ class Store:
         found = self._snapshot(name)
         if found is None:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}/{found}")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.root}/{name}/{part}" for part in found.split()])
 
-    def write(self, name: str, df: DataFrame) -> None:
-        """Makes df the table; columns that it lacks are null, others are dropped."""
+    def _fitted(self, name: str, df: DataFrame) -> DataFrame:
         have = set(df.columns)
-        fields = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]]
-        snapshot = uuid.uuid4().hex
-        df.select(*fields).write.parquet(f"{self.root}/{name}/{snapshot}")
+        return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]])
+
+    def _point(self, name: str, parts: list[str]) -> None:
+        """Makes the table the rows of these parts. The new pointer replaces the old one in one step."""
         jvm, fs = self._fs()
-        new, now = (jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/{x}") for x in (f"next-{snapshot}", "current"))
+        new, now = (fs.makeQualified(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/{x}")) for x in (f"next-{uuid.uuid4().hex}", "current"))
         stream = fs.create(new, True)
         try:
-            stream.writeBytes(snapshot)
+            stream.writeBytes("\n".join(parts))
         finally:
             stream.close()
-        fs.delete(now, False)
-        fs.rename(new, now)
+        over = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(now.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(new, now, over)
+
+    def write(self, name: str, df: DataFrame) -> None:
+        """Makes df the table; columns that it lacks are null, others are dropped."""
+        part = uuid.uuid4().hex
+        self._fitted(name, df).write.parquet(f"{self.root}/{name}/{part}")
+        self._point(name, [part])
 
     def upsert(self, name: str, delta: DataFrame, key: list[str], order: list[Column]) -> None:
-        base = self.read(name)
+        extra = [c for c in delta.columns if c not in SCHEMAS[name].fieldNames()]
         have = set(delta.columns)
         fields = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]]
-        extra = [c for c in delta.columns if c not in SCHEMAS[name].fieldNames()]
-        self.write(name, merge_upsert(base, delta.select(*fields, *extra), key, order))
+        self.write(name, merge_upsert(self.read(name), delta.select(*fields, *extra), key, order))
 
     def upsert_articles(self, delta: DataFrame, now: datetime) -> None:
         """Whole rows by pmid, of equal ones the last by fetched_at; text_work defaults to the abstract."""
@@ -100,9 +106,10 @@ class Store:
         self.upsert("articles", filled, ["pmid"], [F.desc("fetched_at"), F.desc("title"), F.desc("abstract")])
 
     def append(self, name: str, df: DataFrame) -> None:
-        have = set(df.columns)
-        fields = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]]
-        self.write(name, self.read(name).unionByName(df.select(*fields)))
+        """Adds rows as another part; what is stored isn't read."""
+        part = uuid.uuid4().hex
+        self._fitted(name, df).write.parquet(f"{self.root}/{name}/{part}")
+        self._point(name, [*(self._snapshot(name) or "").split(), part])
 
     def replace_predictions(self, ranked: DataFrame) -> None:
         """Drops the rows of each (target_year, model, run_id) that comes, and adds what comes."""

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.functions.models import BigramScorer, EchoGenerator, HashingEncoder, compressed_length, encoded, passage
+from quillspark.functions.models import BigramScorer, HashingEncoder, compressed_length, encoded, passage
 from quillspark.functions import patterns as P
 from quillspark.functions.directions import direction_key
 from quillspark.operators import forecast as G
 from quillspark.operators.ranking import draw_key, sampled
 from quillspark.operators.similarity import kept_apart
 from quillspark.plans import common as C
+from quillspark.plans import relational
 from quillspark.plans import sqltext as Q
 from quillspark.sources import export
 from quillspark.sources.tables import spread, table
@@ -80,14 +81,6 @@ def lm_compression_ratio(spark, sf_dir):
     return found.agg(F.count("*").alias("n"), F.avg("r").alias("mean"), F.median("r").alias("median"), F.avg((F.col("r") >= F.col("high")).cast("double")).alias("high_rate"))
 
 
-def lm_generation(spark, sf_dir):
-    """Directions for three years from the stand-in generator."""
-    questions = C.questions(spark, sf_dir)
-    years = spark.createDataFrame([(2019,), (2020,), (2021,)], "year int")
-    prompts = G.contexts(questions, years, 30).select(F.lit("echo").alias("model"), (F.col("year") + 1).cast("int").alias("target_year"), "context")
-    return G.generated(prompts, EchoGenerator(), HashingEncoder(), 10)
-
-
 def embed_questions(spark, sf_dir):
     """Questions with stand-in vectors; digests of the vectors."""
     found = encoded(C.questions(spark, sf_dir), "question_text", HashingEncoder())
@@ -124,7 +117,7 @@ def parse_export(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     prompt_extraction, prompt_contexts, prompt_instruct, pairs_training, pairs_error_examples, lm_perplexity, lm_discrimination, lm_compression_ratio,
-    lm_generation, embed_questions, filter_near_duplicates, parse_sections, parse_clean, parse_export,
+    embed_questions, filter_near_duplicates, parse_sections, parse_clean, parse_export,
 )}
 
 _CTX = """
@@ -147,20 +140,23 @@ def _oracle() -> dict[str, str]:
     instruct = f"{start} || {themes} || {rules} || {through} || context || chr(10) || {avoid} || '- one' || chr(10) || '- two' || chr(10) || {ask}"
     cap = f"case when length(text) > 3500 then {Q.cut('text[1:3497]', r'\s+$')} || '...' else text end"
     prompt = f"{s(before)} || coalesce(nullif(string_split(text, chr(10))[1], ''), 'Untitled') || {s(between)} || {cap} || {s(after)}"
-    tok = f"list_prepend('<s>', {Q.tokens('question_text')})"
-    lm = f"""{q}, tr as (select {tok} t from questions where year < 2020), u1 as (select unnest(t) word from tr), uni as (select word, count(*) n1 from u1 group by word),
+    surprise = lambda asked, text: f"""{q}, tr as (select list_prepend('<s>', {Q.tokens('question_text')}) t from questions where year < 2020), u1 as (select unnest(t) word from tr), uni as (select word, count(*) n1 from u1 group by word),
         b1 as (select unnest(list_zip(t[1:-2], t[2:])) p from tr where len(t) > 1), bi as (select p[1] a, p[2] b, count(*) n2 from b1 group by all),
-        st as (select sum(n1) tot, count(*) voc from uni where word <> '<s>'), te as (select id, {tok} t from questions where year >= 2020),
+        st as (select sum(n1) tot, count(*) voc from uni where word <> '<s>'), te as (select id, list_prepend('<s>', {Q.tokens(text)}) t from questions where {asked}),
         e as (select id, unnest(list_zip(t[1:-2], t[2:])) p from te where len(t) > 1),
         l as (select id, ln(0.7::double * coalesce(n2 / ub.n1::double, 0) + (1 - 0.7::double) * ((coalesce(uw.n1, 0) + 1.0::double) / (tot + voc + 1.0::double))) l
-              from e left join bi on bi.a = p[1] and bi.b = p[2] left join uni uw on uw.word = p[2] left join uni ub on ub.word = p[1], st)"""
+              from e left join bi on bi.a = p[1] and bi.b = p[2] left join uni uw on uw.word = p[2] left join uni ub on ub.word = p[1], st)"""
+    pairs = "rl as" + relational.ORACLE["sample_pairs"].split(", rl as", 1)[1]
+    ppl = "pp as (select id, exp(-avg(l)) ppl from l group by id)"
     return {
         "prompt_extraction": f"select doc_id, length({prompt})::int n_chars, md5({prompt}) prompt from documents",
         "prompt_contexts": f"with {every}{_CTX.format(30)} select w as year, md5({cont}) prompt from cx",
         "prompt_instruct": f"with {every}{_CTX.format(3)} select w as year, {instruct} prompt from cx",
         "pairs_training": f"with {past}{_CTX.format(30)}, k as (select *, row_number() over (partition by year order by coalesce(impact_score, 0) desc, question_text, id) rk, count(*) over (partition by year) m from qs) select k.year target_year, md5({cont}) prompt, question_text[1:400] completion from k join cx on cx.w = k.year - 1 where rk <= least(40, greatest(1, floor(m * 0.7::double)))",
         "pairs_error_examples": f"with {q}, {C.PREDICTIONS_SQL.strip()}, y as (select *, max(is_critical) over () any_critical from questions where year = 2020) select id, question_text[1:400] completion from y where (is_critical = 1 or any_critical = 0) and question_text not in (select text from predictions) order by id limit 50",
-        "lm_perplexity": f"with {lm} select id, round(exp(-avg(l)), 4) ppl from l group by id",
+        "lm_perplexity": f"with {surprise('year >= 2020', 'question_text')} select id, round(exp(-avg(l)), 4) ppl from l group by id",
+        "lm_discrimination": f"""with {surprise('year <= 2020', "'Research direction: ' || trim(question_text)")}, {ppl}, sm as (with {q}, {pairs})
+            select round(avg((a.ppl < b.ppl)::int::double), 6) accuracy, round(avg(abs(b.ppl - a.ppl)), 3) confidence, count(*) n_pairs from sm join pp a on a.id = real_id join pp b on b.id = distractor_id""",
         "parse_sections": f"""with t as (select doc_id, string_split(text, chr(10)) ls from documents),
             g as (select doc_id, array_to_string(list_concat([ls[1]], case when len(ls) > 1 then ['METHODS: ' || ls[2]] else [] end, case when len(ls) > 2 then ['RESULTS: ' || ls[3]] else [] end, ls[4:]), chr(10)) text from t),
             p as (select doc_id, text, {Q.section_pieces('text')} ps from g),

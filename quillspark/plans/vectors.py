@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+from zipfile import ZipFile
+
+import pyspark
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import trigrams, verbatim_key
@@ -171,6 +175,14 @@ _COVER = "select r.cell, r.id, coalesce(max(list_dot_product(p.e, r.e)) >= {0},
 _REC = "select p.cell, p.id, max(list_dot_product(p.e, c.e)) >= {0} hit from {1} p join {2} c on p.cell = c.cell group by all"
 
 
+def _stops() -> str:
+    """Spark's English stop words as SQL literals, read from its library."""
+    jar = next(Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar"))
+    with ZipFile(jar) as files:
+        found = files.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
+    return ", ".join("'" + word.replace("'", "''") + "'" for word in found)
+
+
 def _oracle() -> dict[str, str]:
     grams = "case when len(t) >= 3 then list_transform(range(1, len(t) - 1), lambda k: array_to_string(t[k:k + 2], ' ')) when len(t) > 0 then [array_to_string(t, ' ')] else [] end"
     key = lambda x: f"array_to_string({Q.words(f'lower({x})')}, ' ')"
@@ -206,6 +218,14 @@ def _oracle() -> dict[str, str]:
             x as (select item_id, questions.id, {Q.stripped('question_text')} question_text, round(s, 9) s from questions join sc on questions.id = sc.id), y as (select item_id, question_text, min((-s, id)) b from x where question_text <> '' group by 1, 2),
             z as (select item_id, (row_number() over (partition by item_id order by b[1], b[2]))::int rank, b[2] id, question_text, round(-b[1], 6) score from y)
             select * from z where rank <= 20""",
+        "ir_tfidf_best": f"""with {C.QUESTIONS_SQL.strip()}, {C.PREDICTIONS_SQL.strip()}, stops as (select unnest([{_stops()}]) token),
+            rd as (select id::varchar id, question_text t from questions), pd as (select target_year || ':' || model || ':' || rank as id, text t from predictions),
+            rt as (select id, unnest({Q.tokens('t[1:4000]')}) token from rd), pt as (select id, unnest({Q.tokens('t[1:4000]')}) token from pd),
+            rf as (select id, token, count(*) tf from rt where length(token) >= 2 and token not in (select token from stops) group by all), pf as (select id, token, count(*) tf from pt where length(token) >= 2 and token not in (select token from stops) group by all),
+            nn as (select count(*) n from rd), kp as (select token, sum(tf) al, count(*) df from rf group by token order by al desc, token limit 8000), idf as (select token, ln((1.0::double + n) / (1.0::double + df)) + 1.0::double idf from kp, nn),
+            rw as (select id, token, tf * idf w from rf join idf using (token)), pw as (select id, token, tf * idf w from pf join idf using (token)),
+            rn as (select id, token, w / sqrt(sum(w * w) over (partition by id)) w from rw), pn as (select id, token, w / sqrt(sum(w * w) over (partition by id)) w from pw),
+            cs as (select pn.id, rn.id other, sum(pn.w * rn.w) s from pn join rn using (token) group by all) select id, round(max(s), 6) best, max(s) >= {R.tfidf_threshold(0.5)} matched from cs group by id""",
         "div_trigram_ratio": f"with {C.PREDICTIONS_SQL}, t as (select model, {Q.tokens('text')} t from predictions), g as (select model, unnest({grams}) g from t) select model, round(count(distinct g) / count(*)::double, 6) ratio from g group by model",
         "audit_verbatim": f"with {C.LINES_SQL.strip()}, {C.PREDICTIONS_SQL.strip()}, kn as (select distinct {key('line')} k from lines) select model, round(avg(({key('text')} in (select k from kn))::int::double), 6) rate from predictions group by model",
         "audit_passages": "select item_id, doc_id from benchmark b join documents d on contains(d.text, b.text)",

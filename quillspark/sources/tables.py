@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the folder of spark.checkpoint.dir, which survives lost executors. Only
+    where that is unset, as in local tests, a temporary folder is made."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='quillspark-')}")
+    return df.checkpoint()
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as articles(pmid, year, title, abstract); the year is derived from the id."""
     docs = table(spark, sf_dir, "documents")

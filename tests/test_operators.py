@@ -1,6 +1,7 @@
 """Stores, samples, similarity and evaluation: properties, and small brute-force twins."""
 
 import random
+import re
 from datetime import datetime
 
 import numpy as np
@@ -13,6 +14,7 @@ from quillspark.operators import ranking as R
 from quillspark.operators import similarity
 from quillspark.operators.pools import context_window, tiered
 from quillspark.operators.store import Store, merge_upsert
+from quillspark.sources.tables import settled
 
 NOW = datetime(2024, 5, 1)
 
@@ -145,6 +147,106 @@ def test_index_run(spark, tmp_path):
     assert rows["5"].is_critical + rows["4"].is_critical >= 1 and len(rows["0"].embedding) == 384
 
 
+def test_collecting_goes_on_from_what_is_stored(spark, tmp_path):
+    from quillspark.operators.drivers import citation_run, collect_run
+    from quillspark.sources.collect import Collect
+
+    store = Store(spark, f"file://{tmp_path}/index")
+    what = Collect(year_from=2019, year_to=2020)
+    lost = collect_run(store, what, "test_sources:FakeClient", NOW, most=10, wait=0.0)
+    assert store.read("articles").count() == 7 and {r.pmid[-1] for r in lost.collect()} == {"2"}
+    collect_run(store, what, "test_sources:FakeClient", NOW, wait=0.0)
+    rows = store.read("articles").collect()
+    assert len(rows) == 48 and all(r.text_work == r.abstract == f"We looked at cells of {r.pmid}" and r.doi == f"10.1/{r.pmid}" for r in rows)
+    assert citation_run(store, "test_sources:FakeClient", NOW, 0.0) == 48 and citation_run(store, "test_sources:FakeClient", NOW, 0.0) == 0
+    assert {(r.pmid[-1], r.citation_count) for r in store.read("citations").collect()} == {("0", 0), ("1", 13)}
+
+
+def test_lists_feed_what_is_accepted_back(spark):
+    from quillspark.functions.models import Loaded
+    from quillspark.operators.generate import answered, listed, listed_at_once
+
+    class Telling:
+        """Answers with a direction that counts how many lines the prompt lists."""
+
+        def generate(self, prompt, n, seed):
+            many = len(re.findall(r"^Role of sleep stage \d+ ", prompt, re.M))
+            return [f"1. Role of sleep stage {many} in memory consolidation of adult mice {'abcdefghijklmnopqrstuvwxyz'[many] * 9}"] * n
+
+    class Longest:
+        def score(self, prompt, texts):
+            return np.array([float(re.search(r"stage (\d+)", t)[1]) for t in texts])
+
+    cells = spark.createDataFrame([("m", 2019, 2020, "Theme of the year"), ("n", 2019, 2020, "")], "model string, context_year int, target_year int, context string")
+    got = listed(cells, Telling(), Longest(), HashingEncoder(), 2, pool=3.0, near=0.999).collect()
+    assert sorted((r.model, r.rank, re.search(r"stage (\d+)", r.text)[1]) for r in got) == [("m", 1, "5"), ("m", 2, "4"), ("n", 1, "5"), ("n", 2, "4")]
+    assert len(listed(cells, Telling(), Longest(), HashingEncoder(), 2, near=0.999, each=4).collect()) == 4
+    assert [r.rank for r in listed_at_once(cells, Telling(), Longest(), 3).collect()] == [1, 1]
+    late = cells.withColumn("target_year", F.lit(2019))
+    with pytest.raises(Exception, match="a context of 2019 for 2019"):
+        listed(late, Telling(), Longest(), HashingEncoder(), 1).collect()
+    made = Loaded(Telling)
+    assert made.generate("x", 1, 1) == Telling().generate("x", 1, 1) and answered(cells.select(F.lit("p").alias("prompt")), made, 3).count() == 6
+
+
+def test_runs_from_directions_to_metrics(spark, tmp_path):
+    from quillspark.functions.models import EchoGenerator
+    from quillspark.operators.drivers import direction_run, embed_missing, evaluate_run, predict_run, run_index
+
+    store = Store(spark, f"file://{tmp_path}/index")
+    rng = random.Random(4)
+    words = "cortical hippocampal synaptic thalamic dopamine sleep memory attention plasticity motor learning reward circuits aging stress".split()
+    text = lambda: "Role of " + " ".join(rng.sample(words, 8))
+    store.upsert_articles(spark.createDataFrame([(str(k), 2017 + k % 4, text(), text()) for k in range(80)], "pmid string, year int, title string, abstract string"), NOW)
+    assert direction_run(store, EchoGenerator(), NOW) == 80 and direction_run(store, EchoGenerator(), NOW) == 0
+    assert {r.segmentation_method for r in store.read("article_segments").collect()} == {"llm"}
+    store.upsert("article_segments", spark.createDataFrame([(str(k), text(), 0.9) for k in range(80)], "pmid string, question string, qc_score double"), ["pmid"], [F.desc("question")])
+    store.upsert("citations", spark.createDataFrame([(str(k), k) for k in range(80)], "pmid string, citation_count long"), ["pmid"], [F.desc("citation_count")])
+    run_index(store, HashingEncoder(), 2024, NOW)
+    impact = {r.pmid: r for r in store.read("article_impact").collect()}
+    assert len(impact) == 80 and impact["79"].impact_score == pytest.approx(79 / 4) and impact["79"].is_critical == 1
+    blank = store.read("questions").withColumn("embedding", F.when(F.col("year") < 2019, F.col("embedding")))
+    store.write("questions", settled(blank))
+    assert embed_missing(store, None, NOW) == 40 and store.read("questions").filter("embedding is null").count() == 0
+    run_index(store, HashingEncoder(), 2024, NOW, force=True)
+    store.write("questions", settled(store.read("questions").withColumn("embedding", F.lit(None).cast("array<float>"))))
+    assert embed_missing(store, HashingEncoder(), NOW) == 80
+    with pytest.raises(ValueError, match="no model"):
+        predict_run(store, ["other"], [2019], 3, NOW)
+    run = predict_run(store, ["frequency", "random", "echo"], [2019, 2020], 5, NOW, {"echo": EchoGenerator()}, each=10)
+    rows = store.read("predictions").collect()
+    assert {(r.model, r.target_year) for r in rows} == {(m, y) for m in ("frequency", "random", "echo") for y in (2019, 2020)} and {r.run_id for r in rows} == {run}
+    evaluated = evaluate_run(store, HashingEncoder(), [2019, 2020], [3, 5], 0.5, NOW)
+    found = {(r.target_year, r.model, r.metric, r.k): r.value for r in store.read("evaluations").collect()}
+    names = {m for _, _, m, _ in found}
+    assert {"precision", "recall", "baseline_context_copy_precision", "baseline_corpus_bm25_recall", "beyond_conditional_corpus_vectors", "length_controlled_precision_model", "length_controlled_recall_context_copy", "format_frac_valid", "pairwise"} <= names
+    assert all(np.isfinite(v) for v in found.values()) and {r.run_id for r in store.read("evaluations").collect()} == {evaluated}
+    assert {r.stage for r in store.read("runs").collect()} == {"direction", "index", "embed", "predict", "eval"}
+
+
+def test_matchers_fall_back(spark):
+    from quillspark.operators.retrieval import matched, tfidf_embedded
+
+    preds = spark.createDataFrame([("a", "sleep and memory in mice"), ("b", "unrelated words here")], "id string, text string")
+    refs = spark.createDataFrame([("x", "memory and sleep in old mice"), ("y", "motor cortex"), ("z", "motor cortex")], "id string, text string")
+    hits = lambda *more: {r.id: r.hit for r in matched(preds, refs, 0.5, *more).collect()}
+    assert hits() == hits("tfidf") == hits("TF-IDF") == {"a": True, "b": False} and hits("minilm", HashingEncoder())["a"]
+    with pytest.raises(ValueError, match="no matcher"):
+        matched(preds, refs, 0.5, "other")
+    rows = {r.id: r.embedding for r in tfidf_embedded(refs.union(spark.createDataFrame([("w", "a")], "id string, text string")), "id", "text", 3).collect()}
+    assert rows["y"] == rows["z"] and all(len(v) == 3 for v in rows.values()) and not any(rows["w"]) and sum(x * x for x in rows["y"]) == pytest.approx(1)
+
+
+def test_appending_adds_parts(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/index")
+    rows = lambda n: spark.createDataFrame([(2020, "m", "p", n, 1.0)], "target_year int, model string, metric string, k int, value double")
+    for n in range(3):
+        store.append("evaluations", rows(n))
+    assert sorted(r.k for r in store.read("evaluations").collect()) == [0, 1, 2]
+    store.write("evaluations", rows(9))
+    assert [r.k for r in store.read("evaluations").collect()] == [9]
+
+
 def test_class_prototypes_takes_all_lines(spark, tmp_path):
     import numpy as np
 

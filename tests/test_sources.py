@@ -2,6 +2,7 @@
 
 import dataclasses
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,19 +105,61 @@ def test_search_terms():
     what = collect.Collect()
     assert collect.search_term(what, 2020, 2) == '(Neurosciences[MeSH Terms]) NOT review[pt] AND ("2020/02/01"[PDAT] : "2020/02/29"[PDAT])'
     assert "NOT review" not in collect.search_term(collect.Collect(term="systematic review"))
-    assert len(collect.yearly_terms(what)) == 27
+    assert collect.search_term(what, 2024).endswith('AND ("2024/01/01"[PDAT] : "2024/12/31"[PDAT])')
     with pytest.raises(ValueError):
         collect.search_term(what, month=3)
 
 
-def fake_client(term, limit):
-    yield f"text of {term[-14:-10]}"
+class FakeClient:
+    """Three articles a month in 2019 and 2020; of each search the first try fails."""
 
+    tried: set = set()
 
-def test_search_source_reads_a_partition_a_year(spark):
-    df = collect.collected(spark, collect.Collect(year_from=2019, year_to=2021), "test_sources:fake_client")
-    assert df.rdd.getNumPartitions() == 3
-    assert sorted(r.year for r in df.collect()) == [2019, 2020, 2021]
+    def ids(self, term):
+        first, last = re.findall(r'"(\d{4}/\d{2}/\d{2})"', term)
+        return [f"{y}{m:02d}{n}" for y in (2019, 2020) for m in range(1, 13) for n in range(3) if first <= f"{y}/{m:02d}/{n + 1:02d}" <= last]
+
+    def search(self, term, start, limit):
+        if (term, start, limit) not in self.tried:
+            self.tried.add((term, start, limit))
+            return "<html>busy</html>"
+        found = self.ids(term)
+        return json.dumps({"esearchresult": {"idlist": found[start : start + min(limit, 5)], "count": str(len(found))}})
+
+    def fetch(self, ids):
+        return "\n\n".join(f"1. J X. {i[:4]} Mar.\n\nTitle of {i}\n\n{'We looked at cells of ' + i if i[-1] != '2' else ''}\n\nDOI: 10.1/{i}\nPMID: {i}" for i in ids)
+
+    def cited(self, pmid, doi):
+        return None if pmid.endswith("0") else int(pmid[-1]) + len(doi)
+
+
+def test_search_source_pages_through_stretches(spark):
+    what = collect.Collect(year_from=2019, year_to=2020)
+    df = collect.found_ids(spark, what, "test_sources:FakeClient", 0.0)
+    assert df.rdd.getNumPartitions() == 2
+    assert sorted((r.year, r.pmid) for r in df.collect()) == sorted((y, f"{y}{m:02d}{n}") for y in (2019, 2020) for m in range(1, 13) for n in range(3))
+    count = lambda term: len(FakeClient().ids(term))
+    assert len(collect.stretches(what, count, 36)) == 2 and len(collect.stretches(what, count, 10)) == 24
+    days = collect.stretches(what, count, 1)
+    assert len(days) == 731 and sum(count(term) for _, term in days) == 72
+    with pytest.raises(RuntimeError, match="more than 0 results on 2019-01-01"):
+        collect.stretches(what, count, 0)
+
+
+def test_errors_of_a_service_are_raised():
+    class Broken:
+        def search(self, term, start, limit):
+            return json.dumps({"esearchresult": {"ERROR": "no such field"}})
+
+        def fetch(self, ids):
+            raise OSError("no route")
+
+    with pytest.raises(RuntimeError, match="no such field"):
+        collect.found_page(Broken(), "x", 0, 1, 0.0)
+    with pytest.raises(OSError, match="no route"):
+        collect.retried(Broken().fetch, ["1"], wait=0.0)
+    with pytest.raises(RuntimeError, match="not accepted"):
+        collect.retried(lambda: "", wait=0.0)
 
 
 @dataclasses.dataclass
