@@ -10,6 +10,8 @@ import numpy as np
 #: Hashed contexts: the orders, and the bits of a slot's number at most. Tables have a slot for each token that they are
 #: learned from, up to this many; 4 bytes a slot.
 ORDERS, SLOT_BITS = (1, 2), 22
+#: Bits of a context's hash that tell contexts apart: as many as the number of a slot and its check have.
+CONTEXT_BITS = 36
 #: Predictors of a bit: the words' frequencies, the two hashed contexts, and the document so far.
 INPUTS, GATES = 4, 12
 #: Weights are refined after each block of so many tokens of a document, at this rate, within these bounds.
@@ -93,8 +95,8 @@ class Code:
 
 @dataclass
 class Counts:
-    """How often each symbol followed each hashed context: ascending numbers, of 48 bits of the context's hash and 16 of the
-    symbol, and a count for each."""
+    """How often each symbol followed each hashed context: ascending numbers, of CONTEXT_BITS of the context's hash and 16 of
+    the symbol, and a count for each."""
 
     numbers: np.ndarray
     counts: np.ndarray
@@ -115,19 +117,26 @@ class Counts:
 
     def cut(self, bits: int) -> list[Counts]:
         """By the first bits of the numbers."""
-        ends = np.searchsorted(self.numbers, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
+        ends = np.searchsorted(self.numbers, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(CONTEXT_BITS + 16 - bits)) if bits else []
         return [Counts(n, c) for n, c in zip(np.split(self.numbers, ends), np.split(self.counts, ends), strict=True)]
 
     def to_bytes(self) -> bytes:
-        """Steps from number to number, and counts, byte by byte of all of them, so that the zeros of both lie together."""
-        steps = np.diff(self.numbers, prepend=np.uint64(0))
-        return b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes() for x in (steps, self.counts.astype(np.int64)))
+        """The first number, and steps from number to number and counts, byte by byte of all of them, as many bytes as the
+        largest needs, so that the zeros of the high ones lie together."""
+        steps, counts = np.diff(self.numbers, prepend=self.numbers[:1]), self.counts.astype(np.uint64)
+        used = [(int(x.max()).bit_length() + 7) // 8 if len(x) else 0 for x in (steps, counts)]
+        planes = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T[:n]).tobytes() for x, n in zip((steps, counts), used, strict=True)]
+        return b"".join([bytes(used), self.numbers[:1].tobytes(), *planes])
 
     @classmethod
     def from_bytes(cls, data: bytes) -> Counts:
-        rows = np.frombuffer(data, np.uint8).reshape(2, 8, -1)
-        steps, counts = (np.ascontiguousarray(x.T).reshape(-1) for x in rows)
-        return cls(np.cumsum(steps.view(np.uint64), dtype=np.uint64), counts.view(np.int64))
+        if len(data) == 2:
+            return cls(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        rows = np.frombuffer(data, np.uint8, offset=10).reshape(data[0] + data[1], -1)
+        out = np.zeros((2, rows.shape[1], 8), np.uint8)
+        out[0, :, : data[0]], out[1, :, : data[1]] = rows[: data[0]].T, rows[data[0] :].T
+        steps, counts = out.reshape(2, -1).view(np.uint64)
+        return cls(np.frombuffer(data, np.uint64, 1, 2) + np.cumsum(steps, dtype=np.uint64), counts.astype(np.int64))
 
 
 @dataclass
@@ -155,11 +164,11 @@ class Table:
         begins = np.flatnonzero(np.diff(context, prepend=-1))
         best = np.maximum.reduceat((found.counts << 16) | (found.numbers & np.uint64(0xFFFF)).astype(np.int64), begins)
         context = context[begins]
-        slot = context >> (48 - bits)
+        slot = context >> (CONTEXT_BITS - bits)
         firsts = np.flatnonzero(np.diff(slot, prepend=-1))
         most = np.repeat(np.maximum.reduceat(best >> 16, firsts), np.diff(firsts, append=len(slot)))
         won = np.maximum.reduceat(np.where(best >> 16 == most, np.arange(len(slot)), -1), firsts)
-        check = (context[won] >> (48 - bits - cls.CHECK_BITS)) & ((1 << cls.CHECK_BITS) - 1)
+        check = (context[won] >> (CONTEXT_BITS - bits - cls.CHECK_BITS)) & ((1 << cls.CHECK_BITS) - 1)
         table.symbol[slot[won] - first] = best[won] & 0xFFFF
         table.mark[slot[won] - first] = (check << 2) | _level(best[won] >> 16)
         return table
@@ -185,9 +194,8 @@ def contexts(words: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
 
 
 def gathered(words: np.ndarray, symbols: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """For each order, a number for each token: 48 bits of its context's hash and the symbol that followed."""
-    low = np.uint64(0xFFFF)
-    return [(hashed & ~low) | symbols.astype(np.uint64) for hashed in contexts(words, starts)]
+    """For each order, a number for each token: bits of its context's hash and the symbol that followed."""
+    return [((hashed >> np.uint64(64 - CONTEXT_BITS)) << np.uint64(16)) | symbols.astype(np.uint64) for hashed in contexts(words, starts)]
 
 
 def _level(count: np.ndarray) -> np.ndarray:

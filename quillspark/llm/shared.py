@@ -36,10 +36,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What is shuffled for a table that is written meanwhile is deleted as soon as the table is complete, rather than when
+    the driver happens to collect garbage. The session's setting is put back."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, name: str, **options) -> tuple[DataFrame, str]:
     """Writes a table to the shared folder and reads it back: this cuts its lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
