@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.batches import sliced, texts, tidied
-from quillspark.llm.shared import new_path, partitions, small_batches
+from quillspark.llm.shared import new_path, partitions, shuffles_freed, small_batches
 from quillspark.sources.tables import table
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
-#: Encoded pieces that a Python worker keeps in each of two generations.
-CACHED_CHUNKS = 150_000
+#: Encoded pieces that a Python worker keeps in each of two generations, of those that a batch has more than once.
+CACHED_CHUNKS = 100_000
 STOPS = ".,!?;:"
 #: Letters that are one character in any normal form and have one lower-case letter.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -58,10 +58,10 @@ class ChunkEncoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encodes pieces. Those of letters alone go many to a call, and the ids that end a word tell them apart; were
+    def _fresh(self, chunks: list[str]) -> dict[str, bytes]:
+        """The ids of pieces. Those of letters alone go many to a call, and the ids that end a word tell them apart; were
         one of them more than one pre-token, the ends would be too many, and each goes alone."""
-        encode = self.tokenizer.encode_batch_fast
+        encode, out = self.tokenizer.encode_batch_fast, {}
         alone = [c for c in chunks if not c.isalpha()]
         words = [c for c in chunks if c.isalpha()]
         groups = [words[at : at + 256] for at in range(0, len(words), 256)]
@@ -73,23 +73,25 @@ class ChunkEncoder:
                 continue
             data, at = ids.tobytes(), 0
             for word, end in zip(group, ends.tolist(), strict=True):
-                self.known[word] = data[at:end]
+                out[word] = data[at:end]
                 at = end
         for at in range(0, len(alone), 20_000):
             some = alone[at : at + 20_000]
             for chunk, found in zip(some, encode(some, add_special_tokens=False), strict=True):
-                self.known[chunk] = array("i", found.ids).tobytes()
+                out[chunk] = array("i", found.ids).tobytes()
+        return out
 
-    def _encoded(self, chunks: list[str]) -> list[bytes]:
+    def _encoded(self, chunks: list[str], repeats: np.ndarray) -> list[bytes]:
+        """The ids of distinct pieces; those that repeat are remembered."""
         if len(self.known) > CACHED_CHUNKS:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        missing = [c for c in chunks if c not in known]
         if older:
-            known.update((c, older[c]) for c in missing if c in older)
-            missing = [c for c in missing if c not in known]
-        self._learn(missing)
-        return [self.known[c] for c in chunks]
+            known.update((c, older[c]) for c in chunks if c not in known and c in older)
+        fresh = self._fresh([c for c in chunks if c not in known])
+        out = [fresh[c] if c in fresh else known[c] for c in chunks]
+        known.update((c, ids) for c, ids, again in zip(chunks, out, repeats.tolist(), strict=True) if again)
+        return out
 
     def forget(self) -> None:
         """Drops all pieces: an idle worker's memory counts beside that of the next stage."""
@@ -105,12 +107,13 @@ class ChunkEncoder:
         cased = coded.dictionary
         simple = pc.match_substring_regex(cased, f"^[{LETTERS}]+$")
         plain = pc.if_else(simple, pc.utf8_lower(cased), cased).dictionary_encode()
-        ids = self._encoded(plain.dictionary.to_pylist())
+        which = np.asarray(plain.indices)[np.asarray(coded.indices)]
+        ids = self._encoded(plain.dictionary.to_pylist(), np.bincount(which, minlength=len(plain.dictionary)) > 1)
         ids.append(array("i", [end_id]).tobytes())
         lengths = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), np.int32)))
-        codes = np.insert(np.asarray(plain.indices)[np.asarray(coded.indices)], ends, len(ids) - 1)
+        codes = np.insert(which, ends, len(ids) - 1)
         upto = np.concatenate([[0], np.cumsum(lengths[codes], dtype=np.int64)])
         return lists.take(pa.array(codes)).flatten(), np.diff(upto[ends + np.arange(1, len(ends) + 1)], prepend=0)
 
@@ -155,7 +158,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
 
     ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions(spark), "doc_id")
     encoded = ranged.sortWithinPartitions("doc_id", "text").mapInArrow(encode, SCHEMA)
-    with small_batches(spark, 2500):
+    with small_batches(spark, 2500), shuffles_freed(spark):
         encoded.write.options(**WRITER).parquet(f"{path}/tokens")
     totals = spark.read.parquet(f"{path}/tokens").groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))
     totals.write.parquet(f"{path}/parts")
