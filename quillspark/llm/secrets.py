@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.automata import ProbabilisticAutomaton
 from quillspark.llm.batches import sliced, texts
 from quillspark.llm.compression import drawn, piece
+from quillspark.llm.shared import removed, written
 from quillspark.sources.tables import table
 
 KINDS = ("assign", "access", "hex")
@@ -128,10 +129,11 @@ def found_credentials(docs: DataFrame, count: int = EXAMPLES) -> dict[str, list[
             rows = [(f"like-{kind}", value) for text in texts(batch).to_pylist() for kind, value in base_values(text)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["label", "value"])
 
-    found = docs.select("text").mapInArrow(run, "label string, value string")
+    found, path = written(docs.select("text").mapInArrow(run, "label string, value string").distinct(), "secret-values")
     out: dict[str, list[str]] = {}
-    for label, value in sorted(map(tuple, drawn(found.distinct(), "label", F.col("value"), count).select("label", "value").collect())):
+    for label, value in sorted(map(tuple, drawn(found, "label", F.col("value"), count).collect())):
         out.setdefault(label, []).append(value)
+    removed(docs.sparkSession, path)
     return out
 
 
