@@ -9,7 +9,7 @@ from quillspark.llm.decontaminate import decontaminated
 from quillspark.llm.language import Languages, identified
 from quillspark.llm.mixing import emitted, mix_sources
 from quillspark.llm.neardup import near_duplicates
-from quillspark.llm.shared import new_path, removed, word_count
+from quillspark.llm.shared import new_path, removed, shuffles_freed, word_count
 from quillspark.llm.tokens import checksums, public_vocabulary, write_tokens
 from quillspark.sources.tables import table
 
@@ -86,7 +86,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = new_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with shuffles_freed(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         if before:
             removed(spark, before)
         docs, before = spark.read.parquet(path), path
