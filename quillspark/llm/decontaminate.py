@@ -30,8 +30,8 @@ def words(text: Column) -> Column:
     return F.split(F.regexp_replace(lowered, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""), r"[^\p{L}\p{N}]+")
 
 
-def _seed(mask: str, array: str, at: str) -> Column:
-    chosen = [F.get(F.col(array), F.col(at) + k) for k, bit in enumerate(mask) if bit == "1"]
+def _seed(mask: str, array: str, at: Column) -> Column:
+    chosen = [F.get(F.col(array), at + k) for k, bit in enumerate(mask) if bit == "1"]
     return F.xxhash64(F.lit(mask), *chosen)
 
 
@@ -42,15 +42,17 @@ def _view(array: str, start: Column) -> Column:
 
 
 def seeded(items: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
-    """Benchmark texts (item_id, words) as (seed, item_id, place), and the masks in use: short items add their own."""
+    """Benchmark texts (item_id, words) as (seed, item_id, place, mask, before), with the seed of the place before in the
+    same cell, and the masks in use: short items add their own."""
     long = F.size("words") >= SPAN
     lengths = items.filter(~long & (F.size("words") >= SHORTEST)).select(F.size("words").alias("n")).distinct()
     short = tuple("1" * n for n in sorted(r.n for r in lengths.collect()))  # at most SPAN - SHORTEST
     placed = items.select("item_id", "words", F.posexplode_outer("words").alias("place", "__word"))
+    inside = F.col("place") % CELL != 0
     parts = [
         placed.filter(long & (F.col("place") + SPAN <= F.size("words")) if mask in MASKS else (F.size("words") == len(mask)) & (F.col("place") == 0))
-        .select(_seed(mask, "words", "place").alias("seed"), "item_id", "place")
-        for mask in MASKS + short
+        .select(_seed(mask, "words", F.col("place")).alias("seed"), "item_id", "place", F.lit(k).alias("mask"), F.when(inside, _seed(mask, "words", F.col("place") - 1)).alias("before"))
+        for k, mask in enumerate(MASKS + short)
     ]
     seeds = parts[0]
     for part in parts[1:]:
@@ -80,14 +82,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     known = docs.filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("words"))
     at = known.select("*", F.posexplode_outer("words").alias("pos", "__word"))
-    hashes = F.array(*[F.when(F.col("pos") + len(m) <= F.size("words"), _seed(m, "words", "pos")) for m in masks])
+    hashes = F.array(*[F.when(F.col("pos") + len(m) <= F.size("words"), _seed(m, "words", F.col("pos"))) for m in masks])
     probes = at.select("doc_id", "text_hash", "words", "pos", F.explode_outer(hashes).alias("seed")).filter("seed is not null")
     shift = F.col("pos") - F.col("place")
     cell = F.floor(F.col("place") / CELL).cast("int")
+    # Where the words before meet as well, they lay the texts over each other in the same way, and their hit stands for
+    # this one: texts that repeat themselves meet in many places, but in few ways.
+    previous = F.coalesce(*[F.when(F.col("mask") == k, _seed(m, "words", F.col("pos") - 1)) for k, m in enumerate(masks)])
+    first = F.col("before").isNull() | (F.col("pos") == 0) | (F.col("before") != previous)
     found = None
     for block in range(blocks):
-        some = seeds.filter(F.pmod(F.col("seed"), F.lit(blocks)) == block)
-        hits = probes.join(F.broadcast(some), "seed").select(
+        # Blocks are dealt by whole rows, so a seed that an item has many times is in several of them.
+        some = seeds.filter(F.pmod(F.xxhash64(*seeds.columns), F.lit(blocks)) == block)
+        hits = probes.join(F.broadcast(some), "seed").filter(first).select(
             "doc_id", "text_hash", "item_id", shift.alias("shift"), cell.alias("cell"), _view("words", shift + cell * CELL - MARGIN).alias("seen")
         )
         found = hits.distinct() if found is None else found.union(hits.distinct())

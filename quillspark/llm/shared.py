@@ -49,17 +49,30 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+#: Intermediate tables that aren't deleted yet, by application.
+_LEFT: dict[str, list[str]] = {}
+
+
+def clear_intermediates(spark: SparkSession) -> None:
+    """Deletes all intermediate tables that operators have written for results so far. Call it once the results are
+    consumed: a result is read from them until then."""
+    removed(spark, *_LEFT.pop(spark.sparkContext.applicationId, []))
+
+
 def written(df: DataFrame, name: str, **options) -> tuple[DataFrame, str]:
     """Writes a table to the shared folder and reads it back: this cuts its lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
     with shuffles_freed(df.sparkSession):
         df.write.options(**options).parquet(path)
+    _LEFT.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def removed(spark: SparkSession, *paths: str) -> None:
     """Deletes intermediate tables through the store's own interface."""
     jvm = spark.sparkContext._jvm
+    left = _LEFT.get(spark.sparkContext.applicationId, [])
+    left[:] = [path for path in left if path not in set(paths)]
     for path in paths:
         place = jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -22,6 +22,8 @@ END_ID = 2
 #: Encoded pieces that a Python worker keeps in each of two generations, of those that a batch has more than once.
 CACHED_CHUNKS = 100_000
 STOPS = ".,!?;:"
+#: Texts that tell whether a vocabulary's ids are those of a text's pieces.
+PROBES = ("a b", "Two words, and more.  So\nit goes; on: here! x_y 12", " É è  Straße\n\nco-op don't AbC")
 #: Letters that are one character in any normal form and have one lower-case letter.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Writer settings: ids get a dictionary (they repeat), positions get delta encoding (they ascend), page indexes are
@@ -41,9 +43,10 @@ SCHEMA = "doc_id long, part int, part_start long, n_tokens long, tokens array<in
 class ChunkEncoder:
     """Encodes texts through a tokenizers file, each distinct piece between blanks once.
 
-    The vocabularies' pre-tokenizers drop white space and neither they nor the normalizers look across it, so the ids
+    That is right where pre-tokenizers drop white space and neither they nor the normalizers look across it: then the ids
     of a text are those of its pieces between spaces and line feeds in a row. Stops right after a letter begin
-    another pre-token in any case and are taken apart; pieces of plain letters alone are looked up in lower case.
+    another pre-token in any case and are taken apart; pieces of plain letters alone are looked up in lower case. A
+    vocabulary whose ids of some probes differ that way gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -57,6 +60,11 @@ class ChunkEncoder:
             self.last[[k for token, k in vocabulary.items() if token.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.apart = bool(suffix) and all(self._same_apart(text) for text in PROBES)
+
+    def _same_apart(self, text: str) -> bool:
+        whole = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self._encode_apart(pa.array([text]), 0)[0].to_pylist() == [*whole, 0]
 
     def _fresh(self, chunks: list[str]) -> dict[str, bytes]:
         """The ids of pieces. Those of letters alone go many to a call, and the ids that end a word tell them apart; were
@@ -100,6 +108,13 @@ class ChunkEncoder:
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[pa.Array, np.ndarray]:
         """The ids of all texts in a row, each text's followed by the end id; and how many each text has."""
+        if self.apart:
+            return self._encode_apart(column, end_id)
+        found = [[*e.ids, end_id] for e in self.tokenizer.encode_batch_fast(column.to_pylist(), add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return pa.array(np.fromiter((k for ids in found for k in ids), np.int32, int(lengths.sum()))), lengths
+
+    def _encode_apart(self, column: pa.Array, end_id: int) -> tuple[pa.Array, np.ndarray]:
         apart = pc.replace_substring_regex(pc.replace_substring(column, "\n", " "), f"([{LETTERS}])([{STOPS}])", r"\1 \2")
         pieces = pc.split_pattern(apart, " ")
         ends = np.asarray(pieces.offsets, dtype=np.int64)[1:] - pieces.offsets[0].as_py()

@@ -58,3 +58,15 @@ def test_items_without_an_id_leak_too(spark):
     items = spark.createDataFrame([(None, " ".join(words)), (None, "other words " * 12), (5, " ".join(words[3:30]))], "item_id long, text string")
     got = sorted(((r.doc_id, r.item_id) for r in dc.leaks(docs, items).collect()), key=repr)
     assert got == [(1, 5), (1, None)]
+
+
+def test_texts_that_repeat_themselves_are_quick(spark):
+    """Every place of one meets every place of the other, in few ways."""
+    import time
+
+    docs = spark.createDataFrame([(1, "la " * 3000), (2, "la la lo " * 700), (3, "plain words " * 3)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "la " * 400), (2, "la la lo " * 100)], "item_id long, text string")
+    began = time.time()
+    got = {(r.doc_id, r.item_id): r.score for r in dc.leaks(docs, items).collect()}
+    assert got[1, 1] == got[2, 2] == dc.VIEW and set(got) <= {(1, 1), (2, 2), (1, 2), (2, 1)}
+    assert time.time() - began < 30

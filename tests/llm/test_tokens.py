@@ -2,11 +2,12 @@ import glob
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
 from quillspark.llm.shared import new_path
-from quillspark.llm.tokens import checksums, op1_token_output, public_vocabulary, read_index, read_tokens, write_tokens
+from quillspark.llm.tokens import VOCABULARY, ChunkEncoder, checksums, op1_token_output, public_vocabulary, read_index, read_tokens, write_tokens
 
 ODD = ["", None, "  ", "a\nb\tc\x0bd e f", "It's <|endoftext|> I'LL 'd", "é ́x Å ΣΣ ẛ̣", "x" * 5000, "word " * 30000, "中文 日本\r\n\x1c\x85z", "ÉTÉ. Çà, Ñandú; Straße: ÿÿ. İI. e\u0301. \u0301. a.\u0338 h\u0331. H\u0331! ŸŒ,", "don't. [x]. (y), \"z.\" a.b,c;d...e", "same", "same"]
 
@@ -50,3 +51,14 @@ def test_empty_table(spark):
     path = new_path(spark, "tokens-empty")
     write_tokens(spark.createDataFrame([], "doc_id long, text string"), path, public_vocabulary())
     assert checksums(spark, path).count() == 0
+
+
+def test_other_vocabularies_get_whole_texts():
+    text = ["Two words, and  more.\n\nSo it goes", "", "x  y", " é" * 50]
+    for name, apart in ((VOCABULARY, True), ("byte_bpe_50k.json", False)):
+        path = public_vocabulary(name)
+        encoder, tokenizer = ChunkEncoder(path), Tokenizer.from_file(path)
+        assert encoder.apart == apart
+        ids, counts = encoder.encode(pa.array(text), 2)
+        want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in text]
+        assert ids.to_pylist() == [k for w in want for k in w] and counts.tolist() == list(map(len, want))
