@@ -42,6 +42,6 @@ def copies(df: DataFrame, text: str, blocked: DataFrame, blocked_text: str) -> D
             F.when(n >= LONG, F.transform(F.sequence(F.lit(LONG), F.least(n, F.lit(PREFIX))), lambda k: F.concat(F.lit("^"), F.substring(own, F.lit(1), k)))).otherwise(F.array().cast("array<string>")),
         )
     )
-    keyed = df.withColumn("__k", direction_key(F.col(text))).withColumn("__row", F.monotonically_increasing_id())
-    hits = keyed.select("*", F.explode(tried).alias("__look")).join(lookups.union(starts.distinct()), "__look", "left_semi")
-    return hits.dropDuplicates(["__row"]).drop("__look", "__k", "__row")
+    keyed = df.withColumn("__k", direction_key(F.col(text)))
+    hits = keyed.select("__k").distinct().select("__k", F.explode(tried).alias("__look")).join(lookups.union(starts.distinct()), "__look", "left_semi")
+    return keyed.join(hits.select("__k").distinct(), "__k", "left_semi").drop("__k")

@@ -61,10 +61,16 @@ def split_off(df: DataFrame, fraction: float, seed: int, text: str) -> DataFrame
     there are fewer than ten rows. A fraction above a half counts as one; the share is rounded to even."""
     n = df.count()
     size = 0 if fraction <= 0 or n < 10 else min(max(1, round(n * min(0.5, fraction))), n // 2)
-    # The val rows' last hash: a top-k of one column, then a filter; no row is shuffled.
-    keys = df.select(draw_key(seed, F.col(text)).alias("__draw"), F.col(text).alias("__text"))
-    last = keys.orderBy("__draw", "__text").limit(size).agg(F.max(F.struct("__draw", "__text"))).first()[0] if size else None
-    if last is None:
+    if not size:
         return df.withColumn("part", F.lit("train"))
+    # The val rows' last key, an order statistic: counts by the hash's first digits tell which rows it is among, and only
+    # those few are sorted.
+    keys = df.select(draw_key(seed, F.col(text)).alias("__draw"), F.col(text).alias("__text")).withColumn("__head", F.substring("__draw", 1, 4))
+    before = 0
+    for head, here in sorted(map(tuple, keys.groupBy("__head").count().collect())):  # 65,536 rows at most
+        if before + here >= size:
+            break
+        before += here
+    last = keys.filter(F.col("__head") == head).orderBy("__draw", "__text").limit(size - before).agg(F.max(F.struct("__draw", "__text"))).first()[0]
     key = F.struct(draw_key(seed, F.col(text)), F.col(text))
     return df.withColumn("part", F.when(key <= F.struct(F.lit(last[0]), F.lit(last[1])), "val").otherwise("train"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.plans import audits, critical, forecasts, language_models, relational, rules, streams, vectors
+from quillspark.plans import audits, critical, forecasts, language_models, relational, rules, stores, streams, vectors
 
-_MODULES = (critical, relational, rules, vectors, language_models, forecasts, audits, streams)
+_MODULES = (critical, relational, rules, vectors, language_models, forecasts, audits, streams, stores)
 
 
 def queries() -> dict:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.streaming import ingest
 
 
-def _folder(spark) -> str:
+def shared_folder(spark) -> str:
     """A folder that the driver and the executors share; a temporary one only where none is named, as in tests."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return f"{found}/stream-{uuid.uuid4().hex}"
@@ -20,7 +20,7 @@ def _folder(spark) -> str:
 def stream_window_counts(spark, sf_dir):
     """Events and values by day and type. The last windows are closed by the table's own end, so the state is kept in
     full and the latest of each window is read."""
-    at = _folder(spark)
+    at = shared_folder(spark)
     counts = ingest.window_counts(ingest.event_stream(spark, sf_dir), "1 day", "36500 days")
     ingest.run_latest(counts, f"{at}/counts", f"{at}/checkpoint", ["start", "event_type"], [F.desc("n")])
     found = ingest.latest(spark, f"{at}/counts")
@@ -29,7 +29,7 @@ def stream_window_counts(spark, sf_dir):
 
 def stream_first_arrivals(spark, sf_dir):
     """Each user's first event as it arrives, written to a table."""
-    at = _folder(spark)
+    at = shared_folder(spark)
     arrivals = ingest.first_arrivals(ingest.event_stream(spark, sf_dir), ["event_id"], "36500 days")
     ingest.run_to_table(arrivals.select("event_id", "user_id"), f"{at}/rows", f"{at}/checkpoint")
     return spark.read.parquet(f"{at}/rows").groupBy("user_id").agg(F.count("*").alias("n"))

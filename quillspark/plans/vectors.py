@@ -15,7 +15,7 @@ from quillspark.operators.ranking import at_each_k, ranked
 from quillspark.operators.similarity import centroid, scored_against
 from quillspark.plans import common as C
 from quillspark.plans import sqltext as Q
-from quillspark.sources.tables import table
+from quillspark.sources.tables import spread, table
 
 TAU, KS = 0.30, [10, 50]
 #: The last k is above the size of the cells, so that the gate closes for it.
@@ -134,12 +134,22 @@ def audit_verbatim(spark, sf_dir):
 
 
 def audit_passages(spark, sf_dir):
-    """Benchmark passages that stand whole in a document, by a join on their first four words."""
-    head = lambda k: F.array_join(F.slice(F.split(k, r"\s+"), 1, 4), " ")
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), head(F.col("text")).alias("h"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.split("text", r"\s+").alias("w"))
-    starts = docs.select("doc_id", "text", F.explode(F.array_distinct(F.transform("w", lambda x, i: F.array_join(F.slice(F.col("w"), i + 1, 4), " ")))).alias("h"))
-    return starts.join(items, "h").filter(F.contains("text", "item")).select("item_id", "doc_id").distinct()
+    """Benchmark passages that stand whole in a document. Ids meet first, on up to four of a passage's inner words, which
+    are whole words of the document wherever the passage begins; texts are joined and compared after that."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
+    keyed = items.withColumn("w", F.split("item", r"\s+")).withColumn("n", F.least(F.size("w") - 2, F.lit(4)))
+    inner = keyed.filter("n > 0").select("item_id", "n", F.array_join(F.slice("w", F.lit(2), F.col("n")), " ").alias("h"))
+    sizes = sorted(r.n for r in inner.select("n").distinct().collect())  # four at most
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = spread(docs).select("doc_id", F.split("text", r"\s+").alias("w"))
+    runs_of = lambda n: F.transform("w", lambda _, i: F.array_join(F.slice(F.col("w"), i + 1, n), " "))
+    runs = [runs_of(n) for n in sizes]
+    starts = words.select("doc_id", F.explode(F.array_distinct(F.concat(*runs))).alias("h")) if sizes else words.select("doc_id", F.lit("").alias("h")).limit(0)
+    pairs = starts.join(inner, "h").select("doc_id", "item_id").distinct()
+    found = pairs.join(items, "item_id").join(docs, "doc_id").filter(F.contains("text", "item")).select("item_id", "doc_id")
+    # Passages of one or two words have no inner word: each is looked for in every document.
+    short = keyed.filter("n <= 0").select("item_id", "item")
+    return found.union(docs.join(F.broadcast(short), F.contains("text", "item")).select("item_id", "doc_id")) if not short.isEmpty() else found
 
 
 def report_markdown(spark, sf_dir):

@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.functions.models import Generator
+from quillspark.operators.generate import extracted
 from quillspark.operators.store import Store, merge_upsert
+from quillspark.sources.tables import settled
 
 EVENTS = T.StructType().add("event_id", "long").add("ts", "timestamp_ntz").add("user_id", "long").add("event_type", "string").add("value", "double").add("props", "string")
 DELAY = "10 minutes"
@@ -22,6 +25,24 @@ def event_stream(spark: SparkSession, folder: str, pattern: str = "events.parque
     return found.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def table_stream(spark: SparkSession, folder: str, name: str, schema: str, files: int = 8) -> DataFrame:
+    """A table of a data directory, a file or a folder of files, as a stream."""
+    found = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+    inside = spark.read.format("binaryFile").option("pathGlobFilter", f"{name}.parquet").load(folder).select("path").limit(1).count()
+    return found.option("pathGlobFilter", f"{name}.parquet").parquet(folder) if inside else found.parquet(f"{folder}/{name}.parquet")
+
+
+def run_directions(articles: DataFrame, store: Store, generator: Generator, checkpoint: str, style: str = "topic") -> None:
+    """Draws directions from articles (pmid, title, abstract) as they arrive and upserts them; articles that have one are
+    left alone, so a batch that is repeated, or an article that comes again, costs nothing."""
+
+    def draw(batch: DataFrame, _: int) -> None:
+        todo = batch.dropDuplicates(["pmid"]).join(store.read("article_segments").select("pmid"), "pmid", "left_anti")
+        store.upsert("article_segments", settled(extracted(todo, generator, style)), ["pmid"], [F.col("question")])
+
+    articles.writeStream.foreachBatch(draw).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def window_counts(events: DataFrame, width: str = "1 hour", delay: str = DELAY) -> DataFrame:
     """Events and values by window and type; a window is final once the watermark has passed it."""
     seen = events.withWatermark("ts", delay)
