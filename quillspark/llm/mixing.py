@@ -35,7 +35,6 @@ def mix_sources(
     """
     if most < share:
         raise ValueError("the shares can't be met: most is below share")
-    spark = docs.sparkSession
     docs = docs.drop("source_size", "target", "copies")
     plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     keyed = docs.withColumns(
@@ -46,7 +45,7 @@ def mix_sources(
         }
     )
     order = [F.col("__key"), F.col("__size"), F.col("doc_id"), F.col("__tie")]
-    ranged = keyed.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    ranged = keyed.repartitionByRange(partitions(docs), *order).sortWithinPartitions(*order)
     rows, _ = written(ranged.drop("__tie").withColumn("__place", F.monotonically_increasing_id()), "mix-rows")
     rows = rows.withColumn("__task", F.shiftright("__place", 33))
 

@@ -132,11 +132,11 @@ def _with_next(docs: DataFrame) -> DataFrame:
     """Rows (bucket, guest, key, text) such that those of a bucket, guests last, in descending key, are a stretch of
     the documents in descending doc_id, followed by the document after it. Buckets are stretches of ids of about the
     same number of rows; the last one is followed by the first."""
-    spark = docs.sparkSession
+    many_tasks = partitions(docs)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("key"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").isNull().alias("unnamed"))
-    many = min(4 * partitions(spark), 4096)
+    many = min(4 * many_tasks, 4096)
     cuts = docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [k / many for k in range(1, many)], 1 / (4 * many))
-    bounds = np.unique(np.array(cuts, np.float64)).astype(np.int64)
+    bounds = np.unique(np.clip(np.array(cuts, np.float64), -9.2e18, 9.2e18)).astype(np.int64)
 
     @F.pandas_udf("int")
     def bucket(key):
@@ -161,7 +161,7 @@ def _with_next(docs: DataFrame) -> DataFrame:
         return pd.Series([[o, follows[a]] if h else [o] for o, a, h in zip(own.tolist(), at.tolist(), hit.tolist(), strict=True)])
 
     placed = keyed.select("*", F.posexplode(buckets("key")).alias("guest", "bucket"))
-    dealt = placed.repartition(partitions(spark), "bucket")
+    dealt = placed.repartition(many_tasks, "bucket")
     return dealt.sortWithinPartitions("bucket", "guest", F.desc("key"), "unnamed", "text")
 
 

@@ -109,8 +109,10 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) ->
         spark.conf.set(bytes_name, bytes_before)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions(df: DataFrame) -> int:
+    """As many as the session's shuffles have, or as df is read in, if that is more: larger inputs get more tasks, not
+    larger ones."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
 
 
 def ascii_lower(text: Column) -> Column:

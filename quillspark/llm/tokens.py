@@ -171,7 +171,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "part_start", "n_tokens", "tokens"])
         encoder.forget()
 
-    ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions(spark), "doc_id")
+    ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions(docs), "doc_id")
     encoded = ranged.sortWithinPartitions("doc_id", "text").mapInArrow(encode, SCHEMA)
     with small_batches(spark, 2500), shuffles_freed(spark):
         encoded.write.options(**WRITER).parquet(f"{path}/tokens")

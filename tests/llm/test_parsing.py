@@ -59,3 +59,10 @@ def test_odd_rows(spark):
     assert fingerprinted(docs.limit(0)).count() == 0
     one = fingerprinted(docs.filter("doc_id = 1")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
+
+
+def test_largest_and_smallest_ids(spark):
+    ids = [2**63 - 1, 2**63 - 2, -(2**63) + 1, 0, 5]
+    docs = spark.createDataFrame([(k, f"text of {k} " * 9) for k in ids], "doc_id long, text string")
+    want = {r[0]: r[2] for r in brute(sorted(((k, f"text of {k} " * 9) for k in ids), reverse=True))}
+    assert {r.doc_id: r.edited_sha256 for r in fingerprinted(docs).collect()} == want
