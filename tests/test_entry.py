@@ -5,6 +5,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 import __spark_entry__ as entry_module
 
 REPO = Path(entry_module.__file__).parent
@@ -19,9 +21,13 @@ def test_oracles_belong_to_queries():
     assert len(entry_module.queries()) > 80
 
 
-def test_entry_stands_without_the_subpackage(tmp_path):
+@pytest.mark.parametrize("kept", ["neither", "pipeline", "empty folder"])
+def test_entry_stands_without_the_subpackage(tmp_path, kept):
     copy = tmp_path / "repo"
-    shutil.copytree(REPO, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py", "spark-warehouse"))
+    gone = ["llm"] + ["corpus_pipeline.py"] * (kept == "neither")
+    shutil.copytree(REPO, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "spark-warehouse", *gone))
+    if kept == "empty folder":
+        (copy / "quillspark" / "llm").mkdir()
     code = "import __spark_entry__ as e; q = e.queries(); print(len(q), any(n.startswith('op') or n == 'pipeline' for n in q), set(e.oracle_sql()) <= set(q))"
     done = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=120, check=True)
     n, has, fit = done.stdout.split()
