@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import removed, written
+from quillspark.llm.shared import gathered, removed, written
 
 #: No graph of fewer than 2**MOST_ROUNDS nodes takes more rounds.
 MOST_ROUNDS = 64
@@ -47,8 +47,8 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
                 edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
         seen = state
-        starred, between = written(_large_star(edges), name)
-        edges, after = written(_small_star(starred), name)
+        starred, between = written(gathered(_large_star(edges), state[0]), name)
+        edges, after = written(gathered(_small_star(starred), state[0]), name)
         removed(spark, path, between)
         path = after
     raise RuntimeError("the components did not settle")

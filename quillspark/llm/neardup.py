@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from quillspark.llm.batches import sliced, texts
 from quillspark.llm.components import components
 from quillspark.llm.simhash import links, majorities, shingle_hashes
-from quillspark.llm.shared import Scratch, small_batches, written
+from quillspark.llm.shared import Scratch, gathered, small_batches, written
 
 WIDTH, SIMILARITY = 5, 0.8
 #: Bits of a set's parity sketch, and rows of a block: blocks of the rows that share a key are compared two by two.
 SKETCH_BITS, BLOCK = 512, 256
+#: So many ids of texts that are compared are broadcast, 8 MB.
+FEW_IDS = 1_000_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -87,18 +89,18 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, doc_id long, same binary, fp long, slices array<long>, size int, bits array<long>")
 
 
-def members(kept: DataFrame, scratch: Scratch) -> DataFrame:
+def members(kept: DataFrame, scratch: Scratch, n: int) -> DataFrame:
     """(key, id, low, high, n): the rows (id, fp, slices) under each key that at least two have, n with the least and the
     greatest of them. Keys stand for slices, for fingerprints, and for each fingerprint together with those of which it
-    is the lesser end of a link in the grid join."""
-    fps = scratch.written(kept.select("fp").distinct(), "near-fingerprints")
-    near = scratch.written(links(fps, scratch), "near-links")
+    is the lesser end of a link in the grid join. There are about n rows."""
+    fps = scratch.written(kept.select("fp").distinct(), "near-fingerprints", n)
+    near = scratch.written(links(fps, scratch), "near-links", n)
     around = near.select("a", F.col("b").alias("fp")).union(near.select("a", F.col("a").alias("fp"))).distinct()
     found = kept.select(F.explode("slices").alias("key"), "id")
     found = found.union(kept.select(F.xxhash64(F.lit("same"), "fp").alias("key"), "id"))
     found = found.union(kept.select("fp", "id").join(around, "fp").select(F.xxhash64(F.lit("near"), "a").alias("key"), "id"))
     ends = found.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).filter("low < high")
-    return scratch.written(found.join(scratch.written(ends, "near-keys"), "key"), "near-members")
+    return scratch.written(found.join(scratch.written(ends, "near-keys", n), "key"), "near-members")
 
 
 def ends_paired(rows: DataFrame) -> DataFrame:
@@ -107,7 +109,7 @@ def ends_paired(rows: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
-def rest_paired(rows: DataFrame, roots: DataFrame, sketches: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+def rest_paired(rows: DataFrame, roots: DataFrame, sketches: DataFrame, similarity: float, scratch: Scratch, n: int) -> DataFrame:
     """(a, b), a < b: all other pairs under a key of members() that may be near and aren't joined yet by roots (node,
     root).
 
@@ -118,9 +120,9 @@ def rest_paired(rows: DataFrame, roots: DataFrame, sketches: DataFrame, similari
     """
     left = rows.filter("n > 3 and id <> low and id <> high").select("key", "id")
     left = left.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    left = scratch.written(left, "near-left")
+    left = scratch.written(left, "near-left", n)
     several = left.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("two"), F.count("*").alias("n")).filter("one < two")
-    several = scratch.written(several.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "near-open")
+    several = scratch.written(several.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "near-open", n)
     dealt = left.join(several, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.join(sketches, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     row = F.struct("own", "id", "root", "size", "bits")
@@ -170,9 +172,10 @@ def possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFr
     return pairs.join(one, "a").join(two, "b").filter((F.abs(F.col("m") - F.col("n")) <= most) & (differing <= most)).select("a", "b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float, scratch: Scratch) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float, scratch: Scratch, n: int) -> DataFrame:
     """The pairs (a, b) whose texts' distinct shingles have at least this share of their union in common."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = scratch.written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids", n)
+    ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids  # else the texts are dealt out by id
     some = scratch.written(docs.join(ids, "id", "left_semi").select("id", "text").dropDuplicates(["id"]), "near-texts")
     left, right = some.select(F.col("id").alias("a"), F.col("text").alias("one")), some.select(F.col("id").alias("b"), F.col("text").alias("two"))
 
@@ -217,22 +220,23 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
         rows = first.written(sketched(named, width), "near-sketches")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "id")
     firsts = rows.groupBy("same").agg(F.min(order).alias("first")).select("first.id", "first.doc_id")
-    firsts = second.written(firsts, "near-firsts")
+    n = rows.count()
+    firsts = second.written(firsts, "near-firsts", n)
     kept = first.written(rows.join(firsts.select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "fp", "slices", "size", "bits"), "near-kept")
-    shared = members(kept, first)
+    shared = members(kept, first, n)
     sketches = kept.select("id", "size", "bits")
-    pairs = second.written(possible(ends_paired(shared), sketches, similarity), "near-pairs")
-    roots = second.written(components(verified(pairs, named, width, similarity, second), "near-components"), "near-roots")
+    pairs = second.written(possible(ends_paired(shared), sketches, similarity), "near-pairs", n)
+    roots = second.written(components(verified(pairs, named, width, similarity, second, n), "near-components"), "near-roots", n)
     with small_batches(docs.sparkSession, 200):
-        more = second.written(rest_paired(shared, roots, sketches, similarity, first), "near-more")
+        more = second.written(rest_paired(shared, roots, sketches, similarity, first, n), "near-more")
     first.clear()
     if not more.isEmpty():
-        joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(more, named, width, similarity, second))
-        roots = second.written(components(joined, "near-components"), "near-all-roots")
+        joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(more, named, width, similarity, second, n))
+        roots = second.written(components(joined, "near-components"), "near-all-roots", n)
     grouped = firsts.join(roots, F.col("id") == F.col("node"), "left")
     alone = grouped.filter("root is null").select("id")
     best = grouped.filter("root is not null").groupBy("root").agg(F.min(order).alias("first")).select("first.id")
-    staying, _ = written(alone.union(best).withColumnRenamed("id", "__id"), "near-staying")
+    staying, _ = written(gathered(alone.union(best).withColumnRenamed("id", "__id"), n), "near-staying")
     second.clear()
     others = [c for c in own if c not in ("doc_id", "text")]
     hashed = [c for c, kind in docs.dtypes if c in others and "map<" not in kind and "variant" not in kind]

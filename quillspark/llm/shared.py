@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,14 +79,24 @@ def removed(spark: SparkSession, *paths: str) -> None:
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Rows of numbers for each file of an intermediate table.
+ROWS = 100_000
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """df in a partition for each ROWS of its rows, if it has more partitions: small tables make few small files."""
+    return df.coalesce(max(1, ceil(rows / ROWS)))
+
+
 class Scratch:
     """Intermediate tables that are deleted once what they lead to is written."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
-    def written(self, df: DataFrame, name: str) -> DataFrame:
-        table, path = written(df, name)
+    def written(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """The table, written by a task for each ROWS of about so many rows, if that is known to be less than it has."""
+        table, path = written(df if rows is None else gathered(df, rows), name)
         self.paths.append(path)
         return table
 
