@@ -19,7 +19,7 @@ from quillspark.sources.tables import table
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
-#: Encoded pieces that a Python worker keeps in each of two generations, of those that a batch has more than once.
+#: Encoded words that a Python worker keeps in each of two generations.
 CACHED_CHUNKS = 100_000
 STOPS = ".,!?;:"
 #: Texts that tell whether a vocabulary's ids are those of a text's pieces.
@@ -89,16 +89,20 @@ class ChunkEncoder:
                 out[chunk] = array("i", found.ids).tobytes()
         return out
 
-    def _encoded(self, chunks: list[str], repeats: np.ndarray) -> list[bytes]:
-        """The ids of distinct pieces; those that repeat are remembered."""
+    def _encoded(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct pieces; words are remembered."""
         if len(self.known) > CACHED_CHUNKS:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
+        missing = [c for c in chunks if c not in known]
         if older:
-            known.update((c, older[c]) for c in chunks if c not in known and c in older)
-        fresh = self._fresh([c for c in chunks if c not in known])
-        out = [fresh[c] if c in fresh else known[c] for c in chunks]
-        known.update((c, ids) for c, ids, again in zip(chunks, out, repeats.tolist(), strict=True) if again)
+            known.update((c, older[c]) for c in missing if c in older)
+            missing = [c for c in missing if c not in known]
+        known.update(self._fresh(missing))
+        out = [known[c] for c in chunks]
+        for c in missing:
+            if not c.isalpha():
+                del known[c]
         return out
 
     def forget(self) -> None:
@@ -123,7 +127,7 @@ class ChunkEncoder:
         simple = pc.match_substring_regex(cased, f"^[{LETTERS}]+$")
         plain = pc.if_else(simple, pc.utf8_lower(cased), cased).dictionary_encode()
         which = np.asarray(plain.indices)[np.asarray(coded.indices)]
-        ids = self._encoded(plain.dictionary.to_pylist(), np.bincount(which, minlength=len(plain.dictionary)) > 1)
+        ids = self._encoded(plain.dictionary.to_pylist())
         ids.append(array("i", [end_id]).tobytes())
         lengths = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
