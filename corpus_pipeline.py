@@ -26,8 +26,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     languages are close or tie go. Repeated rows share their fate. Columns of any names stay as they are; an empty table
     stays empty.
     """
-    judged = identified(docs.select("text", *_packed(docs)), Languages.learned(docs))
-    return judged.filter("not rejected").select("row.*")
+    # Other columns go under names of their own, so that none meets one that is added, and texts go to Python once.
+    apart = {c: c if c == "text" else f"own{k}" for k, c in enumerate(docs.columns)}
+    judged = identified(docs.select(*[F.col(f"`{c}`").alias(name) for c, name in apart.items()]), Languages.learned(docs))
+    return judged.filter("not rejected").select(*[F.col(name).alias(c) for c, name in apart.items()])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
