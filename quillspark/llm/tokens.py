@@ -177,7 +177,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
 
     ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions(docs), "doc_id")
     encoded = ranged.sortWithinPartitions("doc_id", "text").mapInArrow(encode, SCHEMA)
-    with small_batches(spark, 2500), shuffles_freed(spark):
+    with small_batches(spark, 2500, 12 << 20), shuffles_freed(spark):
         encoded.write.options(**WRITER).parquet(f"{path}/tokens")
     totals = spark.read.parquet(f"{path}/tokens").groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))
     totals.write.parquet(f"{path}/parts")
