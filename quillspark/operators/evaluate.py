@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.models import Encoder, encoded
 from quillspark.functions.text import first_words
 from quillspark.operators.ranking import at_each_k
-from quillspark.operators.similarity import best_similarity, dot
+from quillspark.operators.similarity import best_at_each_k, best_similarity, dot
 
 BAND = 0.05
 TEMPERATURE = 0.1
@@ -26,12 +26,9 @@ def best_of_predictions(preds: DataFrame, refs: DataFrame) -> DataFrame:
 
 def best_of_references(preds: DataFrame, refs: DataFrame, ks: list[int]) -> DataFrame:
     """(cell, id, k, best) for each reference and k: the largest cosine with one of the first k predictions, or null."""
-    name = lambda: F.concat_ws(":", F.col("cell").cast("string"), F.col("k").cast("string"))
-    every = refs.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
-    keyed = every.select(name().alias("ck"), "id", "embedding")
-    asked = at_each_k(preds, ks).select(name().alias("ck"), "id", "embedding")
-    best = best_similarity(keyed, asked, "ck").select(F.col("cell").alias("ck"), F.col("key").alias("id"), "best")
-    return every.select("cell", "id", "k", name().alias("ck")).join(best, ["ck", "id"], "left").drop("ck")
+    best = best_at_each_k(refs, preds, "cell", ks).withColumnRenamed("key", "id")
+    every = refs.select("cell", "id", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
+    return every.join(best, ["cell", "id", "k"], "left")
 
 
 def _share(test: Column) -> Column:

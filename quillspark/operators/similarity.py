@@ -21,33 +21,41 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 def best_similarity(left: DataFrame, right: DataFrame, cell: str, key: str = "id", vector: str = "embedding") -> DataFrame:
     """(cell, key, best): for each row of left the largest dot product with a row of right in the same cell; rows of
-    cells without any of right are left out.
+    cells without any of right are left out."""
+    return best_at_each_k(left, right.withColumn("__rank", F.lit(0)), cell, [0], key, vector, "__rank").drop("k")
+
+
+def best_at_each_k(left: DataFrame, right: DataFrame, cell: str, ks: list[int], key: str = "id", vector: str = "embedding", rank: str = "rank") -> DataFrame:
+    """(cell, key, k, best): the same against the rows of right whose rank is at most k, for each k.
 
     Both sides are cut into stretches of about BLOCK vectors within their cell. Each pair of stretches is one group, a
-    product of two packed matrices that keeps the best of each left row; no pair of rows is ever emitted, no cell meets
-    in one task, and a final maximum goes over the stretches.
+    product of two packed matrices that keeps the best of each left row for each k; no pair of rows is ever emitted, no
+    cell meets in one task, every product is made once, and a final maximum goes over the stretches.
     """
+    right = right.filter(F.col(rank) <= max(ks))
     hashed = F.xxhash64(key)
     sizes = lambda df, name: df.groupBy(F.col(cell).alias("cell")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
     counts = sizes(right, "blocks").join(sizes(left, "stretches"), "cell")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    refs = right.select(F.col(cell).alias("cell"), vector, hashed.alias("h")).join(counts, "cell")
-    refs = refs.select("cell", vector, F.pmod("h", "blocks").cast("int").alias("block"), every("stretches").alias("stretch"))
+    refs = right.select(F.col(cell).alias("cell"), vector, F.col(rank).cast("long").alias("rank"), hashed.alias("h")).join(counts, "cell")
+    refs = refs.select("cell", vector, "rank", F.pmod("h", "blocks").cast("int").alias("block"), every("stretches").alias("stretch"))
     ask = left.select(F.col(cell).alias("cell"), F.col(key).alias("key"), vector, hashed.alias("h")).join(counts, "cell")
     ask = ask.select("cell", "key", vector, F.pmod("h", "stretches").cast("int").alias("stretch"), every("blocks").alias("block"))
     kind = left.schema[key].dataType.simpleString()
     place = left.schema[cell].dataType.simpleString()
 
     def multiply(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        out = {"cell": mine.column("cell"), "key": mine.column("key")}
+        cells, keys, out = mine.column("cell"), mine.column("key"), []
         if mine.num_rows and theirs.num_rows:
-            a, b = _matrix(mine.column(vector)), _matrix(theirs.column(vector))
-            return pa.table(out | {"best": pa.array((a @ b.T).max(axis=1))})
-        return pa.table({"cell": mine.column("cell").slice(0, 0), "key": mine.column("key").slice(0, 0), "best": pa.array([], pa.float64())})
+            products, ranks = _matrix(mine.column(vector)) @ _matrix(theirs.column(vector)).T, np.asarray(theirs.column("rank"))
+            out = [(k, products[:, ranks <= k].max(axis=1)) for k in ks if (ranks <= k).any()]
+        parts = [pa.table({"cell": cells, "key": keys, "k": pa.array(np.full(len(best), k, np.int32)), "best": pa.array(best)}) for k, best in out]
+        none = pa.table({"cell": cells.slice(0, 0), "key": keys.slice(0, 0), "k": pa.array([], pa.int32()), "best": pa.array([], pa.float64())})
+        return pa.concat_tables(parts or [none])
 
     joined = ask.groupBy("cell", "stretch", "block").cogroup(refs.groupBy("cell", "stretch", "block"))
-    partial = joined.applyInArrow(multiply, f"cell {place}, key {kind}, best double")
-    return partial.groupBy("cell", "key").agg(F.max("best").alias("best"))
+    partial = joined.applyInArrow(multiply, f"cell {place}, key {kind}, k int, best double")
+    return partial.groupBy("cell", "key", "k").agg(F.max("best").alias("best"))
 
 
 def dot(a, b):
