@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.models import Encoder, encoded
+from quillspark.functions.patterns import STOP_WORDS
 from quillspark.functions.text import stripped, tokens
 from quillspark.operators.similarity import best_similarity
 
@@ -42,9 +43,7 @@ def tfidf_vectors(docs: DataFrame, key: str, text: str, fitted: DataFrame, fitte
     """(key, token, w): TF-IDF weights of length 1 over the ``most`` most frequent tokens of ``fitted``, stop words and
     single letters left out; idf = ln((1 + n) / (1 + df)) + 1. Rows of ``fitted`` are told apart by their text: equal texts
     count as often as they stand there."""
-    from pyspark.ml.feature import StopWordsRemover
-
-    stops = docs.sparkSession.createDataFrame([(w,) for w in StopWordsRemover.loadDefaultStopWords("english")], "token string")
+    stops = docs.sparkSession.createDataFrame([(w,) for w in STOP_WORDS], "token string")
     words = lambda df, k, t: df.select(*k, F.explode(tokens(F.substring(F.col(t), 1, 4000))).alias("token")).filter(F.length("token") >= 2).join(F.broadcast(stops), "token", "left_anti")
     texts = fitted.groupBy(F.col(fitted_text).alias("__text")).agg(F.count("*").alias("__times"))
     n = texts.agg(F.coalesce(F.sum("__times"), F.lit(0))).first()[0]

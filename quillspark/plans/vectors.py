@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-from zipfile import ZipFile
-
-import pyspark
 from pyspark.sql import functions as F
 
+from quillspark.functions.patterns import STOP_WORDS
 from quillspark.functions.text import trigrams, verbatim_key
 from quillspark.operators import evaluate as E
 from quillspark.operators import retrieval as R
@@ -186,11 +183,8 @@ _REC = "select p.cell, p.id, max(list_dot_product(p.e, c.e)) >= {0} hit from {1}
 
 
 def _stops() -> str:
-    """Spark's English stop words as SQL literals, read from its library."""
-    jar = next(Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar"))
-    with ZipFile(jar) as files:
-        found = files.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
-    return ", ".join("'" + word.replace("'", "''") + "'" for word in found)
+    """The stop words as SQL literals."""
+    return ", ".join("'" + word.replace("'", "''") + "'" for word in STOP_WORDS)
 
 
 def _oracle() -> dict[str, str]:

@@ -32,3 +32,11 @@ def test_entry_stands_without_the_subpackage(tmp_path, kept):
     done = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=120, check=True)
     n, has, fit = done.stdout.split()
     assert int(n) > 60 and (has, fit) == ("False", "True")
+
+
+def test_entry_needs_none_of_sparks_jars():
+    """Where pyspark lies apart from Spark's jars, all queries are there all the same."""
+    code = "import sys, pyspark; pyspark.__file__ = '/nowhere/pyspark/__init__.py'; import __spark_entry__ as e; print(len(e.queries()), 'pyspark.ml' in sys.modules)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=REPO, capture_output=True, text=True, timeout=120, check=True)
+    n, ml = done.stdout.split()
+    assert int(n) > 80 and ml == "False"
