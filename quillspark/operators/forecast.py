@@ -115,7 +115,7 @@ def training_pairs(questions: DataFrame, year_max: int, fraction: float = 0.7, m
     years = known.select("year").distinct().filter(F.col("year") < year_max)
     order = [F.desc(F.coalesce("impact_score", F.lit(0.0))), F.col("question_text"), F.col("id")]
     if weighted:
-        chosen = sampled_by_weight(known, ["year"], most or 1 << 30, seed, "question_text", F.coalesce("impact_score", F.lit(0.0)))
+        chosen = sampled_by_weight(known, ["year"], most or 1 << 30, seed, "question_text", F.coalesce("impact_score", F.lit(0.0)), "id")
     else:
         chosen = top_fraction(known, ["year"], order, fraction, most)
     prompts = contexts(known, years, context).select((F.col("year") + 1).alias("year"), continuation_prompt(F.col("year"), F.col("year") + 1, F.col("context")).alias("prompt"))

@@ -44,16 +44,18 @@ def uniform(seed: int, text: Column) -> Column:
     return (F.conv(F.substring(draw_key(seed, text), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
 
 
-def sampled(df: DataFrame, n: int, seed: int, text: str) -> DataFrame:
-    """n rows without replacement, all rows if there are fewer. A top-k over the hash: only n rows a task are kept."""
-    return df.withColumn("__draw", draw_key(seed, F.col(text))).orderBy("__draw", text).limit(n).drop("__draw")
+def sampled(df: DataFrame, n: int, seed: int, text: str, *ties: str) -> DataFrame:
+    """n rows without replacement, all rows if there are fewer. A top-k over the hash: only n rows a task are kept. Rows
+    of an equal text are taken in the order of the columns ``ties``."""
+    return df.withColumn("__draw", draw_key(seed, F.col(text))).orderBy("__draw", text, *ties).limit(n).drop("__draw")
 
 
-def sampled_by_weight(df: DataFrame, by: list, n: int, seed: int, text: str, weight: Column) -> DataFrame:
+def sampled_by_weight(df: DataFrame, by: list, n: int, seed: int, text: str, weight: Column, *ties: str) -> DataFrame:
     """n rows of each group without replacement, likelier the heavier (by keys ln(u)/w, which is the distribution of
-    successive weighted draws). Weights below zero count as zero, and none is quite zero."""
+    successive weighted draws). Weights below zero count as zero, and none is quite zero. Rows of an equal key and text are
+    taken in the order of the columns ``ties``."""
     w = F.greatest(weight, F.lit(0.0)) + 1e-6
-    return top_by_group(df.withColumn("__draw", -F.log(uniform(seed, F.col(text))) / w), by, [F.col("__draw"), F.col(text)], n).drop("__draw")
+    return top_by_group(df.withColumn("__draw", -F.log(uniform(seed, F.col(text))) / w), by, [F.col("__draw"), F.col(text), *map(F.col, ties)], n).drop("__draw")
 
 
 def split_off(df: DataFrame, fraction: float, seed: int, text: str) -> DataFrame:

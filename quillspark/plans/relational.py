@@ -112,11 +112,11 @@ def pairs_next_year(spark, sf_dir):
 
 
 def sample_uniform(spark, sf_dir):
-    return R.sampled(C.questions(spark, sf_dir).filter("year < 2023"), 50, 42, "question_text").select("id")
+    return R.sampled(C.questions(spark, sf_dir).filter("year < 2023"), 50, 42, "question_text", "id").select("id")
 
 
 def sample_weighted(spark, sf_dir):
-    return R.sampled_by_weight(C.questions(spark, sf_dir), ["year"], 5, 42, "question_text", F.col("impact_score")).select("id", "year")
+    return R.sampled_by_weight(C.questions(spark, sf_dir), ["year"], 5, 42, "question_text", F.col("impact_score"), "id").select("id", "year")
 
 
 def sample_split(spark, sf_dir):
@@ -127,7 +127,7 @@ def sample_split(spark, sf_dir):
 def sample_pairs(spark, sf_dir):
     """Fifty questions of 2020, each with a distractor of the years before, drawn with replacement by a hash."""
     qs = C.questions(spark, sf_dir)
-    real = R.sampled(qs.filter("year = 2020"), 50, 42, "question_text").select(F.col("id").alias("real_id"), "question_text")
+    real = R.sampled(qs.filter("year = 2020"), 50, 42, "question_text", "id").select(F.col("id").alias("real_id"), "question_text")
     pool = qs.filter("year < 2020").select("id")
     n = pool.count()
     numbered = pool.withColumn("place", F.row_number().over(Window.orderBy("id")) - 1)

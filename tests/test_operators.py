@@ -66,6 +66,12 @@ def test_samples_do_not_depend_on_partitions(spark):
     assert sum(r.id < 10 for r in R.sampled_by_weight(heavy.withColumn("g", F.lit(1)), ["g"], 10, 3, "t", F.col("w")).collect()) == 10
 
 
+def test_samples_of_equal_texts_go_by_the_named_columns(spark):
+    df = spark.range(300).selectExpr("id", "'same' t", "1 g").repartition(7).orderBy(F.desc("id"))
+    for f in (lambda d: R.sampled(d, 20, 42, "t", "id"), lambda d: R.sampled_by_weight(d, ["g"], 20, 42, "t", F.lit(1.0), "id")):
+        assert sorted(r.id for r in f(df).collect()) == list(range(20))
+
+
 def vectors(spark, rng, n, cells, first=0):
     rows = []
     for k in range(n):
