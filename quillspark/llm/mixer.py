@@ -21,6 +21,11 @@ BLOCK, RATE, LIMIT = 64, 0.003, 8.0
 LOT = 1 << 17
 WIDTH = 48
 _START = np.uint64(0xA0761D6478BD642F)
+#: What a fit counts bits by: their chance by frequency, so many bins a unit of its logit up to this, and the states of each
+#: of three predictors: without a say (0), or failing or holding at a level.
+BINS_A_UNIT, REACH, STATES = 4, 14, 7
+CELLS = (2 * REACH * BINS_A_UNIT + 1) * STATES**3
+_STATE = np.array([0, 0, 0, 0, 1, 2, 0, 3, 4, 0, 5, 6], np.int32)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -291,30 +296,60 @@ class Mixer:
             np.clip(flat, -LIMIT, LIMIT, out=flat)
             at = end
 
-    def fitted(self, words, symbols, counts) -> Mixer:
+    def observed(self, words, symbols, counts) -> np.ndarray:
+        """What a fit needs to know of documents that the tables haven't seen, as numbers that add up over documents: how
+        many bits are in each cell (by frequency, in favour of what is true, and by each predictor's state: without a say,
+        or its level and whether it fails here or holds); then how often the document predicts a word without a symbol of
+        its own, and how often it is right."""
+        starts = np.cumsum(counts) - counts
+        found, same_symbol, same_word = self.predictions(words, symbols, starts, np.repeat(np.arange(len(counts)), counts))
+        bins = np.clip(np.rint(self.code.stretched * BINS_A_UNIT), -REACH * BINS_A_UNIT, REACH * BINS_A_UNIT).astype(np.int32) + REACH * BINS_A_UNIT
+        bins *= np.int32(STATES ** len(found))
+        out = np.zeros(CELLS + 2, np.int64)
+        for at in range(0, len(symbols), LOT):
+            some = symbols[at : at + LOT]
+            lengths = self.code.lengths.take(some)
+            ends = np.cumsum(lengths)
+            token = np.repeat(np.arange(len(some), dtype=np.int32), lengths)
+            place = np.arange(int(ends[-1]), dtype=np.int32) - (ends - lengths).astype(np.int32).take(token)
+            cell = bins.take(self.code.offsets.take(some).astype(np.int32).take(token) + place)
+            short = place.astype(np.int16)
+            for k, (common, level) in enumerate(found):
+                ahead = np.minimum(np.maximum(common[at : at + LOT].astype(np.int16).take(token) - short, -1), 1).astype(np.int8)
+                state = (level[at : at + LOT].astype(np.int8) * np.int8(3)).take(token) + ahead + np.int8(1)
+                cell += (_STATE * STATES**k).astype(np.int32).take(state)
+            out[:CELLS] += np.bincount(cell, minlength=CELLS)
+        rare = same_symbol & (symbols == len(self.code.counts) - 2)
+        out[CELLS:] = rare.sum(), (rare & same_word).sum()
+        return out
+
+    def fitted_to(self, observed: np.ndarray) -> Mixer:
         """Strengths from how often each predictor is right at each level, and weights by logistic regression for each
-        gate, over documents that the tables haven't seen."""
-        documents = np.repeat(np.arange(len(counts)), counts)
-        found, _, _ = self.predictions(words, symbols, np.cumsum(counts) - counts, documents)
+        gate, over all that was observed."""
+        counts = observed[:CELLS].reshape(-1, *[STATES] * len(self.tables), STATES)
         strengths = self.strengths.copy()
-        for k, (common, level) in enumerate(found):
+        axes = [3 - k for k in range(3)]  # the first predictor's state varies fastest
+        for k, axis in enumerate(axes):
+            each = counts.sum(axis=tuple(x for x in range(4) if x != axis))
             for value in range(1, 4):
-                those = level == value
-                right = float(common[those].sum())
-                wrong = float((common[those] < self.code.lengths[symbols[those]]).sum())
+                wrong, right = float(each[2 * value - 1]), float(each[2 * value])
                 if right + wrong > 50:
                     strengths[k, value] = np.clip(np.log((right + 1) / (wrong + 1)), -4, 6)
         model = Mixer(self.code, self.tables, strengths, self.weights.copy())
-        x, gate, _ = model.laid_out(symbols, found)
+        cells = np.flatnonzero(observed[:CELLS])
+        n, bin_ = observed[cells].astype(np.float64), cells // STATES**3
+        states = [cells // STATES**k % STATES for k in range(3)]
+        x = np.array([bin_ / BINS_A_UNIT - REACH, *(strengths[k].astype(np.float64)[(s + 1) // 2] * np.where(s == 0, 0, np.where(s % 2, -1, 1)) for k, s in enumerate(states))])
+        gate = (states[1] + 1) // 2 + 4 * ((states[2] + 1) // 2)
         for g in range(GATES):
             those = gate == g
-            if those.sum() < 200:
+            if n[those].sum() < 200:
                 continue
-            own, w = x[:, those].astype(np.float64), model.weights[g].astype(np.float64)
+            own, times, w = x[:, those], n[those], model.weights[g].astype(np.float64)
             for _ in range(12):
                 p = 1 / (1 + np.exp(-np.clip(w @ own, -30, 30)))
-                gradient = own @ (1 - p) - 1.0 * (w - np.array([1, 0.3, 0.3, 0.3]))
-                hessian = (own * (p * (1 - p))) @ own.T + np.eye(INPUTS)
+                gradient = own @ (times * (1 - p)) - 1.0 * (w - np.array([1, 0.3, 0.3, 0.3]))
+                hessian = (own * (times * p * (1 - p))) @ own.T + np.eye(INPUTS)
                 step = np.linalg.solve(hessian, gradient)
                 w = np.clip(w + np.clip(step, -1, 1), -LIMIT, LIMIT)
                 if np.abs(step).max() < 1e-4:
@@ -322,6 +357,10 @@ class Mixer:
             model.weights[g] = w
         return model
 
+    def fitted(self, words, symbols, counts) -> Mixer:
+        """Fitted to documents that the tables haven't seen."""
+        return self.fitted_to(self.observed(words, symbols, counts))
+
 
 @dataclass
 class Spelling:
@@ -335,26 +374,65 @@ class Spelling:
 
     @classmethod
     def learned(cls, words: list[bytes]) -> Spelling:
-        counts = np.bincount(np.frombuffer(b"".join(words), np.uint8), minlength=256) + 1
-        code = Code(np.concatenate([counts, [max(1, len(words))]]))
-        empty = cls(code, {}, np.zeros((2, 1 << cls.BITS)), np.array([1.0, 0.0, 0.0, 0.0]))
-        if not words:
-            return empty
-        learning, tuning = words[: max(1, len(words) * 4 // 5)], words[len(words) * 4 // 5 :]
-        for at in range(0, len(learning), 10_000):
-            cells, true, _, _ = empty._cells(learning[at : at + 10_000])
+        """From distinct words, each once."""
+        spelling = cls.empty(cls.characters(words))
+        spelling.table = spelling.observed(words).reshape(2, -1)
+        return spelling.fitted_to(spelling.tried(words))
+
+    @classmethod
+    def empty(cls, characters: np.ndarray) -> Spelling:
+        code = Code(np.concatenate([characters[:256] + 1, [max(1, characters[256])]]))
+        return cls(code, {}, np.zeros((2, 1 << cls.BITS), np.int64), np.array([1.0, 0.0, 0.0, 0.0]))
+
+    @staticmethod
+    def characters(words: list[bytes]) -> np.ndarray:
+        """How often each byte stands in the words, and how many words there are."""
+        return np.append(np.bincount(np.frombuffer(b"".join(words), np.uint8), minlength=256), len(words)).astype(np.int64)
+
+    def observed(self, words: list[bytes]) -> np.ndarray:
+        """How many bits each cell has had, and how many of them were ones; adds up over words."""
+        out = np.zeros((2, 1 << self.BITS), np.int64)
+        for at in range(0, len(words), 10_000):
+            cells, true, _, _ = self._cells(words[at : at + 10_000])
             for cell in cells:
-                empty.table[0] += np.bincount(cell, minlength=1 << cls.BITS)
-                empty.table[1] += np.bincount(cell, weights=true, minlength=1 << cls.BITS)
-        x, true = empty._inputs((tuning or learning)[:10_000])[:2]
+                out[0] += np.bincount(cell, minlength=1 << self.BITS)
+                out[1] += np.bincount(cell[true > 0], minlength=1 << self.BITS)
+        return out.ravel()
+
+    def tried(self, words: list[bytes]) -> np.ndarray:
+        """How many bits of words that the table has seen have which inputs, in favour of what is true and rounded, when each
+        bit's own part in the table is left out; adds up over words."""
+        out = np.zeros(int(np.prod(self._SHAPE)), np.int64)
+        for at in range(0, len(words), 10_000):
+            cells, true, stretched, _ = self._cells(words[at : at + 10_000])
+            sign, cell = np.where(true > 0, 1.0, -1.0), self._rounded(stretched, 0)
+            for k, c in enumerate(cells, 1):
+                ones = self.table[1][c] - true
+                x = np.log((ones + 0.3) / (self.table[0][c] - 1 - ones + 0.3))
+                cell = cell * self._SHAPE[k] + self._rounded(x * sign, k)
+            out += np.bincount(cell, minlength=len(out))
+        return out
+
+    #: Inputs are rounded to so many values, in steps of one for the first and of a half for the others, around 0.
+    _SHAPE = (17, 25, 25, 25)
+
+    def _rounded(self, x: np.ndarray, k: int) -> np.ndarray:
+        reach = self._SHAPE[k] // 2
+        return np.clip(np.rint(x * (2 if k else 1)), -reach, reach).astype(np.int64) + reach
+
+    def fitted_to(self, tried: np.ndarray) -> Spelling:
+        """Weights by logistic regression over all that was tried; without any, those of an empty table."""
+        cells = np.flatnonzero(tried)
+        if not len(cells):
+            return self
+        n, places = tried[cells].astype(np.float64), np.unravel_index(cells, self._SHAPE)
+        signed = np.array([(p - size // 2) / (2 if k else 1) for k, (p, size) in enumerate(zip(places, self._SHAPE, strict=True))])
         w = np.full(4, 0.3)
-        signed = x * np.where(true > 0, 1, -1)
         for _ in range(20):
             p = 1 / (1 + np.exp(-np.clip(w @ signed, -30, 30)))
-            step = np.linalg.solve((signed * (p * (1 - p))) @ signed.T + 1e-3 * np.eye(4), signed @ (1 - p))
+            step = np.linalg.solve((signed * (n * p * (1 - p))) @ signed.T + 1e-3 * np.eye(4), signed @ (n * (1 - p)))
             w = w + np.clip(step, -0.5, 0.5)
-        empty.weights = w
-        return empty
+        return Spelling(self.code, self.alphabet, self.table, w)
 
     def _cells(self, words: list[bytes]):
         """For each bit of each word's characters and end: cells of the contexts, the bit, the stretch by frequency."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 from math import ceil, log2, log10, sqrt
@@ -15,18 +15,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.batches import sliced, texts
-from quillspark.llm.compression import drawn, fold, piece
-from quillspark.llm.mixer import ORDERS, SLOT_BITS, Code, Counts, Mixer, Spelling, Table, gathered, mixed
+from quillspark.llm.compression import drawn, fold
+from quillspark.llm.mixer import CELLS, ORDERS, SLOT_BITS, Code, Counts, Mixer, Spelling, Table, gathered, mixed
 from quillspark.llm.shared import removed, written
 from quillspark.sources.tables import table
 
 #: Words that have a symbol of their own: the most frequent ones.
 SYMBOLS = 1 << 15
-#: Training documents that weights are fitted on, which the context tables leave out: one of so many, so many at most, and
-#: characters of each.
-TUNED_OF, TUNING, TUNING_CHARS = 16, 200, 20_000
-#: Distinct rarer words that spelling is learned from.
-SPELLED = 60_000
+#: Parts of the training documents: weights are fitted to each part under the context tables of the other.
+PARTS = 2
+#: Numbers for each piece of a vector that tasks sum up.
+PIECE = 1 << 17
 #: Word counts, and numbers of contexts, that a task holds before it hands them on.
 HELD_WORDS, HELD_NUMBERS = 800_000, 2_500_000
 #: Tokens for each page of context counts.
@@ -88,9 +87,9 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def frequent_words(words: DataFrame) -> list:
-    """The most frequent words, SYMBOLS at most, by count. Counts are put into bins of 1/16 of a power of two; all words of
-    the highest bins are taken that fit, and of the next bin those with the least hashes, so no more than about these reach
-    the driver, however many tasks there are."""
+    """The most frequent words, SYMBOLS at most, by count. Counts are put into bins of 1/16 of a power of two, and within the
+    bin that doesn't fit are told apart one by one; of the words of the count that doesn't fit those with the least hashes
+    are taken. So no more than about these reach the driver, however many tasks there are."""
     binned = words.filter("c > 0").select("word", "c", F.floor(F.log2(F.col("c").cast("double")) * 16).cast("int").alias("bin"))
     taken, least, next_bin = 0, None, None
     for bin_, n in sorted((tuple(r) for r in binned.groupBy("bin").count().collect()), reverse=True):
@@ -100,7 +99,13 @@ def frequent_words(words: DataFrame) -> list:
         taken, least = taken + n, bin_
     rows = binned.filter(F.col("bin") >= least).select("word", "c").collect() if least is not None else []
     if next_bin is not None and taken < SYMBOLS:
-        rows += drawn(binned.filter(F.col("bin") == next_bin), "bin", F.col("word"), SYMBOLS - taken).select("word", "c").collect()
+        binned, above = binned.filter(F.col("bin") == next_bin), None
+        for c, n in sorted((tuple(r) for r in binned.groupBy("c").count().collect()), reverse=True):
+            if taken + n > SYMBOLS:
+                break
+            taken, above = taken + n, c
+        rows += binned.filter(F.col("c") >= above).select("word", "c").collect() if above is not None else []
+        rows += drawn(binned.filter(F.col("c") == c), "bin", F.col("word"), SYMBOLS - taken).select("word", "c").collect() if taken < SYMBOLS else []
     return sorted(rows, key=lambda r: (-r.c, r.word))
 
 
@@ -135,8 +140,87 @@ class Vocabulary:
         return words.take(codes), symbols.take(codes), counts + 1
 
 
-def context_tables(docs: DataFrame, vocabulary, tokens: int) -> list[Table]:
-    """The tables of the hashed contexts over all rows that learn (text), of about so many tokens.
+def summed(df: DataFrame, counted: Callable[[Iterator[pa.RecordBatch]], np.ndarray]) -> np.ndarray:
+    """The sum of what ``counted`` makes of each task's rows, a vector of whole numbers; empty if there is no task. It is
+    summed up piece by piece and in two steps, so that no task gets those of more than about the square root of all."""
+    fan = ceil(sqrt(max(1, df.rdd.getNumPartitions())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt, found = TaskContext.get().partitionId() % fan, counted(batches)
+        for place, at in enumerate(range(0, len(found), PIECE)):
+            if place == 0 or found[at : at + PIECE].any():
+                columns = [pa.array([place], pa.int32()), pa.array([salt], pa.int32()), pa.array([found[at : at + PIECE].tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([len(found)], pa.int64())], ["place", "salt", "data", "size"])
+
+    def added(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(data, np.int64) for data in rows.column("data").to_pylist())
+        return rows.slice(0, 1).set_column(2, "data", pa.array([total.tobytes()], pa.binary()))
+
+    schema, total = "place int, salt int, data binary, size long", np.zeros(0, np.int64)
+    parts = df.mapInArrow(run, schema).groupBy("place", "salt").applyInArrow(added, schema).groupBy("place").applyInArrow(added, schema)
+    for r in parts.collect():
+        total = total if len(total) else np.zeros(r.size, np.int64)
+        total[r.place * PIECE : (r.place + 1) * PIECE] = np.frombuffer(r.data, np.int64)
+    return total
+
+
+def learned_spelling(words: DataFrame) -> Spelling:
+    """How all these distinct words (word) are spelled: three passes over them, for characters, contexts and weights."""
+    spark = words.sparkSession
+
+    def over(count: Callable[[list[bytes]], np.ndarray]) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+            total = count([])
+            for batch in batches:
+                total += count([w.encode() for w in batch.column("word").to_pylist()])
+            return total
+
+        return summed(words.select("word"), run)
+
+    characters = over(Spelling.characters)
+    spelling = Spelling.empty(characters if len(characters) else Spelling.characters([]))
+    for step in ("table", "weights"):
+        shared = spark.sparkContext.broadcast(spelling)
+        found = over(lambda some, step=step: getattr(shared.value, "observed" if step == "table" else "tried")(some))
+        shared.destroy()
+        if not len(found):
+            break
+        if step == "table":
+            spelling.table = found.reshape(2, -1)
+        else:
+            spelling = spelling.fitted_to(found)
+    return spelling
+
+
+def part() -> Column:
+    """The part that a training document is in, whatever row it is."""
+    return F.pmod(F.xxhash64(F.lit("part"), "doc_id", "text"), F.lit(PARTS)).cast("int")
+
+
+def fitted(docs: DataFrame, vocabulary, model: Mixer, halves: list[list[Table]]) -> tuple[Mixer, float]:
+    """The model, fitted to all rows that learn (text, part), each under the tables of the other part; and the chance that a
+    rare word is the one that the document predicts, where it predicts a rare word."""
+    shared = docs.sparkSession.sparkContext.broadcast([Mixer(model.code, tables) for tables in halves])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros(CELLS + 2, np.int64)
+        for batch in sliced(batches, limit=1 << 20):
+            for own in range(PARTS):
+                some = batch.filter(pc.equal(batch.column("part"), own))
+                if some.num_rows:
+                    total += shared.value[1 - own].observed(*vocabulary.value.laid(texts(some)))
+        return total
+
+    found = summed(docs.select("text", "part"), run)
+    shared.destroy()
+    if not len(found):
+        return model, 0.5
+    return model.fitted_to(found), float(found[CELLS + 1] + 1) / float(found[CELLS] + 2)
+
+
+def context_tables(docs: DataFrame, vocabulary, tokens: int) -> tuple[Callable[[int | None], list[Table]], Callable[[], None]]:
+    """The tables of the hashed contexts over all rows that learn (text, part), of about so many tokens: a function that
+    gives those of a part, of half as many slots, or of all, and one that forgets them.
 
     Counts of (context, symbol) are summed up exactly before a context's best symbol and a slot's context are chosen, so
     the tables are the same however rows are dealt to tasks. Contexts are dealt to pages by their hashes, a page for so
@@ -145,56 +229,76 @@ def context_tables(docs: DataFrame, vocabulary, tokens: int) -> list[Table]:
     """
     slot_bits = min(SLOT_BITS, max(1, (tokens - 1).bit_length()))
     page_bits = min(slot_bits, max(0, (tokens // PAGE_TOKENS).bit_length()))
-    pages, slots = 1 << page_bits, 1 << (slot_bits - page_bits)
+    part_bits = max(1, slot_bits - 1)
+    page_bits = min(page_bits, part_bits)
+    bits = [slot_bits, *[part_bits] * PARTS]
     fan = ceil(sqrt(max(1, docs.rdd.getNumPartitions())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[] for _ in ORDERS]
+        held: list[list[np.ndarray]] = [[] for _ in range(len(ORDERS) * PARTS)]
         salt, size = TaskContext.get().partitionId() % fan, 0
 
         def handed() -> Iterator[pa.RecordBatch]:
-            for order, numbers in enumerate(held):
+            for kind, numbers in enumerate(held):
+                order, own = divmod(kind, PARTS)
+                if not numbers:
+                    continue
                 cut = [(page, c.to_bytes()) for page, c in enumerate(Counts.of(np.concatenate(numbers)).cut(page_bits)) if len(c.numbers)]
                 columns = [
                     pa.array(np.full(len(cut), order, np.int32)), pa.array([page for page, _ in cut], pa.int32()),
-                    pa.array(np.full(len(cut), salt, np.int32)), pa.array([data for _, data in cut], pa.binary()),
+                    pa.array(np.full(len(cut), own, np.int32)), pa.array(np.full(len(cut), salt, np.int32)), pa.array([data for _, data in cut], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["place", "page", "salt", "data"])
+                yield pa.RecordBatch.from_arrays(columns, ["place", "page", "part", "salt", "data"])
                 numbers.clear()
 
         for batch in sliced(batches, limit=2 << 20):
-            for order, numbers in enumerate(gathered(*_starts(vocabulary.value.laid(texts(batch))))):
-                held[order].append(numbers)
-                size += len(numbers)
+            for own in range(PARTS):
+                some = batch.filter(pc.equal(batch.column("part"), own))
+                if some.num_rows:
+                    for order, numbers in enumerate(gathered(*_starts(vocabulary.value.laid(texts(some))))):
+                        held[order * PARTS + own].append(numbers)
+                        size += len(numbers)
             if size > HELD_NUMBERS * len(ORDERS):
                 yield from handed()
                 size = 0
         if size:
             yield from handed()
 
-    def summed(rows: pa.Table) -> Counts:
+    def together(rows: pa.Table) -> Counts:
         return Counts.summed([Counts.from_bytes(data) for data in rows.column("data").to_pylist()])
 
     def in_part(rows: pa.Table) -> pa.Table:
-        return rows.slice(0, 1).drop_columns(["data"]).append_column("data", pa.array([summed(rows).to_bytes()], pa.binary()))
+        return rows.slice(0, 1).drop_columns(["data"]).append_column("data", pa.array([together(rows).to_bytes()], pa.binary()))
 
     def chosen(rows: pa.Table) -> pa.Table:
         page = rows.column("page")[0].as_py()
-        table = Table.chosen(summed(rows), slot_bits, page * slots, slots)
-        data = [pa.array([x.tobytes()], pa.binary()) for x in (table.symbol, table.mark)]
-        return rows.slice(0, 1).select(["place", "page"]).append_column("symbol", data[0]).append_column("mark", data[1])
-
-    partial = docs.select("text").mapInArrow(run, "place int, page int, salt int, data binary")
-    some = partial.groupBy("place", "page", "salt").applyInArrow(in_part, "place int, page int, salt int, data binary")
-    whole = some.groupBy("place", "page").applyInArrow(chosen, "place int, page int, symbol binary, mark binary")
-    tables = [Table.empty(slot_bits) for _ in ORDERS]
+        parts = [rows.filter(pc.equal(rows["part"], k)) for k in range(PARTS)]
+        each = [together(p) for p in parts if p.num_rows]
+        tables = [(0, Counts.summed(each)), *zip([k + 1 for k, p in enumerate(parts) if p.num_rows], each, strict=True)]
+        made = [(k, Table.chosen(c, bits[k], page << (bits[k] - page_bits), 1 << (bits[k] - page_bits))) for k, c in tables]
+        columns = [
+            pa.array([rows.column("place")[0].as_py()] * len(made), pa.int32()), pa.array([page] * len(made), pa.int32()), pa.array([k for k, _ in made], pa.int32()),
+            pa.array([t.symbol.tobytes() for _, t in made], pa.binary()), pa.array([t.mark.tobytes() for _, t in made], pa.binary()),
+        ]
+        return pa.table(columns, names=["place", "page", "kind", "symbol", "mark"])
+
+    schema = "place int, page int, part int, salt int, data binary"
+    partial = docs.select("text", "part").mapInArrow(run, schema)
+    some = partial.groupBy("place", "page", "part", "salt").applyInArrow(in_part, schema)
+    whole = some.groupBy("place", "page").applyInArrow(chosen, "place int, page int, kind int, symbol binary, mark binary")
     found, path = written(whole, "lm-tables")  # so that what was shuffled for them can go
-    for r in found.collect():  # all tables together have 4 bytes a slot
-        part = slice(r.page * slots, (r.page + 1) * slots)
-        tables[r.place].symbol[part] = np.frombuffer(r.symbol, np.uint16)
-        tables[r.place].mark[part] = np.frombuffer(r.mark, np.uint16)
-    removed(docs.sparkSession, path)
-    return tables
+
+    def tables(own: int | None = None) -> list[Table]:
+        kind = 0 if own is None else own + 1
+        out = [Table.empty(bits[kind]) for _ in ORDERS]
+        for r in found.filter(F.col("kind") == kind).collect():  # the tables of a kind have 4 bytes a slot
+            slots = 1 << (bits[kind] - page_bits)
+            those = slice(r.page * slots, (r.page + 1) * slots)
+            out[r.place].symbol[those] = np.frombuffer(r.symbol, np.uint16)
+            out[r.place].mark[those] = np.frombuffer(r.mark, np.uint16)
+        return out
+
+    return tables, lambda: removed(docs.sparkSession, path)
 
 
 def _starts(laid):
@@ -227,13 +331,14 @@ def scored(docs: DataFrame) -> DataFrame:
     symbol stands for any other word. Each bit is predicted by the symbols' frequencies, by two hashed contexts (what
     followed the word before, and the two words before, most often in all the training texts) and by the document so
     far (what followed the word before the last time). The logistic mixture's weights are chosen by a gate, the trust
-    in the predictors, start from a fit on a bounded sample and are refined block by block as the document goes on. A
+    in the predictors, start from a fit to all that learn and are refined block by block as the document goes on. A
     rare word is then what the document predicts, or else drawn by its count or spelled out, by a mixture of contexts
     of characters. score is the log10 of the probability of all tokens, bits_per_byte the same in bits over the text's
     bytes (null if it has none); base_score that of single tokens by smoothed counts.
 
-    Words are counted over all rows, the contexts over all that learn but the fit's sample. Counts of rare words meet
-    the documents in a join on the word, which no frequent word takes part in. Null texts are empty: an end alone.
+    Words are counted over all rows, the contexts over all that learn. The fit is to all that learn as well, each
+    document under the contexts of the half that it isn't in, and spelling is learned from all rarer words. Counts of
+    rare words meet the documents in a join on the word, which no frequent word takes part in. Null texts are empty.
     Repeated rows are scored each; a table without rows that learn, or without rows, is scored all the same. Documents
     are scored one by one, so a score depends on the text and the model alone.
     """
@@ -251,25 +356,15 @@ def scored(docs: DataFrame) -> DataFrame:
     tail = words.join(F.broadcast(spark.createDataFrame([(r.word,) for r in head], "word string")), "word", "left_anti")
     once = tail.filter("c = 1").count()
     share = (once + 1.0) / (rare + 2.0)
-    sample = drawn(tail.filter("c > 0").withColumn("all", F.lit(0)), "all", F.col("word"), SPELLED).select("word").collect()
-    spelling = spark.sparkContext.broadcast(Spelling.learned(sorted(r.word.encode() for r in sample)))
+    spelling = spark.sparkContext.broadcast(learned_spelling(tail.filter("c > 0")))
 
-    some = learning.filter(F.pmod(F.xxhash64(F.lit("tuned"), "doc_id", "text"), F.lit(TUNED_OF)) == 0)
-    tuning = drawn(some.withColumn("all", F.lit(0)), "all", F.struct("doc_id", "text"), TUNING)
-    tuned = tuning.select(F.xxhash64("doc_id", "text").alias("h"), piece(F.col("text"), TUNING_CHARS).alias("text")).collect()
-    left_out = sorted({r.h for r in tuned})
     vocabulary = spark.sparkContext.broadcast(Vocabulary(numbers))
-    rest = learning.filter(~F.xxhash64("doc_id", "text").isin(left_out)) if left_out else learning
-    tables = context_tables(rest, vocabulary, total + ends)
-    model = Mixer(Code(np.array([r.c for r in head] + [max(1, rare), max(1, ends)])), tables)
-    chance = 0.5  # without a sample
-    if left_out:
-        laid = Vocabulary(numbers).laid(pa.array([text for _, text in sorted(map(tuple, tuned))]))
-        documents = np.repeat(np.arange(len(laid[2])), laid[2])
-        _, same_symbol, same_word = model.predictions(laid[0], laid[1], np.cumsum(laid[2]) - laid[2], documents)
-        those = same_symbol & (laid[1] == len(numbers))
-        chance = float(same_word[those].sum() + 1) / float(those.sum() + 2)
-        model = model.fitted(*laid)
+    learning = learning.select("text", part().alias("part"))
+    tables, forget = context_tables(learning, vocabulary, total + ends)
+    code = Code(np.array([r.c for r in head] + [max(1, rare), max(1, ends)]))
+    model, chance = fitted(learning, vocabulary, Mixer(code, [Table.empty(0) for _ in ORDERS]), [tables(own) for own in range(PARTS)])
+    model.tables = tables()
+    forget()
     facts = Facts(total + ends, distinct + (ends > 0), ends, rare, share, chance)
     shared = spark.sparkContext.broadcast((Vocabulary(numbers), model, np.array([r.c for r in head] + [0, ends], np.int64), facts))
 

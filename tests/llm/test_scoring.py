@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillspark.llm.mixer import BLOCK, LIMIT, RATE, Code, Counts, Mixer, Spelling, Table, gathered
+from quillspark.llm import scoring
 from quillspark.llm.scoring import Vocabulary, op2_lm_scoring, scored, split_words
 
 SF = "/root/testdata/sf0.1"
@@ -156,3 +157,36 @@ def test_words_are_split_at_ascii_white_space():
     assert counts.tolist() == [len(t.encode().split()) for t in found]
     words, symbols, counts = Vocabulary({"a": 0}).laid(pa.array(["a b", ""]))
     assert symbols.tolist() == [0, 1, 2, 2] and counts.tolist() == [3, 1] and words[0] == 0
+
+
+def test_spelling_and_weights_are_learned_from_all_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    words = sorted({w.decode() for r in docs.collect() for w in r.text.encode().lower().split()})
+    want, got = Spelling.learned([w.encode() for w in words]), scoring.learned_spelling(spark.createDataFrame([(w,) for w in words], "word string").repartition(5))
+    assert (got.table == want.table).all() and got.table[0].sum() > 0 and np.allclose(got.weights, want.weights)
+    rows = docs.select("text", scoring.part().alias("part"))
+    numbers = {w: k for k, w in enumerate(words[:300])}
+    shared = spark.sparkContext.broadcast(Vocabulary(numbers))
+    laid = [Vocabulary(numbers).laid(pa.array([r.text for r in rows.collect() if r.part == own])) for own in range(2)]
+    tables, _ = scoring.context_tables(rows, shared, sum(len(x[0]) for x in laid))
+    halves = [tables(own) for own in range(2)]
+    for x, half in zip(laid, halves, strict=True):
+        bits = len(half[0].symbol).bit_length() - 1
+        for mine, numbered in zip(half, gathered(x[0], x[1], np.cumsum(x[2]) - x[2]), strict=True):
+            alone = Table.chosen(Counts.of(numbered), bits)
+            assert (mine.symbol == alone.symbol).all() and (mine.mark == alone.mark).all()
+    code = Code(np.arange(1, 303))
+    found = sum(Mixer(code, halves[1 - own]).observed(*laid[own]) for own in range(2))
+    model, chance = scoring.fitted(rows.repartition(5), shared, Mixer(code, halves[0]), halves)
+    alone = Mixer(code, halves[0]).fitted_to(found)
+    assert (model.weights == alone.weights).all() and (model.strengths == alone.strengths).all() and 0 < chance < 1
+    assert found[:-2].sum() == sum(code.lengths[x[1]].sum() for x in laid)  # every bit of every document
+
+
+def test_frequent_words_are_the_most_frequent(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "SYMBOLS", 7)
+    rows = [(f"w{k}", 1000 + k // 2) for k in range(30)] + [("most", 5000), ("never", 0)]
+    found = scoring.frequent_words(spark.createDataFrame(rows, "word string, c long"))
+    assert [r.c for r in found] == [5000, 1014, 1014, 1013, 1013, 1012, 1012]
+    monkeypatch.setattr(scoring, "SYMBOLS", 4)
+    assert [r.c for r in scoring.frequent_words(spark.createDataFrame(rows, "word string, c long"))] == [5000, 1014, 1014, 1013]
