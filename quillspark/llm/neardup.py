@@ -19,6 +19,10 @@ WIDTH, SIMILARITY = 5, 0.8
 SKETCH_BITS, BLOCK = 512, 256
 #: So many ids of texts that are compared are broadcast, 8 MB.
 FEW_IDS = 1_000_000
+#: About so many texts of a block of those that meet are compared with about so many others, which are kept meanwhile.
+ROWS_MET, HUBS_MET, BLOCK_KEY = 256, 32, ("lead", "kind", "i", "j")
+#: With more than so many pairs for each text, so many of each text, or group that is joined, are verified before the rest.
+DENSE, ROUNDS = 4, (1, 8, 64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -172,29 +176,109 @@ def possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFr
     return pairs.join(one, "a").join(two, "b").filter((F.abs(F.col("m") - F.col("n")) <= most) & (differing <= most)).select("a", "b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float, scratch: Scratch, n: int) -> DataFrame:
-    """The pairs (a, b) whose texts' distinct shingles have at least this share of their union in common."""
-    ids = scratch.written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids", n)
+def linked(pairs: DataFrame) -> DataFrame:
+    """(id, links): in how many of the pairs (a, b) a text is."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+
+
+def aimed(pairs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(hub, row, links) for the pairs (a, b): the text in more pairs (ids: id, links) is the hub, the other the row."""
+    one, two = ids.select(F.col("id").alias("a"), F.col("links").alias("m")), ids.select(F.col("id").alias("b"), F.col("links").alias("n"))
+    turned = F.col("n") > F.col("m")
+    hub, row = F.when(turned, F.col("b")).otherwise(F.col("a")), F.when(turned, F.col("a")).otherwise(F.col("b"))
+    return pairs.join(one, "a").join(two, "b").select(hub.alias("hub"), row.alias("row"), F.greatest("m", "n").alias("links"))
+
+
+def leads(rows: DataFrame) -> DataFrame:
+    """(row, lead): the most linked hub of each row of aimed()."""
+    return rows.groupBy("row").agg(F.max(F.struct("links", "hub")).alias("first")).select("row", F.col("first.hub").alias("lead"))
+
+
+def met_in_blocks(pairs: DataFrame, ids: DataFrame, scratch: Scratch, n: int) -> DataFrame:
+    """(lead, kind, i, j, id, others): in which blocks the texts of n pairs (a, b) are compared, with which others.
+
+    Rows are put together by their lead, and hubs of a lead by how many of its rows they meet, in powers of 16: rows that
+    meet the same hubs share blocks of about ROWS_MET rows and HUBS_MET hubs. A block has each of its rows and hubs once,
+    hubs (without others) first to be kept; so a text goes to fewer places than it has pairs wherever many meet.
+    """
+    met = scratch.written(aimed(pairs, ids), "near-aimed", n)
+    led = scratch.written(met.select("hub", "row").join(leads(met), "row"), "near-led", n)
+    hubs = led.groupBy("lead", "hub").agg(F.count("*").alias("met"))
+    hubs = scratch.written(hubs.select("lead", "hub", F.floor(F.log2("met") / 4).cast("int").alias("kind")), "near-hubs", n)
+    kinds = led.join(hubs, ["lead", "hub"])
+    blocks = hubs.groupBy("lead", "kind").agg(F.ceil(F.count("*") / HUBS_MET).cast("int").alias("hub_blocks"))
+    rows = kinds.select("lead", "kind", "row").distinct().groupBy("lead", "kind").agg(F.ceil(F.count("*") / ROWS_MET).cast("int").alias("row_blocks"))
+    sizes = scratch.written(blocks.join(rows, ["lead", "kind"]), "near-sizes", n)
+    i, j = F.pmod(F.xxhash64("row"), F.col("row_blocks")).cast("int"), F.pmod(F.xxhash64("hub"), F.col("hub_blocks")).cast("int")
+    dealt = scratch.written(kinds.join(sizes, ["lead", "kind"]).select(*BLOCK_KEY[:2], i.alias("i"), j.alias("j"), "hub", "row"), "near-dealt", n)
+    kept = dealt.select(*BLOCK_KEY, F.col("hub").alias("id"), F.array().cast("array<long>").alias("others")).distinct()
+    return kept.union(dealt.groupBy(*BLOCK_KEY, F.col("row").alias("id")).agg(F.collect_list("hub").alias("others")))
+
+
+def verified(pairs: DataFrame, ids: DataFrame, docs: DataFrame, width: int, similarity: float, scratch: Scratch, n: int) -> DataFrame:
+    """Those of n pairs (a, b) whose texts' distinct shingles have at least this share of their union in common. ids (id,
+    links) has their texts."""
+    met = met_in_blocks(pairs, ids, scratch, n)
+    ids = ids.select("id")
     ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids  # else the texts are dealt out by id
     some = scratch.written(docs.join(ids, "id", "left_semi").select("id", "text").dropDuplicates(["id"]), "near-texts")
-    left, right = some.select(F.col("id").alias("a"), F.col("text").alias("one")), some.select(F.col("id").alias("b"), F.col("text").alias("two"))
+    found = met.join(some, "id").select(*BLOCK_KEY, "id", "others", "text")
+    found = found.repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY, F.size("others") > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "one", limit=1 << 20):
-            keep = []
-            known, sets = None, set()
-            for a, one, two in zip(batch.column("a").to_pylist(), texts(batch, "one").to_pylist(), texts(batch, "two").to_pylist(), strict=True):
-                if a != known:
-                    known, sets = a, set(shingle_hashes(one, width))
-                other = set(shingle_hashes(two, width))
-                common = len(sets & other)
-                keep.append(common >= similarity * (len(sets) + len(other) - common))
-            kept = batch.filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
-
-    near = pairs.join(left, "a").join(right, "b").select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
+        block, sets = None, {}
+        for batch in sliced(batches, limit=1 << 20):
+            first, second = [], []
+            keys = zip(*(batch.column(name).to_pylist() for name in BLOCK_KEY), strict=True)
+            for key, own, others, text in zip(keys, batch.column("id").to_pylist(), batch.column("others").to_pylist(), texts(batch).to_pylist(), strict=True):
+                if key != block:
+                    block, sets = key, {}
+                found = np.unique(np.array(shingle_hashes(text, width), np.uint64))
+                if not others:
+                    sets[own] = found
+                for other in others:
+                    common = len(np.intersect1d(found, sets[other], assume_unique=True))
+                    if common >= similarity * (len(found) + len(sets[other]) - common):
+                        first.append(min(own, other))
+                        second.append(max(own, other))
+            yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["a", "b"])
+
     with small_batches(pairs.sparkSession, 100):
-        return scratch.written(near, "near-verified")
+        return scratch.written(found.mapInArrow(run, "a long, b long"), "near-verified")
+
+
+def joined(pairs: DataFrame, known: DataFrame | None, docs: DataFrame, width: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """(node, root): what is connected by those of the pairs (a, b) that are near, and by the roots known so far.
+
+    While there are many pairs for each text, only some are verified: one for each text, with its most linked one, then
+    some for each group that is joined so far, the less linked one of two. Pairs that are joined by then are left out, as
+    they connect nothing; all others are verified in the end. So texts of a large group aren't compared with all that they
+    share a slice with.
+    """
+    pairs = pairs.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y"))
+    for several in (*ROUNDS, 0):
+        many = pairs.count()
+        ids = scratch.written(linked(pairs.select("a", "b")), "near-ids", 2 * many)
+        some, dense = pairs.select("a", "b"), several > 0 and many > DENSE * ids.count()
+        if dense:
+            roots = linked(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
+            one, two = roots.select(F.col("id").alias("x"), F.col("links").alias("m")), roots.select(F.col("id").alias("y"), F.col("links").alias("n"))
+            row = F.when(F.col("n") > F.col("m"), F.col("x")).otherwise(F.col("y")).alias("row")
+            part = F.pmod(F.xxhash64("a", "b"), F.lit(several)).alias("part")
+            best = F.max(F.struct(F.greatest("m", "n"), F.least("x", "y"), "a", "b")).alias("best")
+            some = pairs.join(one, "x").join(two, "y").groupBy(row, part).agg(best).select("best.a", "best.b")
+            some = scratch.written(some, "near-some", many)
+        near = verified(some, linked(some) if dense else ids, docs, width, similarity, scratch, some.count())
+        if known is not None:
+            near = near.union(known.select("node", "root"))
+        known = scratch.written(components(near, "near-components"), "near-roots", many)
+        if not dense:
+            return known
+        one, two = known.select(F.col("node").alias("a"), F.col("root").alias("x")), known.select(F.col("node").alias("b"), F.col("root").alias("y"))
+        left = pairs.select("a", "b").join(some, ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left")
+        left = left.select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).filter("x <> y")
+        pairs = scratch.written(left, "near-apart", many)
+    raise AssertionError("the last round isn't dense")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
@@ -226,13 +310,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     shared = members(kept, first, n)
     sketches = kept.select("id", "size", "bits")
     pairs = second.written(possible(ends_paired(shared), sketches, similarity), "near-pairs", n)
-    roots = second.written(components(verified(pairs, named, width, similarity, second, n), "near-components"), "near-roots", n)
+    roots = joined(pairs, None, named, width, similarity, second)
     with small_batches(docs.sparkSession, 200):
         more = second.written(rest_paired(shared, roots, sketches, similarity, first, n), "near-more")
     first.clear()
     if not more.isEmpty():
-        joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(more, named, width, similarity, second, n))
-        roots = second.written(components(joined, "near-components"), "near-all-roots", n)
+        roots = joined(more, roots, named, width, similarity, second)
     grouped = firsts.join(roots, F.col("id") == F.col("node"), "left")
     alone = grouped.filter("root is null").select("id")
     best = grouped.filter("root is not null").groupBy("root").agg(F.min(order).alias("first")).select("first.id")

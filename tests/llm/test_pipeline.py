@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from quillspark.llm import decontaminate
+from quillspark.llm import decontaminate, neardup
 from quillspark.llm.neardup import near_duplicates, slice_counts
 from quillspark.llm.tokens import public_vocabulary
 
@@ -94,6 +94,23 @@ def test_near_duplicates_of_hubs(spark):
     assert got == want and len(want) == 2
 
 
+def test_near_duplicates_of_long_copies_compare_few_texts(spark, monkeypatch):
+    """Copies of a long text share most slices with each other; few of these pairs are needed to join them."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    base, rows = rng.choices(words, k=2000), []
+    for k in range(300):
+        copy = list(base)
+        for at in rng.sample(range(2000), rng.randint(1, 30)):
+            copy[at] = rng.choice(words)
+        rows.append((k, " ".join(copy)))
+    counts, verified = [], neardup.verified
+    monkeypatch.setattr(neardup, "verified", lambda pairs, *more: counts.append(pairs.count()) or verified(pairs, *more))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.doc_id for r in near_duplicates(docs).collect()] == brute_near(rows) == [0]
+    assert sum(counts) < 8 * len(rows)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (None, "a b c d e f"), (4, "A b c d e  f"), (4, "A b c d e  f"), (4, "q r s"), (None, "zz"), (5, "x " * 30000)]
     docs = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, id int, same string")
