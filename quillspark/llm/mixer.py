@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 from heapq import heapify, heappop, heappush
 
 import numpy as np
+import pyarrow as pa
 
 #: Hashed contexts: the orders, and the bits of a slot's number at most. Tables have a slot for each token that they are
 #: learned from, up to this many; 4 bytes a slot.
@@ -18,20 +20,45 @@ INPUTS, GATES = 4, 12
 BLOCK, RATE, LIMIT = 64, 0.003, 8.0
 #: Tokens whose bits are laid out at once; weights, contexts and what a document has had so far go on from one such lot to
 #: the next.
-LOT = 1 << 17
+LOT = 1 << 15
+#: Documents that go on side by side at most, and bits whose chances are multiplied before a logarithm is taken: 16 factors
+#: of at most e^30 + 1 stay in range.
+TOGETHER, FACTORS = 1024, 16
 WIDTH = 48
+#: Words that are spelled at once.
+WORDS = 5_000
 _START = np.uint64(0xA0761D6478BD642F)
-#: What a fit counts bits by: their chance by frequency, so many bins a unit of its logit up to this, and the states of each
-#: of three predictors: without a say (0), or failing or holding at a level.
-BINS_A_UNIT, REACH, STATES = 4, 14, 7
-CELLS = (2 * REACH * BINS_A_UNIT + 1) * STATES**3
-_STATE = np.array([0, 0, 0, 0, 1, 2, 0, 3, 4, 0, 5, 6], np.int32)
+#: States of each of the three predictors beside frequency: without a say (0), failing at level v (2v - 1), or holding (2v);
+#: the document has two levels. A bit's state is made of theirs, the last one's varying fastest.
+STATES = (7, 7, 5)
+STEPS, ALL_STATES = (35, 5, 1), 245
+#: What a fit counts bits by: their chance by frequency, so many bins a unit of its logit up to this, and their state.
+BINS_A_UNIT, REACH = 4, 14
+CELLS = (2 * REACH * BINS_A_UNIT + 1) * ALL_STATES
+#: The place among weights laid by the levels of the last two predictors for each of their states.
+_GATE_OF = ((np.arange(7)[:, None] + 1) // 2 * 3 + (np.arange(5) + 1) // 2).ravel()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    x = x ^ (x >> np.uint64(32))
+    for _ in range(2):
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+    return x
+
+
+def ordered(keys: np.ndarray) -> np.ndarray:
+    """The stable order of keys: by their high bits with the places below, sorted as plain numbers; keys that share those
+    bits and differ, which hashes hardly do, need the slower way."""
+    low = np.uint64(len(keys).bit_length())
+    packed = ((keys >> low) << low) | np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    order = (packed & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    packed >>= low
+    found = keys.take(order)
+    if ((packed[1:] == packed[:-1]) & (found[1:] != found[:-1])).any():
+        return np.argsort(keys, kind="stable")
+    return order
 
 
 def code_lengths(counts: list[int]) -> list[int]:
@@ -226,8 +253,8 @@ class Mixer:
         before = np.empty_like(words)
         before[1:] = words[:-1]
         before[starts] = _START
-        key = mixed(before) + documents.astype(np.uint64)
-        order = np.argsort(key, kind="stable")
+        key = mixed(before) + documents.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        order = ordered(key)
         again = np.zeros(len(key), bool)
         sorted_key = key.take(order)
         again[1:] = sorted_key[1:] == sorted_key[:-1]
@@ -238,63 +265,110 @@ class Mixer:
         found.append((self.code.common(symbols, symbols[last]), seen.astype(np.int8) + twice))
         return found, seen & (symbols[last] == symbols), seen & (words[last] == words)
 
-    def laid_out(self, symbols, found):
-        """The bits of symbols in a row: the bits' inputs in favour of what is true, gates and tokens."""
+    def worths(self) -> list[np.ndarray]:
+        """What each predictor says in each of its states, in favour of what is true."""
+        return [np.where((s := np.arange(n)) == 0, 0, np.where(s % 2, -1, 1)).astype(np.float32) * self.strengths[k].take((s + 1) // 2) for k, n in enumerate(STATES)]
+
+    def laid_out(self, symbols, found, base):
+        """The bits of symbols in a row: the place of each in ``code.stretched``, its state added to its token's number in
+        ``base``, and the tokens' ends. A predictor holds from a token's first bit on, fails at the bit that its symbol
+        differs in, and is without a say from then on; so states are sums of steps at a few bits of each token."""
         lengths = self.code.lengths.take(symbols)
         ends = np.cumsum(lengths)
-        total = int(ends[-1])
-        token = np.repeat(np.arange(len(symbols), dtype=np.int32), lengths)
-        place = np.arange(total, dtype=np.int32) - (ends - lengths).astype(np.int32).take(token)
-        x = np.empty((INPUTS, total), np.float32)
-        x[0] = self.code.stretched.take(self.code.offsets.take(symbols).astype(np.int32).take(token) + place)
-        gate, short = np.zeros(total, np.int8), place.astype(np.int16)
-        for k, (common, level) in enumerate(found):
-            # By level and by whether the prediction has failed before this bit, fails here, or holds.
-            worth = (self.strengths[k][:, None] * np.array([0, -1, 1], np.float32)).ravel()
-            worth[:3] = 0
-            held = np.repeat(np.arange(4, dtype=np.int8), 3) * np.tile(np.array([0, 1, 1], np.int8), 4)
-            ahead = common.astype(np.int16).take(token) - short
-            state = (level.astype(np.int8) * np.int8(3)).take(token) + np.minimum(np.maximum(ahead, -1), 1).astype(np.int8) + np.int8(1)
-            x[k + 1] = worth.take(state)
-            if k:
-                gate += ((1, 4)[k - 1] * held).astype(np.int8).take(state)
-        return x, gate, token
+        starts, total = ends - lengths, int(ends[-1])
+        steps, first, last = np.zeros(total + 1, np.int64), base.copy(), base.copy()
+        for (common, level), step in zip(found, STEPS, strict=True):
+            held = level.astype(np.int64) * (2 * step)
+            failing = held - step * (level > 0)
+            fails, over = common < lengths, common + 1 < lengths
+            at = starts + common
+            first += held
+            last += np.where(fails, np.where(over, 0, failing), held)
+            steps[np.where(fails, at, total)] += failing - held  # at a place only once; the last one is of no use
+            steps[np.where(over, at + 1, total)] -= failing
+        first[1:] -= last[:-1]
+        steps[starts] += first
+        places = np.arange(total)
+        places += np.repeat(self.code.offsets.take(symbols) - starts, lengths)
+        return places, np.cumsum(steps[:-1]), ends
 
     def bits(self, words, symbols, counts):
         """The bits that the symbols of each document cost, in order; and for each token whether the document predicted
         its symbol and its word. Documents go on side by side, block by block, each with weights of its own."""
-        n, starts = len(counts), np.cumsum(counts) - counts
-        documents = np.repeat(np.arange(n, dtype=np.int32), counts)
-        found, same_symbol, same_word = self.predictions(words, symbols, starts, documents)
-        blocks = (np.arange(len(words)) - starts[documents]) // BLOCK
+        n, ends = len(counts), np.cumsum(counts)
+        found, same_symbol, same_word = self.predictions(words, symbols, ends - counts, np.repeat(np.arange(n, dtype=np.int32), counts))
+        cost = np.zeros(n)
+        for at in range(0, n, TOGETHER):
+            some = slice(int(ends[at] - counts[at]), int(ends[min(at + TOGETHER, n) - 1]))
+            cost[at : at + TOGETHER] = self._paid(symbols[some], [(common[some], level[some]) for common, level in found], counts[at : at + TOGETHER])
+        return cost / np.log(2), same_symbol, same_word
+
+    def _paid(self, symbols, found, counts):
+        """What the bits of each document cost; weights are refined after each block."""
+        n = len(counts)
+        documents = np.repeat(np.arange(n), counts)
+        blocks = (np.arange(len(symbols)) - (np.cumsum(counts) - counts)[documents]) // BLOCK
         order = np.argsort(blocks, kind="stable")
         begins = np.append(np.flatnonzero(np.diff(blocks[order], prepend=-1)), len(order))
-        flat = np.tile(self.weights, (n, 1, 1)).astype(np.float32).reshape(n * GATES, INPUTS)
-        cost, at = np.zeros(n), 0
+        # By input and by the levels of the last two predictors.
+        weights = np.tile(self.weights.reshape(3, 4, INPUTS).transpose(2, 1, 0).reshape(INPUTS, GATES), (n, 1, 1)).astype(np.float32)
+        one, two, three = self.worths()
+        worths, cost, at = (one[:, None], np.repeat(two, len(three)), np.tile(three, len(two))), np.zeros(n), 0
         while at < len(begins) - 1:
             upto = max(at + 1, int(np.searchsorted(begins, begins[at] + LOT, side="right")) - 1)
             lot = order[begins[at] : begins[upto]]
-            x, gate, token = self.laid_out(symbols[lot], [(c[lot], level[lot]) for c, level in found])
-            owner = documents[lot].take(token)
-            last = np.searchsorted(token, begins[at + 1 : upto + 1] - begins[at])
-            self._paid(x, owner * np.int32(GATES) + gate, owner, last.tolist(), flat, cost)
+            owners = documents[lot]
+            news = np.diff(owners, prepend=-1) != 0
+            news[begins[at:upto] - begins[at]] = True
+            firsts = np.flatnonzero(news)  # of the documents in each block
+            heads = np.searchsorted(firsts, begins[at : upto + 1] - begins[at])
+            numbers = np.arange(len(firsts)) - np.repeat(heads[:-1], np.diff(heads))
+            base = np.repeat(numbers * ALL_STATES, np.diff(firsts, append=len(lot)))
+            places, cells, ends = self.laid_out(symbols[lot], [(common[lot], level[lot]) for common, level in found], base)
+            x = self.code.stretched.take(places)
+            del places
+            edges = np.append(ends[firsts] - self.code.lengths.take(symbols[lot[firsts]]), len(x))
+            for head, end in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True):
+                some, own = slice(int(edges[head]), int(edges[end])), owners[firsts[head:end]]
+                cost[own] += self._block(x[some], cells[some], edges[head : end + 1] - edges[head], own, weights, worths)
             at = upto
-        return cost / np.log(2), same_symbol, same_word
-
-    def _paid(self, x, cells, owner, ends, flat, cost):
-        """Adds what bits cost to their owners, and refines the weights after each block."""
-        at = 0
-        for end in ends:
-            own, cell = x[:, at:end], cells[at:end]
-            z = (flat.take(cell, axis=0).T * own).sum(axis=0)
-            np.clip(z, -30, 30, out=z)
-            e = np.exp(-z)
-            cost += np.bincount(owner[at:end], weights=np.log1p(e), minlength=len(cost))
-            wrong = e / (1 + e)
-            for k in range(INPUTS):
-                flat[:, k] += RATE * np.bincount(cell, weights=wrong * own[k], minlength=len(flat))
-            np.clip(flat, -LIMIT, LIMIT, out=flat)
-            at = end
+        return cost
+
+    def _block(self, x, cells, edges, own, weights, worths):
+        """What the bits of one block of documents cost; it refines their weights."""
+        n, (one, two, three) = len(own), worths
+        before = weights[own]
+        wide = before.take(_GATE_OF, axis=2)
+        said = (wide[:, 2] * two + wide[:, 3] * three)[:, None] + wide[:, 1, None] * one
+        z = np.repeat(wide[:, :1], len(one), axis=1).ravel().take(cells)
+        z *= x
+        z += said.ravel().take(cells)
+        np.clip(z, -30, 30, out=z)
+        e = np.exp(-z)
+        u = e + np.float64(1)
+        lots = (edges[1:] - edges[:-1] + (FACTORS - 1)) // FACTORS
+        firsts = lots.cumsum()
+        cuts = np.arange(firsts[-1]) * FACTORS
+        firsts -= lots
+        cuts += np.repeat(edges[:-1] - firsts * FACTORS, lots)
+        cost = np.add.reduceat(np.log(np.multiply.reduceat(u, cuts)), firsts)
+        wrong = np.divide(e, u, out=u)
+        each = np.bincount(cells, weights=wrong, minlength=n * ALL_STATES).reshape(n, len(one), -1)
+        wrong *= x
+        steps, total = np.empty((n, INPUTS, each.shape[2])), each.sum(axis=1)
+        steps[:, 0] = np.bincount(cells, weights=wrong, minlength=n * ALL_STATES).reshape(each.shape).sum(axis=1)
+        each *= one
+        steps[:, 1] = each.sum(axis=1)
+        steps[:, 2], steps[:, 3] = total * two, total * three
+        steps = steps.reshape(n, INPUTS, *STATES[1:])
+        # Failing or holding at a level is the same gate.
+        rows = steps.take([0, 1, 3, 5], axis=2)
+        rows[:, :, 1:] += steps[:, :, 2::2]
+        levels = rows.take([0, 1, 3], axis=3)
+        levels[..., 1:] += rows[..., 2::2]
+        before += RATE * levels.reshape(before.shape)
+        weights[own] = np.clip(before, -LIMIT, LIMIT, out=before)
+        return cost
 
     def observed(self, words, symbols, counts) -> np.ndarray:
         """What a fit needs to know of documents that the tables haven't seen, as numbers that add up over documents: how
@@ -303,22 +377,20 @@ class Mixer:
         its own, and how often it is right."""
         starts = np.cumsum(counts) - counts
         found, same_symbol, same_word = self.predictions(words, symbols, starts, np.repeat(np.arange(len(counts)), counts))
-        bins = np.clip(np.rint(self.code.stretched * BINS_A_UNIT), -REACH * BINS_A_UNIT, REACH * BINS_A_UNIT).astype(np.int32) + REACH * BINS_A_UNIT
-        bins *= np.int32(STATES ** len(found))
+        bins = (np.clip(np.rint(self.code.stretched * BINS_A_UNIT), -REACH * BINS_A_UNIT, REACH * BINS_A_UNIT).astype(np.int64) + REACH * BINS_A_UNIT) * ALL_STATES
         out = np.zeros(CELLS + 2, np.int64)
-        for at in range(0, len(symbols), LOT):
-            some = symbols[at : at + LOT]
-            lengths = self.code.lengths.take(some)
-            ends = np.cumsum(lengths)
-            token = np.repeat(np.arange(len(some), dtype=np.int32), lengths)
-            place = np.arange(int(ends[-1]), dtype=np.int32) - (ends - lengths).astype(np.int32).take(token)
-            cell = bins.take(self.code.offsets.take(some).astype(np.int32).take(token) + place)
-            short = place.astype(np.int16)
-            for k, (common, level) in enumerate(found):
-                ahead = np.minimum(np.maximum(common[at : at + LOT].astype(np.int16).take(token) - short, -1), 1).astype(np.int8)
-                state = (level[at : at + LOT].astype(np.int8) * np.int8(3)).take(token) + ahead + np.int8(1)
-                cell += (_STATE * STATES**k).astype(np.int32).take(state)
-            out[:CELLS] += np.bincount(cell, minlength=CELLS)
+        tokens = symbols.astype(np.int64)  # with what is predicted: many are alike
+        for common, level in found:
+            tokens = (tokens << 8) | np.where(level > 0, (common << 2) | level, 0)
+        tokens.sort()
+        firsts = np.flatnonzero(np.diff(tokens, prepend=-1))
+        tokens, times = tokens[firsts], np.diff(firsts, append=len(tokens))
+        for at in range(0, len(tokens), LOT):
+            some = tokens[at : at + LOT]
+            own = some >> 24
+            places, cells, _ = self.laid_out(own, [((some >> by & 255) >> 2, some >> by & 3) for by in (16, 8, 0)], np.zeros(len(some), np.int64))
+            cells += bins.take(places)
+            out[:CELLS] += np.bincount(cells, weights=np.repeat(times[at : at + LOT], self.code.lengths.take(own)), minlength=CELLS).astype(np.int64)
         rare = same_symbol & (symbols == len(self.code.counts) - 2)
         out[CELLS:] = rare.sum(), (rare & same_word).sum()
         return out
@@ -326,20 +398,19 @@ class Mixer:
     def fitted_to(self, observed: np.ndarray) -> Mixer:
         """Strengths from how often each predictor is right at each level, and weights by logistic regression for each
         gate, over all that was observed."""
-        counts = observed[:CELLS].reshape(-1, *[STATES] * len(self.tables), STATES)
+        counts = observed[:CELLS].reshape(-1, *STATES)
         strengths = self.strengths.copy()
-        axes = [3 - k for k in range(3)]  # the first predictor's state varies fastest
-        for k, axis in enumerate(axes):
-            each = counts.sum(axis=tuple(x for x in range(4) if x != axis))
-            for value in range(1, 4):
+        for k, n in enumerate(STATES):
+            each = counts.sum(axis=tuple(x for x in range(4) if x != k + 1))
+            for value in range(1, (n + 1) // 2):
                 wrong, right = float(each[2 * value - 1]), float(each[2 * value])
                 if right + wrong > 50:
                     strengths[k, value] = np.clip(np.log((right + 1) / (wrong + 1)), -4, 6)
         model = Mixer(self.code, self.tables, strengths, self.weights.copy())
         cells = np.flatnonzero(observed[:CELLS])
-        n, bin_ = observed[cells].astype(np.float64), cells // STATES**3
-        states = [cells // STATES**k % STATES for k in range(3)]
-        x = np.array([bin_ / BINS_A_UNIT - REACH, *(strengths[k].astype(np.float64)[(s + 1) // 2] * np.where(s == 0, 0, np.where(s % 2, -1, 1)) for k, s in enumerate(states))])
+        n = observed[cells].astype(np.float64)
+        states = [cells // step % size for step, size in zip(STEPS, STATES, strict=True)]
+        x = np.array([cells // ALL_STATES / BINS_A_UNIT - REACH, *(worth.take(s).astype(np.float64) for worth, s in zip(model.worths(), states, strict=True))])
         gate = (states[1] + 1) // 2 + 4 * ((states[2] + 1) // 2)
         for g in range(GATES):
             those = gate == g
@@ -373,7 +444,7 @@ class Spelling:
     BITS = 19
 
     @classmethod
-    def learned(cls, words: list[bytes]) -> Spelling:
+    def learned(cls, words: list[bytes] | pa.Array) -> Spelling:
         """From distinct words, each once."""
         spelling = cls.empty(cls.characters(words))
         spelling.table = spelling.observed(words).reshape(2, -1)
@@ -385,31 +456,30 @@ class Spelling:
         return cls(code, {}, np.zeros((2, 1 << cls.BITS), np.int64), np.array([1.0, 0.0, 0.0, 0.0]))
 
     @staticmethod
-    def characters(words: list[bytes]) -> np.ndarray:
+    def characters(words: list[bytes] | pa.Array) -> np.ndarray:
         """How often each byte stands in the words, and how many words there are."""
-        return np.append(np.bincount(np.frombuffer(b"".join(words), np.uint8), minlength=256), len(words)).astype(np.int64)
+        return np.append(np.bincount(_bytes(words)[0], minlength=256), len(words)).astype(np.int64)
 
-    def observed(self, words: list[bytes]) -> np.ndarray:
+    def observed(self, words: list[bytes] | pa.Array) -> np.ndarray:
         """How many bits each cell has had, and how many of them were ones; adds up over words."""
         out = np.zeros((2, 1 << self.BITS), np.int64)
-        for at in range(0, len(words), 10_000):
-            cells, true, _, _ = self._cells(words[at : at + 10_000])
-            for cell in cells:
-                out[0] += np.bincount(cell, minlength=1 << self.BITS)
-                out[1] += np.bincount(cell[true > 0], minlength=1 << self.BITS)
+        for at in range(0, len(words), WORDS):
+            cells, places, _ = self._cells(words[at : at + WORDS])
+            ones = self._true.take(places).astype(np.int64) << self.BITS
+            out += np.bincount(np.concatenate([cell | ones for cell in cells]), minlength=2 << self.BITS).reshape(2, -1)
+        out[0] += out[1]
         return out.ravel()
 
-    def tried(self, words: list[bytes]) -> np.ndarray:
+    def tried(self, words: list[bytes] | pa.Array) -> np.ndarray:
         """How many bits of words that the table has seen have which inputs, in favour of what is true and rounded, when each
         bit's own part in the table is left out; adds up over words."""
         out = np.zeros(int(np.prod(self._SHAPE)), np.int64)
-        for at in range(0, len(words), 10_000):
-            cells, true, stretched, _ = self._cells(words[at : at + 10_000])
-            sign, cell = np.where(true > 0, 1.0, -1.0), self._rounded(stretched, 0)
+        first = self._rounded(self.code.stretched.astype(np.float64), 0) * int(np.prod(self._SHAPE[1:]))
+        for at in range(0, len(words), WORDS):
+            cells, places, _ = self._cells(words[at : at + WORDS])
+            ones, cell = self._true.take(places).astype(np.int64) << self.BITS, first.take(places)
             for k, c in enumerate(cells, 1):
-                ones = self.table[1][c] - true
-                x = np.log((ones + 0.3) / (self.table[0][c] - 1 - ones + 0.3))
-                cell = cell * self._SHAPE[k] + self._rounded(x * sign, k)
+                cell += self._left.take(c | ones).astype(np.int64) * int(np.prod(self._SHAPE[k + 1 :]))
             out += np.bincount(cell, minlength=len(out))
         return out
 
@@ -420,6 +490,17 @@ class Spelling:
         reach = self._SHAPE[k] // 2
         return np.clip(np.rint(x * (2 if k else 1)), -reach, reach).astype(np.int64) + reach
 
+    @cached_property
+    def _left(self) -> np.ndarray:
+        """The rounded input of each cell for a zero of its own, then for a one, that is left out."""
+        out = []
+        for true, sign in ((0, -1.0), (1, 1.0)):
+            ones = self.table[1] - true
+            seen = (ones >= 0) & (self.table[0] - 1 - ones >= 0)  # others aren't asked for
+            x = np.log((np.where(seen, ones, 0) + 0.3) / (np.where(seen, self.table[0] - 1 - ones, 0) + 0.3))
+            out.append(self._rounded(x * sign, 1).astype(np.int8))
+        return np.concatenate(out)
+
     def fitted_to(self, tried: np.ndarray) -> Spelling:
         """Weights by logistic regression over all that was tried; without any, those of an empty table."""
         cells = np.flatnonzero(tried)
@@ -434,43 +515,74 @@ class Spelling:
             w = w + np.clip(step, -0.5, 0.5)
         return Spelling(self.code, self.alphabet, self.table, w)
 
-    def _cells(self, words: list[bytes]):
-        """For each bit of each word's characters and end: cells of the contexts, the bit, the stretch by frequency."""
-        lengths = np.array([len(w) + 1 for w in words])
-        joined = np.frombuffer(b"\xff".join(words) + b"\xff", np.uint8).astype(np.int64)
-        ends = np.cumsum(lengths)
-        joined[ends - 1] = 256
-        starts = ends - lengths
-        owner = np.repeat(np.arange(len(words)), lengths)
-        place = np.arange(len(joined)) - starts[owner]
-        sizes = self.code.lengths[joined]
-        char = np.repeat(np.arange(len(joined)), sizes)
-        depth = np.arange(len(char)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        codes = self.code.codes[joined][char]
-        shift = (WIDTH - depth).astype(np.uint64)
-        node = (codes >> shift) + (depth.astype(np.uint64) << np.uint64(50))
-        true = ((codes >> (shift - np.uint64(1))) & np.uint64(1)).astype(np.float64)
+    @cached_property
+    def _depths(self) -> np.ndarray:
+        """The depth of each place in ``code.stretched``."""
+        return np.arange(len(self.code.stretched)) - np.repeat(self.code.offsets, self.code.lengths)
+
+    @cached_property
+    def _nodes(self) -> np.ndarray:
+        """A number for the node of each place: the bits before it and how many they are."""
+        shift = (WIDTH - self._depths).astype(np.uint64)
+        return (np.repeat(self.code.codes, self.code.lengths) >> shift) + (self._depths.astype(np.uint64) << np.uint64(50))
+
+    @cached_property
+    def _true(self) -> np.ndarray:
+        """Whether the bit at each place is a one."""
+        shift = (WIDTH - self._depths - 1).astype(np.uint64)
+        return (np.repeat(self.code.codes, self.code.lengths) >> shift & np.uint64(1)).astype(bool)
+
+    def _cells(self, words: list[bytes] | pa.Array):
+        """For each bit of each word's characters and end: cells of the contexts, and its place in ``code.stretched``; and
+        the first bit of each word."""
+        data, lengths = _bytes(words)
+        ends = np.cumsum(lengths + 1)
+        starts = ends - lengths - 1
+        joined = np.full(len(data) + len(lengths), 256, np.int64)
+        inside = np.ones(len(joined), bool)
+        inside[ends - 1] = False
+        joined[inside] = data
+        place = np.arange(len(joined)) - np.repeat(starts, lengths + 1)
+        sizes = self.code.lengths.take(joined)
+        upto = np.cumsum(sizes)
+        first = upto - sizes
+        places = np.arange(int(upto[-1]))
+        places += np.repeat(self.code.offsets.take(joined) - first, sizes)
+        node = self._nodes.take(places)
         cells, context = [], np.zeros(len(joined), np.uint64)
         for k in range(1, 5):
             before = np.where(place >= k, np.roll(joined, k), 257).astype(np.uint64)
             context = mixed(context * np.uint64(1021) + before + np.uint64(k))
             if k > 1:
-                cells.append((mixed(context[char] + node) >> np.uint64(64 - self.BITS)).astype(np.int64))
-        return cells, true, self.code.stretched[self.code.offsets[joined][char] + depth], owner[char]
-
-    def _inputs(self, words: list[bytes]):
-        cells, true, stretched, owner = self._cells(words)
-        x = [np.where(true > 0, stretched, -stretched)]
-        for cell in cells:
-            n, ones = self.table[0][cell], self.table[1][cell]
-            x.append(np.log((ones + 0.3) / (n - ones + 0.3)))
-        return np.array(x), true, owner
-
-    def bits(self, words: list[bytes]) -> np.ndarray:
-        out = np.zeros(len(words))
-        for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
-            x, true, owner = self._inputs(some)
-            z = (self.weights @ x) * np.where(true > 0, 1, -1)
-            out[at : at + 20_000] = np.bincount(owner, weights=np.logaddexp(0, -z), minlength=len(some)) / np.log(2)
+                hashed = mixed(np.repeat(context, sizes) + node)
+                hashed >>= np.uint64(64 - self.BITS)
+                cells.append(hashed.view(np.int64))
+        return cells, places, first.take(starts)
+
+    @cached_property
+    def _logits(self) -> np.ndarray:
+        return np.log((self.table[1] + 0.3) / (self.table[0] - self.table[1] + 0.3))
+
+    def bits(self, words: list[bytes] | pa.Array) -> np.ndarray:
+        out, sign = np.zeros(len(words)), np.where(self._true, 1.0, -1.0)
+        first = self.code.stretched * self.weights[0]
+        for at in range(0, len(words), WORDS):
+            cells, places, starts = self._cells(words[at : at + WORDS])
+            z = self._logits.take(cells[0]) * self.weights[1]
+            for w, cell in zip(self.weights[2:], cells[1:], strict=True):
+                z += self._logits.take(cell) * w
+            z *= sign.take(places)
+            z += first.take(places)
+            out[at : at + WORDS] = np.add.reduceat(np.logaddexp(0, -z), starts) / np.log(2)
         return out
+
+
+def _bytes(words: list[bytes] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all words in a row, and how many each has."""
+    if isinstance(words, list):
+        words = pa.array(words, pa.binary())
+    if not len(words):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return data, np.diff(offsets)

@@ -168,11 +168,11 @@ def learned_spelling(words: DataFrame) -> Spelling:
     """How all these distinct words (word) are spelled: three passes over them, for characters, contexts and weights."""
     spark = words.sparkSession
 
-    def over(count: Callable[[list[bytes]], np.ndarray]) -> np.ndarray:
+    def over(count: Callable[[pa.Array], np.ndarray]) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-            total = count([])
+            total = count(pa.array([], pa.string()))
             for batch in batches:
-                total += count([w.encode() for w in batch.column("word").to_pylist()])
+                total += count(batch.column("word"))
             return total
 
         return summed(words.select("word"), run)
@@ -350,7 +350,7 @@ def scored(docs: DataFrame) -> DataFrame:
     ends = learning.count()
     head = frequent_words(words)
     numbers = {r.word: k for k, r in enumerate(head)}
-    rare = total - sum(r.c for r in head)
+    rare, least = total - sum(r.c for r in head), min((r.c for r in head), default=0)
     frequent = spark.sparkContext.broadcast(numbers)  # SYMBOLS words at most
 
     tail = words.join(F.broadcast(spark.createDataFrame([(r.word,) for r in head], "word string")), "word", "left_anti")
@@ -373,7 +373,7 @@ def scored(docs: DataFrame) -> DataFrame:
         base_of = facts.base(frequencies.astype(float))
         repeated, fresh = -log2(facts.repeats), -log2(1 - facts.repeats)
         row = TaskContext.get().partitionId() << 33
-        for batch in sliced(batches, limit=1 << 20):
+        for batch in sliced(batches, limit=2 << 20):
             column = texts(batch)
             words, symbols, counts = vocabulary.laid(column)
             n, starts = len(counts), np.cumsum(counts) - counts
@@ -406,13 +406,16 @@ def scored(docs: DataFrame) -> DataFrame:
 
     def priced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column("word").to_pylist()
-            keep = np.array([w not in frequent.value for w in found], bool)
-            c = np.asarray(batch.column("c"), dtype=float)[keep]
-            spell = spelling.value.bits([w.encode() for w, k in zip(found, keep, strict=True) if k])
+            found = batch.column("word")
+            c = np.asarray(batch.column("c"), dtype=float)
+            keep = c < least
+            often = np.flatnonzero(~keep)
+            keep[often] = [w not in frequent.value for w in found.take(pa.array(often)).to_pylist()]
+            c, found = c[keep], found.filter(pa.array(keep))
+            spell = spelling.value.bits(found)
             chance = (1 - share) * c / max(rare, 1) + share * np.exp2(-np.minimum(spell, 1000.0))
             cost = np.where(c > 0, -np.log2(np.maximum(chance, 1e-300)), spell - log2(share))
-            keys = word_keys(batch.column("word"))[keep].view(np.int64)
+            keys = word_keys(found).view(np.int64)
             columns = [pa.array(keys), pa.array(c.astype(np.int64)), pa.array(cost)]
             yield pa.RecordBatch.from_arrays(columns, ["key", "c", "cost"])
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillspark.llm.mixer import BLOCK, LIMIT, RATE, Code, Counts, Mixer, Spelling, Table, gathered
+from quillspark.llm.mixer import ALL_STATES, BINS_A_UNIT, BLOCK, CELLS, LIMIT, RATE, REACH, STEPS, Code, Counts, Mixer, Spelling, Table, gathered, ordered
 from quillspark.llm import scoring
 from quillspark.llm.scoring import Vocabulary, op2_lm_scoring, scored, split_words
 
@@ -190,3 +190,45 @@ def test_frequent_words_are_the_most_frequent(spark, monkeypatch):
     assert [r.c for r in found] == [5000, 1014, 1014, 1013, 1013, 1012, 1012]
     monkeypatch.setattr(scoring, "SYMBOLS", 4)
     assert [r.c for r in scoring.frequent_words(spark.createDataFrame(rows, "word string, c long"))] == [5000, 1014, 1014, 1013]
+
+
+def test_a_fit_counts_each_bit_in_its_cell_and_lays_out_like_tokens_once(monkeypatch):
+    rng = np.random.default_rng(6)
+    code = Code(rng.integers(1, 400, 40))
+    seen = rng.choice(40, 6000, p=(p := rng.random(40) ** 4) / p.sum()).astype(np.uint64)
+    model = Mixer(code, [Table.chosen(Counts.of(n), 10) for n in gathered(seen, seen.astype(np.int64), np.array([0]))])
+    words, counts = np.concatenate([seen[:300], rng.integers(0, 40, 60).astype(np.uint64)]), np.array([300, 0, 60])
+    want, symbols, starts = Counter(), words.astype(np.int64), np.cumsum(counts) - counts
+    found = model.predictions(words, symbols, starts, np.repeat(np.arange(3), counts))[0]
+    for t, symbol in enumerate(symbols.tolist()):
+        for place in range(int(code.lengths[symbol])):
+            cell = (int(np.clip(np.rint(code.stretched[code.offsets[symbol] + place] * BINS_A_UNIT), -REACH * BINS_A_UNIT, REACH * BINS_A_UNIT)) + REACH * BINS_A_UNIT) * ALL_STATES
+            for (common, level), step in zip(found, STEPS, strict=True):
+                ahead, value = int(common[t]) - place, int(level[t])
+                cell += 0 if value == 0 or ahead < 0 else step * (2 * value - (ahead == 0))
+            want[cell] += 1
+    laid, real = [], Mixer.laid_out
+    monkeypatch.setattr(Mixer, "laid_out", lambda self, symbols, *rest: laid.append(len(symbols)) or real(self, symbols, *rest))
+    once = model.observed(words, symbols, counts)
+    assert {k: n for k, n in enumerate(once[:CELLS].tolist()) if n} == want
+    tokens = sum(laid)
+    laid.clear()
+    assert 0 < tokens <= len(words)
+    assert (model.observed(np.tile(words, 50), np.tile(symbols, 50), np.tile(counts, 50)) == 50 * once).all()
+    assert sum(laid) == tokens  # copies cost no more than one text
+
+
+def test_order_is_stable_also_where_high_bits_are_equal():
+    rng = np.random.default_rng(7)
+    for keys in (rng.integers(0, 1 << 63, 999).astype(np.uint64) << np.uint64(1), rng.integers(0, 50, 999).astype(np.uint64), np.zeros(0, np.uint64)):
+        keys = np.concatenate([keys, keys])
+        assert (ordered(keys) == np.argsort(keys, kind="stable")).all()
+
+
+def test_words_are_spelled_alike_as_a_list_and_as_a_column():
+    words = ["a", "", "é", "therer", "\U0001f600z"] * 3
+    spelling = Spelling.learned([w.encode() for w in words])
+    assert np.isfinite(want := spelling.bits([w.encode() for w in words])).all()
+    column = pa.array(["left out", *words]).slice(1)
+    assert (spelling.bits(column) == want).all() and (Spelling.learned(column).table == spelling.table).all()
+    assert np.allclose(want, [spelling.bits([w.encode()])[0] for w in words]) and not len(spelling.bits([]))
