@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.batches import sliced, texts
 from quillspark.llm.compression import drawn, fold
 from quillspark.llm.mixer import CELLS, ORDERS, SLOT_BITS, Code, Counts, Mixer, Spelling, Table, gathered, mixed
-from quillspark.llm.shared import removed, written
+from quillspark.llm.shared import driver_tidied, removed, written
 from quillspark.sources.tables import table
 
 #: Words that have a symbol of their own: the most frequent ones.
@@ -291,7 +291,8 @@ def context_tables(docs: DataFrame, vocabulary, tokens: int) -> tuple[Callable[[
     def tables(own: int | None = None) -> list[Table]:
         kind = 0 if own is None else own + 1
         out = [Table.empty(bits[kind]) for _ in ORDERS]
-        for r in found.filter(F.col("kind") == kind).collect():  # the tables of a kind have 4 bytes a slot
+        driver_tidied(docs.sparkSession)
+        for r in found.filter(F.col("kind") == kind).toLocalIterator():  # the tables of a kind have 4 bytes a slot
             slots = 1 << (bits[kind] - page_bits)
             those = slice(r.page * slots, (r.page + 1) * slots)
             out[r.place].symbol[those] = np.frombuffer(r.symbol, np.uint16)

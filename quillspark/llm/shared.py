@@ -79,6 +79,12 @@ def removed(spark: SparkSession, *paths: str) -> None:
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def driver_tidied(spark: SparkSession) -> None:
+    """Has the driver's JVM collect garbage, and give memory back to the system, before much is sent to it: what earlier
+    results and broadcasts took would count beside that."""
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows of numbers for each file of an intermediate table.
 ROWS = 100_000
 
