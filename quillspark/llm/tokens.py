@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,9 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 #: Encoded words that a Python worker keeps in each of two generations.
 CACHED_CHUNKS = 100_000
+#: Batches that workers get, and texts that are encoded at once (a longer one alone): an executor holds what encoding them
+#: takes once for each core, beside all that its JVM took in earlier stages.
+BATCH_ROWS, BATCH_BYTES, TEXT_BYTES = 2500, 4 << 20, 6 << 20
 STOPS = ".,!?;:"
 #: Texts that tell whether a vocabulary's ids are those of a text's pieces.
 PROBES = ("a b", "Two words, and more.  So\nit goes; on: here! x_y 12", " É è  Straße\n\nco-op don't AbC")
@@ -73,7 +77,10 @@ class ChunkEncoder:
         alone = [c for c in chunks if not c.isalpha()]
         words = [c for c in chunks if c.isalpha()]
         groups = [words[at : at + 256] for at in range(0, len(words), 256)]
-        for group, found in zip(groups, encode([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        # What the library returns has much more than ids, so few are asked for at a time.
+        several = (groups[at : at + 8] for at in range(0, len(groups), 8))
+        answers = (zip(some, encode([" ".join(g) for g in some], add_special_tokens=False), strict=True) for some in several)
+        for group, found in chain.from_iterable(answers):
             ids = np.array(found.ids, np.int32)
             ends = (np.flatnonzero(self.last[ids]) + 1) * 4
             if len(ends) != len(group):
@@ -83,8 +90,8 @@ class ChunkEncoder:
             for word, end in zip(group, ends.tolist(), strict=True):
                 out[word] = data[at:end]
                 at = end
-        for at in range(0, len(alone), 20_000):
-            some = alone[at : at + 20_000]
+        for at in range(0, len(alone), 2000):
+            some = alone[at : at + 2000]
             for chunk, found in zip(some, encode(some, add_special_tokens=False), strict=True):
                 out[chunk] = array("i", found.ids).tobytes()
         return out
@@ -121,20 +128,25 @@ class ChunkEncoder:
     def _encode_apart(self, column: pa.Array, end_id: int) -> tuple[pa.Array, np.ndarray]:
         apart = pc.replace_substring_regex(pc.replace_substring(column, "\n", " "), f"([{LETTERS}])([{STOPS}])", r"\1 \2")
         pieces = pc.split_pattern(apart, " ")
+        del apart  # what is done with goes at once: all of it together would be several times the texts
         ends = np.asarray(pieces.offsets, dtype=np.int64)[1:] - pieces.offsets[0].as_py()
         coded = pieces.flatten().dictionary_encode()
+        del pieces
         cased = coded.dictionary
         simple = pc.match_substring_regex(cased, f"^[{LETTERS}]+$")
         plain = pc.if_else(simple, pc.utf8_lower(cased), cased).dictionary_encode()
         which = np.asarray(plain.indices)[np.asarray(coded.indices)]
+        del coded, cased, simple
         ids = self._encoded(plain.dictionary.to_pylist())
+        del plain
         ids.append(array("i", [end_id]).tobytes())
         lengths = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), np.int32)))
         codes = np.insert(which, ends, len(ids) - 1)
-        upto = np.concatenate([[0], np.cumsum(lengths[codes], dtype=np.int64)])
-        return lists.take(pa.array(codes)).flatten(), np.diff(upto[ends + np.arange(1, len(ends) + 1)], prepend=0)
+        del which
+        counts = np.diff(np.cumsum(lengths[codes], dtype=np.int64)[ends + np.arange(len(ends))], prepend=0)
+        return lists.take(pa.array(codes)).flatten(), counts
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -161,7 +173,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, part, at = _encoder(vocabulary), TaskContext.get().partitionId(), 0
-        for batch in sliced(batches, limit=12 << 20):
+        for batch in sliced(batches, limit=TEXT_BYTES):
             ids, counts = encoder.encode(texts(batch), end_id)
             ends = np.cumsum(counts)
             columns = [
@@ -172,12 +184,15 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
                 pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), ids),
             ]
             at += int(ends[-1])
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "part_start", "n_tokens", "tokens"])
+            out = pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "part_start", "n_tokens", "tokens"])
+            del batch, ids, counts, ends, columns  # else they would stay beside the next batch
+            yield out
+            del out
         encoder.forget()
 
     ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions(docs), "doc_id")
     encoded = ranged.sortWithinPartitions("doc_id", "text").mapInArrow(encode, SCHEMA)
-    with small_batches(spark, 2500), shuffles_freed(spark):
+    with small_batches(spark, BATCH_ROWS, BATCH_BYTES), shuffles_freed(spark):
         encoded.write.options(**WRITER).parquet(f"{path}/tokens")
     totals = spark.read.parquet(f"{path}/tokens").groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))
     totals.write.parquet(f"{path}/parts")

@@ -6,11 +6,15 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
+from quillspark.llm import tokens
 from quillspark.llm.shared import new_path
 from quillspark.llm.tokens import VOCABULARY, ChunkEncoder, checksums, op1_token_output, public_vocabulary, read_index, read_tokens, write_tokens
 
 ODD = ["", None, "  ", "a\nb\tc\x0bd e f", "It's <|endoftext|> I'LL 'd", "é ́x Å ΣΣ ẛ̣", "x" * 5000, "word " * 30000, "中文 日本\r\n\x1c\x85z", "ÉTÉ. Çà, Ñandú; Straße: ÿÿ. İI. e\u0301. \u0301. a.\u0338 h\u0331. H\u0331! ŸŒ,", "don't. [x]. (y), \"z.\" a.b,c;d...e", "same", "same"]
 
+#: Counts what is taken of it; it has to outlive that.
+COUNTED = pa.proxy_memory_pool(pa.default_memory_pool())
+
 
 def brute(rows):
     tokenizer, at, out = Tokenizer.from_file(public_vocabulary()), 0, []
@@ -62,3 +66,34 @@ def test_other_vocabularies_get_whole_texts():
         ids, counts = encoder.encode(pa.array(text), 2)
         want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in text]
         assert ids.to_pylist() == [k for w in want for k in w] and counts.tolist() == list(map(len, want))
+
+
+def test_encoding_takes_little_memory_beside_the_texts(spark, monkeypatch, tmp_path):
+    text = pa.array(["".join(f"word{k * k % 997} of, the{k % 89}. line\n" for k in range(at, at + 200)) for at in range(1000)])
+    encoder, before = ChunkEncoder(public_vocabulary()), pa.default_memory_pool()
+    pa.set_memory_pool(COUNTED)
+    try:
+        encoder.encode(text, 2)
+    finally:
+        pa.set_memory_pool(before)
+    assert COUNTED.max_memory() < 6 * text.nbytes
+
+    known, seen = tokens._encoder, str(tmp_path / "sizes")
+
+    def recording(path):
+        class Recording:
+            forget = known(path).forget
+
+            def encode(self, column, end_id):
+                with open(seen, "a") as f:
+                    print(sum(len(t.as_py().encode()) for t in column), file=f)
+                return known(path).encode(column, end_id)
+
+        return Recording()
+
+    monkeypatch.setattr(tokens, "_encoder", recording)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(text.to_pylist())] * 2, "doc_id long, text string")
+    monkeypatch.setattr(tokens, "partitions", lambda docs: 1)
+    write_tokens(docs, new_path(spark, "tokens-large"), public_vocabulary())
+    sizes = [int(n) for n in open(seen)]
+    assert sum(sizes) == 2 * sum(len(t) for t in text.to_pylist()) and max(sizes) <= 4.1 * 2**20
