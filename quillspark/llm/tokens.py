@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.batches import sliced, texts, tidied
-from quillspark.llm.shared import new_path, partitions, shuffles_freed, small_batches
+from quillspark.llm.shared import new_path, partitions, shuffles_freed, small_batches, written
 from quillspark.sources.tables import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -220,7 +220,8 @@ def part_starts(spark: SparkSession, path: str) -> dict[int, int]:
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, from its ids in the files."""
+    """doc_id, start, n_tokens, ids_crc32 of each document, from its ids in the files. They are written at once, as ids go to
+    Python in small batches only while a table is written."""
     starts = part_starts(spark, path)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +236,8 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     rows = read_tokens(spark, path).select("doc_id", "part", "part_start", "tokens")
-    return rows.mapInArrow(check, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    with small_batches(spark, BATCH_ROWS, BATCH_BYTES):
+        return written(rows.mapInArrow(check, "doc_id long, start long, n_tokens long, ids_crc32 long"), "token-sums")[0]
 
 
 def public_vocabulary(name: str = VOCABULARY) -> str:
