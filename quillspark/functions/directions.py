@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import patterns as P
 from quillspark.functions.lines import is_junk, polished
-from quillspark.functions.text import cut, first_words, has, let, n_words, normal_space, stripped
+from quillspark.functions.text import contains_any, cut, cut_where, first_words, folded, has, let, n_words, normal_space, spaced, stripped
 
 #: Reasons in the order in which they are tried; those that also mark stored text as noise come before the lengths.
 NOISE = (
@@ -20,36 +20,48 @@ LENGTHS = ("too_few_words", "too_many_words", "question_mark")
 def bare(line: Column) -> Column:
     """Without list number or bullet, and without one question mark at the end."""
     text = cut(cut(stripped(line), r"^\d+[.):\-]\s*"), r"^[-*•]\s*")
-    return stripped(cut(text, r"\?\z"))
+    return let(text, lambda t: F.when(t.endswith("?"), stripped(_but_last(t))).otherwise(t))
+
+
+def _but_last(text: Column) -> Column:
+    return F.substring(text, F.lit(1), F.length(text) - 1)
 
 
 def direction_key(text: Column) -> Column:
     """What exact comparison goes by: bare, lower-cased, single blanks, no punctuation at the end."""
-    return stripped(cut(normal_space(F.lower(bare(text))), r"[.,;:!]+$"))
+    return stripped(F.rtrim(normal_space(F.lower(bare(text))), F.lit(".,;:!")))
 
 
 def rejection(text: Column, min_words: int = 8, max_words: int = 25, min_chars: int = 15, copied: Column | None = None) -> Column:
     """The first reason that applies, or null. ``copied`` says whether the text copies a blocked one."""
-    return let(bare(text), lambda s: _rejection(s, min_words, max_words, min_chars, copied))
+    return bare_rejection(bare(text), min_words, max_words, min_chars, copied)
+
+
+def bare_rejection(bare: Column, min_words: int = 8, max_words: int = 25, min_chars: int = 15, copied: Column | None = None) -> Column:
+    """The same of a text that is bare already."""
+    facts = lambda s: F.struct(s.alias("s"), folded(s).alias("low"), n_words(s).alias("count"))
+    return let(let(bare, facts), lambda f: _rejection(f.s, f.low, f["count"], min_words, max_words, min_chars, copied))
 
 
-def _rejection(s: Column, min_words: int, max_words: int, min_chars: int, copied: Column | None) -> Column:
-    count = n_words(s)
+def _rejection(s: Column, low: Column, count: Column, min_words: int, max_words: int, min_chars: int, copied: Column | None) -> Column:
+    """``low`` is the folded text. Patterns that need a sign or a word are tried where it stands."""
+    colon = s.contains(":")
+    ids = colon & contains_any(low, "pmid", "pmcid") & has(s, P.IDS)
     tests = {
         "empty": F.length(s) == 0,
         "too_short_chars": F.length(s) < min_chars,
-        "fewshot_copy": F.lower(s).isin(*P.FEWSHOT),
+        "fewshot_copy": low.isin(*P.FEWSHOT) & F.lower(s).isin(*P.FEWSHOT),
         "context_copy": F.lit(False) if copied is None else F.coalesce(copied, F.lit(False)),
-        "prompt_leak": has(s, P.PROMPT_LEAK),
+        "prompt_leak": contains_any(low, *P.LEAK_PARTS) & has(s, P.PROMPT_LEAK),
         "instruction_line": has(s, P.INSTRUCTION),
         "year_prefix": has(s, P.YEAR_PREFIX),
-        "doi_pmid": has(s, P.DOI) | has(s, P.IDS),
-        "comment_in": has(s, P.COMMENT),
-        "author_heavy": has(s, P.AUTHOR_HEAVY),
-        "degenerate": has(s, P.DEGENERATE),
+        "doi_pmid": (((colon & low.contains("doi")) | s.contains("10.")) & has(s, P.DOI)) | ids,
+        "comment_in": contains_any(low, "comment in", "contributed equally") & has(s, P.COMMENT),
+        "author_heavy": (s.contains("(") | (colon & low.contains("collaborator"))) & has(s, P.AUTHOR_HEAVY),
+        "degenerate": (s.contains("#") | (s.contains(".") & s.rlike(P.java(r"\d\.")))) & has(s, P.DEGENERATE),
         "number_only": has(s, P.NUMBER_ONLY),
-        "junk_sentence": is_junk(s),
-        "narrative_here_we": has(s, P.HERE_WE) & (count > 30),
+        "junk_sentence": is_junk(s, low),
+        "narrative_here_we": (count > 30) & has(s, P.HERE_WE),
         "too_few_words": count < min_words,
         "too_many_words": count > max_words,
         "question_mark": s.endswith("?"),
@@ -87,9 +99,9 @@ def clamped(text: Column, max_words: int = 25) -> Column:
 def compressed_span(sentence: Column, max_words: int = 25, fewest: int = 5) -> Column:
     """The span that a sentence is about: no filler before, no clause of means after, at most max_words words; null if
     fewer than ``fewest`` are left."""
-    s = cut(cut(polished(sentence), P.LEADING_FILLER), P.TRAILING_CLAUSE)
-    s = cut(cut(s, r"\s{2,}", " "), r"^[ .;:]+|[ .;:]+$")
-    s = cut(s, r"\s*\?\z")
+    s = cut_where(cut(polished(sentence), P.LEADING_FILLER), lambda t: has(t, P.TRAILING_START), P.TRAILING_CLAUSE)
+    s = F.btrim(cut_where(s, spaced, r"\s{2,}", " "), F.lit(" .;:"))
+    s = cut_where(s, lambda t: t.endswith("?"), r"\s*\?\z")
     return let(s, lambda s: F.when(n_words(s) >= fewest, F.when(n_words(s) > max_words, first_words(s, max_words)).otherwise(s)))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillspark.functions import patterns as P
-from quillspark.functions.text import cut, has, let, normal_space, stripped
+from quillspark.functions.text import contains_any, cut, cut_where, folded, has, let, normal_space, spaced, stripped
 
 
 def is_citation(line: Column) -> Column:
@@ -35,48 +35,64 @@ def is_header(text: Column) -> Column:
 
 
 def is_institution(text: Column) -> Column:
+    return let(folded(text), lambda low: _is_institution(text, low))
+
+
+def _is_institution(text: Column, low: Column) -> Column:
     prose = has(text, P.PROSE)
-    named = has(text, P.AFFILIATION_WORDS) & ~is_header(text) & ~prose & (F.length(text) < 220)
-    return has(text, P.INSTITUTION_START) | (has(text, P.POSTAL_LINE) & ~prose) | named
+    named = (F.length(text) < 220) & _affiliated(text, low) & ~is_header(text) & ~prose
+    postal = text.rlike(P.java(r"\d")) & has(text, P.POSTAL_LINE) & ~prose
+    return has(text, P.INSTITUTION_START) | postal | named
+
+
+def _affiliated(text: Column, low: Column) -> Column:
+    return contains_any(low, *P.AFFILIATION_PARTS) & has(text, P.AFFILIATION_WORDS)
 
 
 def is_metadata(line: Column) -> Column:
     """Names, affiliations, addresses and places rather than prose; the first rule that applies decides."""
-    return let(stripped(line), _is_metadata)
+    return let(stripped(line), lambda text: let(folded(text), lambda low: _is_metadata(text, low)))
 
 
-def _is_metadata(text: Column) -> Column:
-    prose = has(text, P.PROSE)
-    names = has(text, P.CITY_COUNTRY) | has(text, P.AUTHOR_ONLY) | has(text, P.STANDALONE_AUTHOR) | has(text, P.AUTHOR_LINE)
-    places = has(text, P.AFFILIATION_LINE) | has(text, P.EMAIL) | has(text, P.ADDRESS) | has(text, P.COUNTRY_LINE)
-    rest = places | is_institution(text) | (has(text, P.POSTAL_START) & ~prose)
+def _is_metadata(text: Column, low: Column) -> Column:
+    """``low`` is the folded text. Patterns that need a sign are tried where it stands, as most lines have none."""
+    prose, indexed = has(text, P.PROSE), text.contains("(")
+    names = (text.contains(",") & has(text, P.CITY_COUNTRY)) | has(text, P.STANDALONE_AUTHOR) | (indexed & (has(text, P.AUTHOR_ONLY) | has(text, P.AUTHOR_LINE)))
+    places = (indexed & has(text, P.AFFILIATION_LINE)) | (text.contains("@") & has(text, P.EMAIL)) | (low.contains("address:") & has(text, P.ADDRESS)) | has(text, P.COUNTRY_LINE)
+    rest = places | _is_institution(text, low) | (has(text, P.POSTAL_START) & ~prose)
     return (
         F.when(F.length(text) == 0, False)
         .when(names, True)
-        .when(has(text, P.INDEXED_AUTHOR) & ~prose, F.length(text) < 280)
+        .when(indexed & has(text, P.INDEXED_AUTHOR) & ~prose, F.length(text) < 280)
         .otherwise(rest)
     )
 
 
-def is_junk(sentence: Column) -> Column:
-    """What no direction is drawn from: short, metadata, ids, notes."""
-    return let(normal_space(sentence), _is_junk)
+def is_junk(sentence: Column, low: Column | None = None) -> Column:
+    """What no direction is drawn from: short, metadata, ids, notes. ``low`` is the folded sentence, where it is known."""
+    known = lambda text: folded(text) if low is None else F.when(text == sentence, low).otherwise(folded(text))
+    return let(normal_space(sentence), lambda text: let(known(text), lambda low: _is_junk(text, low)))
 
 
-def _is_junk(text: Column) -> Column:
-    found = (F.length(text) < 12) | _is_metadata(text) | has(text, P.AUTHOR_ONLY) | has(text, P.STANDALONE_AUTHOR)
-    found |= has(text, P.AFFILIATION_WORDS) & ~has(text, P.PROSE)
-    for pattern in P.JUNK:
-        found |= has(text, pattern)
+def _is_junk(text: Column, low: Column) -> Column:
+    ids, comment, equally, group, update = P.JUNK
+    indexed, colon = text.contains("("), text.contains(":")
+    found = (F.length(text) < 12) | _is_metadata(text, low) | (indexed & has(text, P.AUTHOR_ONLY)) | has(text, P.STANDALONE_AUTHOR)
+    found |= _affiliated(text, low) & ~has(text, P.PROSE)
+    found |= colon & contains_any(low, "doi", "pmid", "pmcid") & has(text, ids)
+    found |= low.contains("comment in") & has(text, comment)
+    found |= indexed & low.contains("contributed equally") & has(text, equally)
+    found |= colon & low.contains("collaborator") & has(text, group)
+    found |= low.contains("update of") & has(text, update)
     brackets = F.length(text) - F.length(F.replace(text, F.lit("("), F.lit("")))
-    return found | (has(text, P.HEAVY_INDEX) & (brackets >= 3))
+    return found | (indexed & has(text, P.HEAVY_INDEX) & (brackets >= 3))
 
 
 def polished(text: Column) -> Column:
     """Without addresses and indexed authors; runs of white space become one blank."""
-    for pattern in (P.EMAIL, P.ADDRESS, P.INDEXED_AUTHOR):
-        text = cut(text, pattern, " ")
-    return stripped(cut(cut(text, P.LEADING_AUTHOR), r"\s{2,}", " "))
+    for sign, pattern in (("@", P.EMAIL), (":", P.ADDRESS), ("(", P.INDEXED_AUTHOR)):
+        text = cut_where(text, lambda t, sign=sign: t.contains(sign), pattern, " ")
+    return stripped(cut_where(cut_where(text, lambda t: t.contains("("), P.LEADING_AUTHOR), spaced, r"\s{2,}", " "))
 
 
 def without_title(text: Column, title: Column) -> Column:

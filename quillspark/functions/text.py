@@ -22,14 +22,42 @@ def cut(text: Column, pattern: str, by: str = "") -> Column:
     return F.regexp_replace(text, P.java(pattern), by)
 
 
+def cut_where(text: Column, needs, pattern: str, by: str = "") -> Column:
+    """cut, where ``needs`` says of a text that the pattern may be there: a search for one sign takes little beside it."""
+    return let(text, lambda t: F.when(needs(t), cut(t, pattern, by)).otherwise(t))
+
+
+def contains_any(text: Column, *parts: str) -> Column:
+    """Whether any of these parts stands in the text."""
+    found = text.contains(parts[0])
+    for part in parts[1:]:
+        found |= text.contains(part)
+    return found
+
+
+def folded(text: Column) -> Column:
+    """In lower case, with the four signs outside ASCII that patterns take for ASCII letters where they ignore case: what a
+    pattern finds has its ASCII letters here."""
+    plain = text
+    for sign, letter in zip("ſKıİ", "skii", strict=True):
+        plain = F.replace(plain, F.lit(sign), F.lit(letter))
+    return F.lower(F.when(text.rlike(r"[^\x00-\u012f]"), plain).otherwise(text))
+
+
 def stripped(text: Column) -> Column:
     """Without white space at either end."""
-    return cut(text, r"^\s+|\s+$")
+    return F.btrim(text, F.lit(P.SPACES))
+
+
+def spaced(text: Column) -> Column:
+    """Whether there may be white space other than single blanks: it is in one of the gaps of these ranges, of which the first
+    holds most signs, so that most are looked at once."""
+    return text.contains("  ") | text.rlike(r"[^ -~\u00a1-\u167f\u3001-\uffff]")
 
 
 def normal_space(text: Column) -> Column:
     """Stripped, and any run of white space one blank."""
-    return cut(stripped(text), r"\s+", " ")
+    return cut_where(stripped(text), spaced, r"\s+", " ")
 
 
 def words(text: Column) -> Column:
@@ -37,7 +65,11 @@ def words(text: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    return F.size(words(F.coalesce(text, F.lit(""))))
+    def count(s: Column) -> Column:
+        blanks = F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
+        return F.when(F.length(s) == 0, 0).when(spaced(s), F.size(words(s))).otherwise(blanks + 1)
+
+    return let(stripped(F.coalesce(text, F.lit(""))), count)
 
 
 def first_words(text: Column, n: int) -> Column:

@@ -13,7 +13,9 @@ from quillspark.functions.text import has, n_words, stripped
 def audited(df: DataFrame, by: list[str], text: str, order: str, **limits) -> DataFrame:
     """Adds direction (the bare text) and reason: why a row is rejected, ``duplicate`` if an earlier valid row of its
     group has the same text in lower case, or null."""
-    judged = df.withColumn("direction", D.bare(F.col(text))).withColumn("reason", D.rejection(F.col(text), **limits))
+    # What a generator makes is computed once, however often its fields are used.
+    made = df.select("*", F.inline(F.array(F.struct(D.bare(F.col(text)).alias("direction")))))
+    judged = made.select("*", F.inline(F.array(F.struct(D.bare_rejection(F.col("direction"), **limits).alias("reason")))))
     earlier = F.row_number().over(Window.partitionBy(*by, F.lower("direction"), F.col("reason").isNull()).orderBy(order)) > 1
     return judged.withColumn("__again", earlier).withColumn("reason", F.when(F.col("reason").isNull() & F.col("__again"), "duplicate").otherwise(F.col("reason"))).drop("__again")
 
