@@ -7,8 +7,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors of one side that are held against the other at once.
+#: Vectors of one side that meet the other's in one task.
 BLOCK = 4096
+#: Cosines that are held at once: as many rows of one side as fit, against all of the other's block.
+PRODUCT = 1 << 19
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -19,6 +21,19 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return values.reshape(rows, -1) if rows else np.zeros((0, 1))
 
 
+def best_of_products(asked: np.ndarray, known: np.ndarray, ranks: np.ndarray, ks: list[int]) -> dict[int, np.ndarray]:
+    """For each k that any rank reaches, the largest product of each asked vector with a known one of at most that rank."""
+    order = np.argsort(ranks, kind="stable")
+    firsts = {k: n for k in ks if (n := int(np.searchsorted(ranks[order], k, side="right")))}
+    best = {k: np.empty(len(asked)) for k in firsts}
+    known, strip = known[order].T, max(1, PRODUCT // len(order))
+    for at in range(0, len(asked), strip):
+        products = asked[at : at + strip] @ known
+        for k, n in firsts.items():
+            products[:, :n].max(axis=1, out=best[k][at : at + strip])
+    return best
+
+
 def best_similarity(left: DataFrame, right: DataFrame, cell: str, key: str = "id", vector: str = "embedding") -> DataFrame:
     """(cell, key, best): for each row of left the largest dot product with a row of right in the same cell; rows of
     cells without any of right are left out."""
@@ -47,8 +62,7 @@ def best_at_each_k(left: DataFrame, right: DataFrame, cell: str, ks: list[int],
     def multiply(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         cells, keys, out = mine.column("cell"), mine.column("key"), []
         if mine.num_rows and theirs.num_rows:
-            products, ranks = _matrix(mine.column(vector)) @ _matrix(theirs.column(vector)).T, np.asarray(theirs.column("rank"))
-            out = [(k, products[:, ranks <= k].max(axis=1)) for k in ks if (ranks <= k).any()]
+            out = list(best_of_products(_matrix(mine.column(vector)), _matrix(theirs.column(vector)), np.asarray(theirs.column("rank")), ks).items())
         parts = [pa.table({"cell": cells, "key": keys, "k": pa.array(np.full(len(best), k, np.int32)), "best": pa.array(best)}) for k, best in out]
         none = pa.table({"cell": cells.slice(0, 0), "key": keys.slice(0, 0), "k": pa.array([], pa.int32()), "best": pa.array([], pa.float64())})
         return pa.concat_tables(parts or [none])

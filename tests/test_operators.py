@@ -90,6 +90,21 @@ def test_best_similarity_equals_brute_force(spark, monkeypatch, block):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
 
 
+def test_products_of_a_block_take_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    asked, known, ranks = rng.normal(size=(3000, 16)), rng.normal(size=(3000, 16)), rng.integers(1, 4000, 3000)
+    tracemalloc.start()
+    best = similarity.best_of_products(asked, known, ranks, [0, 10, 900, 5000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20  # all products at once are 72 MB
+    whole = asked @ known.T
+    assert best.keys() == {k for k in (0, 10, 900, 5000) if (ranks <= k).any()}
+    assert all(np.allclose(best[k], whole[:, ranks <= k].max(axis=1)) for k in best)
+
+
 def test_metric_properties(spark):
     rng = np.random.default_rng(5)
     (preds, _), (refs, _) = vectors(spark, rng, 60, 3), vectors(spark, rng, 50, 3, 1000)
