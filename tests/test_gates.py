@@ -80,3 +80,10 @@ def test_audits_judge_lines_once(spark, tmp_path):
     lines = spark.read.parquet(f"{tmp_path}/lines")
     for made in (audit.log_lines(lines, ["id"], "line", "pos"), audit.generation_log(lines, ["id"], "line", "pos")):
         assert made.count() and "RLIKE" not in made._jdf.queryExecution().optimizedPlan().toString().upper()
+
+
+def test_baselines_read_documents_once(spark):
+    from quillspark.plans import forecasts
+
+    found = forecasts.baseline_bm25(spark, "/root/testdata/sf0.001")
+    assert found.columns == ["year", "rank", "id", "text"] and not found.inputFiles()
