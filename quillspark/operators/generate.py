@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.directions import clamped, direction_key, generated_list, parsed_direction, prompt_style, rejection, subjectness
 from quillspark.functions.lines import polished
-from quillspark.functions.models import CompletionScorer, Encoder, Generator
+from quillspark.functions.models import ENCODED_ROWS, CompletionScorer, Encoder, Generator
 from quillspark.operators.forecast import extraction_prompt, prompt_for
 from quillspark.sources.tables import settled
 
@@ -19,18 +22,22 @@ LISTS = "model string, target_year int, place int, text string, key string, scor
 
 def answered(df: DataFrame, generator: Generator, n: int, seed: int = 42) -> DataFrame:
     """df (prompt and any others) with a row for each of n answers: attempt (from 0, or on from a column of that name) and
-    raw. Prompts are dealt out; a model is held by its worker (see functions.models.loaded)."""
+    raw. Prompts are dealt out, and answered in pieces of ENCODED_ROWS; a model is held by its worker (see functions.models.Loaded)."""
     keyed = df if "attempt" in df.columns else df.withColumn("attempt", F.lit(0))
     schema = keyed.withColumn("raw", F.lit("")).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.loc[batch.index.repeat(n)].copy()
-            rows["raw"] = [text for row in batch.itertuples() for text in generator.generate(row.prompt, n, seed + int(row.attempt))]
-            rows["attempt"] += [k for _ in range(len(batch)) for k in range(n)]
-            yield rows[schema.fieldNames()]
-
-    return keyed.mapInPandas(run, schema)
+            for at in range(0, batch.num_rows, ENCODED_ROWS):
+                piece = batch.slice(at, ENCODED_ROWS)
+                asked = zip(piece.column("prompt").to_pylist(), piece.column("attempt").to_pylist(), strict=True)
+                raw = [text for prompt, attempt in asked for text in generator.generate(prompt, n, seed + int(attempt))]
+                rows = piece.take(pa.array(np.repeat(np.arange(piece.num_rows), n)))
+                made = {"attempt": pc.add(rows.column("attempt"), pa.array(np.tile(np.arange(n), piece.num_rows), rows.schema.field("attempt").type)), "raw": pa.array(raw, pa.string())}
+                columns = [made[f] if f in made else rows.column(f) for f in schema.fieldNames()]
+                yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
+
+    return keyed.mapInArrow(run, schema)
 
 
 def _candidates(raw: DataFrame, fewest_chars: int, most_words: int) -> DataFrame:
